@@ -405,3 +405,183 @@ FROM (SELECT CAST(ROUND(COALESCE(SUM(amount_paid) FILTER (WHERE status = 'CONFIR
 ORACLES["recent_rows"] = with_adapters(f"""
 SELECT id, original_message AS content, metadata, created_at FROM cc
 ORDER BY created_at DESC NULLS FIRST, id LIMIT {RECENT_ROWS_LIMIT}""", "cc")
+
+# ---------------------------------------------------------------- transforms
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _js(p: str, path: str) -> str:
+    """String at a JSON path with script truthiness ('' counts as missing)."""
+    return f"NULLIF(json_extract_string({p}, '{path}'), '')"
+
+
+SERVICES_SQL = f"""
+SELECT pos,
+       COALESCE({_js('payload', '$.id')}, '') AS wix_id,
+       COALESCE({_js('payload', '$.type')}, 'BOOKING_SERVICE') AS service_type,
+       COALESCE({_js('payload', '$.name')}, {_js('payload', '$.info.name')}, 'Unknown Service') AS title,
+       CAST(0.0 AS DOUBLE) AS price,
+       COALESCE({_js('payload', '$.status')}, 'ACTIVE') AS status,
+       {_js('payload', '$.category.name')} AS category,
+       NULLIF(CAST(json_extract(payload, '$.schedule.availabilityConstraints.sessionDurations[0]') AS INTEGER), 0) AS duration
+FROM service_payload"""
+
+_CLEAN = "regexp_replace(vs, '[^0-9.]', '', 'g')"
+BOOKINGS_SQL = f"""
+SELECT o_orderkey, COALESCE({_js('p', '$.id')}, '') AS wix_booking_id,
+       COALESCE(NULLIF(contact, ''), email) AS wix_contact_id,
+       COALESCE(NULLIF(name, ''), 'Guest') AS full_name, email,
+       COALESCE({_js('p', '$.contactDetails.phone')}, '') AS phone,
+       COALESCE({_js('p', '$.bookedEntity.slot.serviceId')}, '') AS wix_service_id,
+       COALESCE({_js('p', '$.createdDate')}, '{ORDERS_AS_OF.replace(' ', 'T')}.000Z') AS registration_date,
+       CASE WHEN tpt = 'OBJECT' AND vt IS NOT NULL THEN
+              CASE WHEN vt = 'VARCHAR' THEN
+                     CASE WHEN {_CLEAN} = '' THEN 0.0
+                          ELSE TRY_CAST(NULLIF(regexp_extract({_CLEAN}, '^([0-9]+\\.?[0-9]*|\\.[0-9]+)', 0), '') AS DOUBLE) END
+                   WHEN vt IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'INTEGER', 'UINTEGER') THEN COALESCE(NULLIF(CAST(vs AS DOUBLE), 0.0), 0.0)
+                   ELSE 0.0 END
+            ELSE 0.0 END AS amount_paid,
+       COALESCE({_js('p', '$.status')}, 'CONFIRMED') AS status
+FROM (SELECT o_orderkey, payload AS p,
+             COALESCE({_js('payload', '$.contactId')}, {_js('payload', '$.contactDetails.contactId')}, '') AS contact,
+             lower({_trim(f"COALESCE({_js('payload', '$.contactDetails.email')}, '')")}) AS email,
+             {_trim(f"COALESCE({_js('payload', '$.contactDetails.firstName')}, '') || ' ' || COALESCE({_js('payload', '$.contactDetails.lastName')}, '')")} AS name,
+             json_type(payload, '$.priceInfo.totalPrice') AS tpt,
+             json_type(payload, '$.priceInfo.totalPrice.value') AS vt,
+             json_extract_string(payload, '$.priceInfo.totalPrice.value') AS vs
+      FROM booking_payload)
+WHERE COALESCE(NULLIF(contact, ''), email) <> ''"""
+
+ORACLES["parse_services"] = with_adapters(SERVICES_SQL, "service_payload")
+ORACLES["parse_bookings"] = with_adapters(BOOKINGS_SQL, "booking_payload")
+ORACLES["sync_summary"] = with_adapters("""
+SELECT CASE WHEN COUNT(*) = COUNT(wix_id) THEN 'SUCCESS' ELSE 'PARTIAL' END AS status,
+       COUNT(*) AS services_synced, (SELECT COUNT(*) FROM bookings) AS bookings_synced,
+       (SELECT COUNT(*) FROM booking_payload) AS bookings_fetched,
+       (SELECT COUNT(*) FROM booking_payload) AS bookings_total_in_wix
+FROM services""", "service_payload", "booking_payload",
+    extra=f"services AS ({SERVICES_SQL.strip()}), bookings AS ({BOOKINGS_SQL.strip()})")
+
+ORACLES["ga4_metrics"] = with_adapters("""
+SELECT log_date, 'ga4' AS platform, 'activeUsers' AS metric_name, TRY_CAST(v0 AS DOUBLE) AS metric_value FROM g WHERE n >= 2
+UNION ALL
+SELECT log_date, 'ga4', 'sessions', TRY_CAST(v1 AS DOUBLE) FROM g WHERE n >= 2""", "ga4_payload", extra="""
+g AS (SELECT CAST(strptime(json_extract_string(payload, '$.date'), '%Y%m%d') AS DATE) AS log_date,
+             json_array_length(payload, '$.metricValues') AS n,
+             json_extract_string(payload, '$.metricValues[0].value') AS v0,
+             json_extract_string(payload, '$.metricValues[1].value') AS v1
+      FROM ga4_payload)""")
+
+
+def _any_contains(col: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{p}')" for p in phrases) + ")"
+
+
+def _rights_sql() -> str:
+    from ledgerline.operators.transforms import ACCESS_PHRASES, DELETE_PHRASES, OPTOUT_PHRASES
+    m = "$.entry[0].changes[0].value"
+    return f"""
+SELECT conv_id, turn, phone, message_text,
+       CASE WHEN {_any_contains('message_text', DELETE_PHRASES)} THEN 'DELETE'
+            WHEN {_any_contains('message_text', ACCESS_PHRASES)} THEN 'ACCESS'
+            WHEN {_any_contains('message_text', OPTOUT_PHRASES)} THEN 'OPTOUT' ELSE 'unknown' END AS intent
+FROM (SELECT conv_id, turn,
+             COALESCE({_js('payload', m + '.messages[0].from')}, {_js('payload', m + '.contacts[0].wa_id')}, '') AS phone,
+             lower({_trim(f"COALESCE({_js('payload', m + '.messages[0].text.body')}, '')")}) AS message_text
+      FROM rights_message)"""
+
+
+RIGHTS_SQL = _rights_sql()
+ORACLES["rights_intent"] = with_adapters(RIGHTS_SQL, "rights_message")
+ORACLES["rights_access_report"] = with_adapters("""
+SELECT r.phone, COALESCE(rep.message_count, 0) AS message_count, rep.summary
+FROM (SELECT DISTINCT phone FROM ri WHERE intent = 'ACCESS') r
+LEFT JOIN (
+  SELECT sender_id AS phone, COUNT(*) AS message_count,
+         string_agg(CAST(rn AS VARCHAR) || '. [' || COALESCE(substring(strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 1, 10), '')
+                    || '] ' || COALESCE(NULLIF(intent_detected, ''), 'inquiry') || ': '
+                    || substring(COALESCE(original_message, ''), 1, 60) || '...', chr(10) ORDER BY rn) AS summary
+  FROM (SELECT *, row_number() OVER (PARTITION BY sender_id ORDER BY created_at DESC NULLS FIRST, id) AS rn
+        FROM cc WHERE sender_id IN (SELECT phone FROM ri WHERE intent = 'ACCESS'))
+  WHERE rn <= 20 GROUP BY sender_id) rep ON rep.phone = r.phone""", "rights_message", "cc",
+    extra=f"ri AS ({RIGHTS_SQL.strip()})")
+
+ORACLES["parse_rewrite"] = with_adapters("""
+SELECT conv_id, turn, request_language,
+       CASE WHEN NOT ok THEN 'REWRITE_FAILED'
+            ELSE COALESCE(NULLIF(json_extract_string(j, '$.rewritten_query'), ''), 'REWRITE_FAILED') END AS rewritten_query,
+       COALESCE(json_type(j, '$.is_greeting') = 'BOOLEAN' AND json_extract_string(j, '$.is_greeting') = 'true', false) AS is_greeting,
+       CASE WHEN NOT ok THEN 'unknown'
+            ELSE COALESCE(NULLIF(json_extract_string(j, '$.detected_language'), ''), NULLIF(request_language, ''), 'auto') END AS detected_language,
+       CASE WHEN NOT ok THEN 'general' ELSE COALESCE(NULLIF(json_extract_string(j, '$.intent'), ''), 'general') END AS intent
+FROM (SELECT *, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw ELSE '{}' END AS j
+      FROM (SELECT conv_id, turn, request_language,
+                   COALESCE(NULLIF(regexp_replace(response_text, '^\\s+|\\s+$', '', 'g'), ''), '{}') AS raw
+            FROM rewrite_response))""", "rewrite_response")
+
+ORACLES["resolve_tiers"] = with_adapters("""
+SELECT request_id,
+       CASE WHEN primary_text IS NOT NULL THEN 'primary' WHEN fallback_text IS NOT NULL THEN 'fallback'
+            ELSE 'graceful_error' END AS source,
+       COALESCE(primary_text, fallback_text, 'AI services are temporarily unavailable. Please try again shortly.') AS response,
+       primary_text IS NULL AS fallback_used,
+       CASE WHEN primary_text IS NOT NULL THEN 0 WHEN fallback_text IS NOT NULL THEN 1 ELSE 2 END AS fallback_level
+FROM tier_response""", "tier_response")
+
+TECH_SQL = """
+SELECT doc_id, submission_channel, raw_text, ok, j,
+       CASE WHEN NOT ok THEN 'Unknown (extraction pending)'
+            WHEN json_type(j, '$.technique_name') IS NULL THEN 'Unknown'
+            ELSE json_extract_string(j, '$.technique_name') END AS technique_name,
+       CASE WHEN ok THEN json_extract_string(j, '$.artisan_name') END AS artisan_name,
+       CASE WHEN ok THEN json_extract_string(j, '$.region') END AS region,
+       CASE WHEN ok THEN json_extract_string(j, '$.category') ELSE 'other' END AS category,
+       CASE WHEN ok THEN COALESCE(json_extract_string(j, '$.materials[*]'), []) ELSE [] END AS materials_list,
+       CASE WHEN ok THEN COALESCE(json_extract_string(j, '$.tools[*]'), []) ELSE [] END AS tools_list,
+       CASE WHEN ok THEN json_extract_string(j, '$.description') ELSE substring(raw_text, 1, 500) END AS description,
+       CASE WHEN ok THEN json_extract_string(j, '$.risk_level') ELSE 'unknown' END AS risk_level
+FROM (SELECT *, CASE WHEN ok THEN m ELSE '{}' END AS j
+      FROM (SELECT *, m <> '' AND json_valid(m) AS ok
+            FROM (SELECT doc_id, submission_channel, raw_text,
+                         regexp_extract(response_text, '\\{[\\s\\S]*\\}', 0) AS m FROM extraction_response)))"""
+
+NORM_SQL = """
+SELECT doc_id, technique_name, NULLIF(artisan_name, '') AS artisan_name,
+       CASE WHEN t.cat IN ('carving','woodturning','joinery','inlay','marquetry','finishing','other') THEN t.cat ELSE 'other' END AS category,
+       CASE WHEN NULLIF(risk_level, '') IS NULL THEN 'unknown'
+            WHEN regexp_split_to_array(trim(lower(risk_level)), '\\s+')[1] IN ('critical','rare','common')
+              THEN regexp_split_to_array(trim(lower(risk_level)), '\\s+')[1]
+            ELSE 'unknown' END AS risk_level,
+       materials_list
+FROM (SELECT *, trim(lower(COALESCE(category, 'None'))) AS cat FROM tech) t"""
+
+ORACLES["extract_technique"] = with_adapters("""
+SELECT doc_id, submission_channel, ok AS extracted, technique_name, artisan_name, region, category,
+       array_to_string(materials_list, ',') AS materials, array_to_string(tools_list, ',') AS tools,
+       description, risk_level
+FROM tech""", "extraction_response", extra=f"tech AS ({TECH_SQL.strip()})")
+
+ORACLES["normalize_technique"] = with_adapters("""
+SELECT doc_id, technique_name, artisan_name, category, risk_level FROM norm""", "extraction_response",
+    extra=f"tech AS ({TECH_SQL.strip()}), norm AS ({NORM_SQL.strip()})")
+
+
+def _piece(key: str, fallback: str) -> str:
+    return (f"CASE WHEN NOT ok THEN {fallback} WHEN json_type(j, '$.{key}') IS NULL THEN '' "
+            f"WHEN json_type(j, '$.{key}') = 'NULL' THEN 'None' ELSE json_extract_string(j, '$.{key}') END")
+
+
+ORACLES["embedding_text"] = with_adapters(f"""
+SELECT doc_id, regexp_replace({_piece('technique_name', 'technique_name')} || ' ' ||
+       {_piece('description', "COALESCE(description, 'None')")} || ' ' || {_piece('category', 'category')} || ' ' ||
+       {_piece('region', "COALESCE(region, 'None')")}, '^\\s+|\\s+$', '', 'g') AS embed_text
+FROM tech""", "extraction_response", extra=f"tech AS ({TECH_SQL.strip()})")
+
+ORACLES["technique_facets"] = with_adapters("""
+SELECT facet, value, COUNT(*) AS n FROM (
+  SELECT 'category' AS facet, category AS value FROM norm
+  UNION ALL SELECT 'risk_level', risk_level FROM norm
+  UNION ALL SELECT 'material', unnest(materials_list) FROM norm)
+GROUP BY facet, value""", "extraction_response",
+    extra=f"tech AS ({TECH_SQL.strip()}), norm AS ({NORM_SQL.strip()})")

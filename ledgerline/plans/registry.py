@@ -135,3 +135,68 @@ def _a26(c):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["finance_monthly_trend"](spark, sf_dir)
+
+
+# ---------------------------------------------------------------- transforms
+from ledgerline.operators import transforms as T  # noqa: E402
+
+
+def _services(c): return T.parse_services(ad.service_payload(c))
+
+
+def _bookings(c): return T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF)
+
+
+def _intents(c): return T.rights_intent(ad.rights_message(c))
+
+
+def _techniques(c): return T.extract_technique(ad.extraction_response(c))
+
+
+register("parse_services")(_services)
+register("parse_bookings")(_bookings)
+
+
+@register("sync_summary")
+def _t39(c): return T.sync_summary(_services(c), ad.booking_payload(c), _bookings(c))
+
+
+@register("ga4_metrics")
+def _t40(c): return T.ga4_metrics(ad.ga4_payload(c))
+
+
+register("rights_intent")(_intents)
+
+
+@register("rights_access_report")
+def _t42(c): return T.rights_access_report(_intents(c), ad.concierge_conversations(c))
+
+
+@register("parse_rewrite")
+def _t44(c): return T.parse_rewrite(ad.rewrite_response(c))
+
+
+@register("resolve_tiers")
+def _t45(c): return T.resolve_tiers(ad.tier_response(c))
+
+
+@register("extract_technique")
+def _t46(c):
+    return _techniques(c).select(
+        "doc_id", "submission_channel", "extracted", "technique_name", "artisan_name", "region", "category",
+        F.array_join("materials", ",").alias("materials"), F.array_join("tools", ",").alias("tools"),
+        "description", "risk_level")
+
+
+@register("normalize_technique")
+def _t47(c):
+    return T.normalize_technique(_techniques(c)).select("doc_id", "technique_name", "artisan_name", "category",
+                                                        "risk_level")
+
+
+@register("embedding_text")
+def _t48(c): return T.embedding_text(_techniques(c)).select("doc_id", "embed_text")
+
+
+@register("technique_facets")
+def _t49(c): return T.technique_facets(T.normalize_technique(_techniques(c)))
