@@ -375,3 +375,29 @@ def recent_rows(tables: dict, table_name: str, limit: int = 10) -> DataFrame:
         raise ValueError("limit must be in 1..100")
     df = tables[table_name]
     return df.orderBy(newest_first("created_at"), "id").limit(limit).select("id", "content", "metadata", "created_at")
+
+
+# ----------------------------------------------------------------------------- A24
+PAIR_COLUMNS = ("id", "customer_wa_id", "customer_name", "customer_message", "ai_proposed_response",
+                "mostafa_actual_response", "quality_rating", "capture_source", "created_at", "mostafa_responded_at")
+
+
+def training_pairs(shadow: DataFrame, only_complete: bool = True, limit: int = 50) -> DataFrame:
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be in 1..200")
+    df = shadow
+    if "customer_name" not in df.columns:
+        df = df.withColumn("customer_name", F.lit(None).cast("string"))
+    if only_complete:
+        df = df.where(F.col("ai_proposed_response").isNotNull() & F.col("mostafa_actual_response").isNotNull())
+    return df.orderBy(newest_first("created_at"), "id").limit(limit).select(*PAIR_COLUMNS)
+
+
+# ----------------------------------------------------------------------------- A25
+def training_pair_stats(shadow: DataFrame) -> DataFrame:
+    q = F.col("quality_rating")
+    return shadow.agg(
+        count_if(F.col("ai_proposed_response").isNotNull() & F.col("mostafa_actual_response").isNotNull())
+        .alias("complete_pairs"),
+        count_if(q == "better").alias("ai_better"), count_if(q == "similar").alias("ai_similar"),
+        count_if(q == "worse").alias("ai_worse"), F.count(F.lit(1)).alias("total"))

@@ -16,3 +16,9 @@ PAGE_OFFSET = 10
 SEARCH_LIMIT = 100
 TRANSACTION_LIMIT = 200
 RECENT_ROWS_LIMIT = 100
+
+# X49 on the fixture: 3 requests per client per 12 hours, so rejections occur.
+RATE_LIMIT = 3
+RATE_WINDOW_SECONDS = 12 * 3600
+# W50: the seeded thresholds (40 / 300 / 30 / 35 dollars) as they are.
+COST_RULE_SCALE = 1.0

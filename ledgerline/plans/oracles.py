@@ -585,3 +585,228 @@ SELECT facet, value, COUNT(*) AS n FROM (
   UNION ALL SELECT 'material', unnest(materials_list) FROM norm)
 GROUP BY facet, value""", "extraction_response",
     extra=f"tech AS ({TECH_SQL.strip()}), norm AS ({NORM_SQL.strip()})")
+
+# ---------------------------------------------------------------- keyed writes and stateful
+DRAFTS_SQL = """
+SELECT event_id AS id, customer_wa_id, text AS customer_message, wamid AS customer_message_wamid,
+       'draft: ' || text AS ai_proposed_response, created_at AS ai_responded_at, created_at
+FROM shadow_event WHERE kind = 'draft'"""
+
+ORACLES["upsert_drafts"] = with_adapters("""
+SELECT f.id, f.customer_wa_id, f.customer_message, f.customer_message_wamid, f.created_at,
+       l.ai_proposed_response, l.ai_responded_at
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at, id) AS r FROM drafts
+      WHERE customer_message_wamid IS NOT NULL) f
+JOIN (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at DESC, id DESC) AS r FROM drafts
+      WHERE customer_message_wamid IS NOT NULL) l
+  ON f.customer_message_wamid = l.customer_message_wamid AND f.r = 1 AND l.r = 1
+UNION ALL
+SELECT id, customer_wa_id, customer_message, customer_message_wamid, created_at, ai_proposed_response, ai_responded_at
+FROM drafts WHERE customer_message_wamid IS NULL""", "shadow_event", extra=f"drafts AS ({DRAFTS_SQL.strip()})")
+
+# Literal replay of the reply matcher: walk each customer's events in order with
+# the stack of unanswered drafts as a list (a recursive CTE, one event per step).
+SHADOW_SQL = """
+ev AS (SELECT event_id, customer_wa_id, kind, text, created_at,
+              row_number() OVER (PARTITION BY customer_wa_id ORDER BY created_at, event_id) AS rn
+       FROM shadow_event),
+walk AS (
+  SELECT customer_wa_id, CAST(0 AS BIGINT) AS rn,
+         CAST([] AS STRUCT(id BIGINT, t TIMESTAMP)[]) AS stack,
+         CAST(NULL AS BIGINT) AS reply_id, CAST(NULL AS BIGINT) AS draft_id
+  FROM (SELECT DISTINCT customer_wa_id FROM ev)
+  UNION ALL
+  SELECT w.customer_wa_id, e.rn,
+         CASE WHEN e.kind = 'draft' THEN list_append(w.stack, {'id': e.event_id, 't': e.created_at})
+              WHEN len(w.stack) > 0 AND w.stack[len(w.stack)].t > e.created_at - INTERVAL 24 HOUR
+                THEN list_slice(w.stack, 1, len(w.stack) - 1)
+              ELSE w.stack END,
+         CASE WHEN e.kind = 'reply' THEN e.event_id END,
+         CASE WHEN e.kind = 'reply' AND len(w.stack) > 0 AND w.stack[len(w.stack)].t > e.created_at - INTERVAL 24 HOUR
+              THEN w.stack[len(w.stack)].id END
+  FROM walk w JOIN ev e ON e.customer_wa_id = w.customer_wa_id AND e.rn = w.rn + 1),
+pairs AS (SELECT reply_id, draft_id FROM walk WHERE draft_id IS NOT NULL),
+shadow AS (
+  SELECT d.id, d.customer_wa_id, d.customer_message, d.customer_message_wamid, d.ai_proposed_response,
+         d.ai_responded_at, r.text AS mostafa_actual_response, r.created_at AS mostafa_responded_at,
+         CASE WHEN r.event_id IS NOT NULL THEN 'tampermonkey' END AS capture_source, d.created_at
+  FROM drafts d LEFT JOIN pairs p ON p.draft_id = d.id LEFT JOIN shadow_event r ON r.event_id = p.reply_id
+  UNION ALL
+  SELECT s.event_id, s.customer_wa_id, '[no AI draft captured]', NULL, NULL, NULL, s.text, s.created_at,
+         'tampermonkey', s.created_at
+  FROM shadow_event s WHERE s.kind = 'reply' AND s.event_id NOT IN (SELECT reply_id FROM pairs))"""
+
+_SHADOW_CTES = f"drafts AS ({DRAFTS_SQL.strip()}),\n{SHADOW_SQL.strip()}"
+
+
+def _with_shadow(body: str, *more: str, extra: str = "") -> str:
+    sql = with_adapters(body, "shadow_event", *more, extra=_SHADOW_CTES + ("," + extra if extra else ""))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES["match_replies"] = _with_shadow("SELECT * FROM shadow")
+
+RATED_SQL = """
+valid AS (SELECT * FROM rating WHERE quality_rating IN ('better', 'similar', 'worse')),
+lastr AS (SELECT shadow_id, quality_rating, notes, created_at AS rated_at FROM (
+            SELECT *, row_number() OVER (PARTITION BY shadow_id ORDER BY seq DESC) AS r
+            FROM valid WHERE shadow_id IN (SELECT id FROM shadow)) WHERE r = 1),
+rated AS (SELECT s.*, NULL AS customer_name, l.quality_rating, l.notes, l.rated_at
+          FROM shadow s LEFT JOIN lastr l ON l.shadow_id = s.id)"""
+
+ORACLES["apply_ratings"] = _with_shadow("SELECT id, quality_rating, notes, rated_at FROM rated", "rating",
+                                        extra=RATED_SQL)
+ORACLES["apply_ratings_rejects"] = _with_shadow("""
+SELECT seq, shadow_id, 'invalid' AS reason FROM rating
+WHERE quality_rating IS NULL OR quality_rating NOT IN ('better', 'similar', 'worse')
+UNION ALL
+SELECT seq, shadow_id, 'not_found' FROM valid WHERE shadow_id NOT IN (SELECT id FROM shadow)""", "rating",
+                                                extra=RATED_SQL)
+ORACLES["training_pairs"] = _with_shadow("""
+SELECT id, customer_wa_id, customer_name, customer_message, ai_proposed_response, mostafa_actual_response,
+       quality_rating, capture_source, created_at, mostafa_responded_at
+FROM rated WHERE ai_proposed_response IS NOT NULL AND mostafa_actual_response IS NOT NULL
+ORDER BY created_at DESC NULLS FIRST, id LIMIT 50""", "rating", extra=RATED_SQL)
+ORACLES["training_pair_stats"] = _with_shadow("""
+SELECT COUNT(*) FILTER (WHERE ai_proposed_response IS NOT NULL AND mostafa_actual_response IS NOT NULL) AS complete_pairs,
+       COUNT(*) FILTER (WHERE quality_rating = 'better') AS ai_better,
+       COUNT(*) FILTER (WHERE quality_rating = 'similar') AS ai_similar,
+       COUNT(*) FILTER (WHERE quality_rating = 'worse') AS ai_worse, COUNT(*) AS total
+FROM rated""", "rating", extra=RATED_SQL)
+
+ORACLES["ingest_pairs"] = with_adapters(f"""
+SELECT conv_id, turn, customer_wa_id, COALESCE(NULLIF(customer_name, ''), batch_name) AS customer_name,
+       customer_message, '[historical export - no AI draft]' AS ai_proposed_response,
+       tch_reply AS mostafa_actual_response, COALESCE(NULLIF(source, ''), 'tampermonkey_extract_v3') AS capture_source,
+       {_ts(EVENTS_AS_OF)} AS created_at
+FROM conversation_pair WHERE regexp_matches(customer_message, '\\S')""", "conversation_pair")
+ORACLES["ingest_pairs_counts"] = with_adapters("""
+SELECT batch_name, COUNT(*) FILTER (WHERE regexp_matches(customer_message, '\\S')) AS inserted,
+       COUNT(*) FILTER (WHERE NOT regexp_matches(customer_message, '\\S')) AS skipped
+FROM conversation_pair GROUP BY batch_name""", "conversation_pair")
+
+# Literal replay of stock-checked usage per item (recursive CTE, one request per step).
+ORACLES["usage_log"] = with_adapters("""
+SELECT ur.event_id, ur.item_id,
+       CASE WHEN ur.quantity IS NULL OR ur.quantity <= 0 THEN 'invalid'
+            WHEN ii.id IS NULL THEN 'not_found'
+            WHEN s.ok THEN 'accepted' ELSE 'insufficient' END AS verdict,
+       CAST(s.left_stock AS DOUBLE) AS stock_after
+FROM usage_request ur LEFT JOIN ii ON ii.id = ur.item_id LEFT JOIN steps s ON s.event_id = ur.event_id""",
+    "usage_request", "ii", extra="""
+q AS (SELECT ur.event_id, ur.item_id, ur.quantity, ii.current_stock,
+             row_number() OVER (PARTITION BY ur.item_id ORDER BY ur.created_at, ur.event_id) AS rn
+      FROM usage_request ur JOIN ii ON ii.id = ur.item_id WHERE ur.quantity > 0),
+steps AS (
+  SELECT event_id, item_id, rn, quantity <= current_stock AS ok,
+         CASE WHEN quantity <= current_stock THEN current_stock - quantity ELSE current_stock END AS left_stock
+  FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.event_id, q.item_id, q.rn, q.quantity <= s.left_stock,
+         CASE WHEN q.quantity <= s.left_stock THEN s.left_stock - q.quantity ELSE s.left_stock END
+  FROM steps s JOIN q ON q.item_id = s.item_id AND q.rn = s.rn + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+ORACLES["stock_ledger"] = with_adapters("""
+SELECT item_id, CAST(SUM(CASE WHEN movement_type = 'consumption' THEN -quantity ELSE quantity END) AS DOUBLE) AS net_change,
+       COUNT(*) AS movements
+FROM sm GROUP BY item_id""", "sm")
+
+ORACLES["upsert_services"] = with_adapters("""
+SELECT f.wix_id AS wix_service_id, f.service_type, f.status, l.title, l.price AS price_egp,
+       l.duration AS duration_minutes, l.category
+FROM (SELECT *, row_number() OVER (PARTITION BY wix_id ORDER BY pos) AS r FROM services) f
+JOIN (SELECT *, row_number() OVER (PARTITION BY wix_id ORDER BY pos DESC) AS r FROM services) l
+  ON f.wix_id = l.wix_id AND f.r = 1 AND l.r = 1""", "service_payload", extra=f"services AS ({SERVICES_SQL.strip()})")
+
+ORACLES["bookings_to_interactions"] = with_adapters(f"""
+SELECT o_orderkey, wix_booking_id, wix_contact_id,
+       'Booking: ' || COALESCE(full_name, 'None') || ' - ' || COALESCE(wix_service_id, 'None') AS message_text,
+       'booked' AS outcome,
+       '{{"email": ' || CASE WHEN email IS NULL THEN 'null' ELSE '"' || email || '"' END || ', "phone": '
+       || CASE WHEN phone IS NULL THEN 'null' ELSE '"' || phone || '"' END || '}}' AS metadata,
+       {_ts(ORDERS_AS_OF)} AS created_at
+FROM bookings""", "booking_payload", extra=f"bookings AS ({BOOKINGS_SQL.strip()})")
+
+ORACLES["insert_metrics"] = with_adapters("""
+SELECT * FROM m WHERE date_diff('day', (SELECT min(log_date) FROM m), log_date) * 2
+                      <= date_diff('day', (SELECT min(log_date) FROM m), (SELECT max(log_date) FROM m))
+UNION
+SELECT * FROM m""", "ga4_payload", extra="""
+m AS (SELECT CAST(strptime(json_extract_string(payload, '$.date'), '%Y%m%d') AS DATE) AS log_date, 'ga4' AS platform,
+             unnest(['activeUsers', 'sessions']) AS metric_name,
+             TRY_CAST(unnest([json_extract_string(payload, '$.metricValues[0].value'),
+                              json_extract_string(payload, '$.metricValues[1].value')]) AS DOUBLE) AS metric_value
+      FROM ga4_payload WHERE json_array_length(payload, '$.metricValues') >= 2)""")
+
+ORACLES["rights_delete"] = with_adapters("""
+SELECT id, sender_id, channel, created_at FROM cc
+WHERE sender_id NOT IN (SELECT phone FROM ri WHERE intent = 'DELETE')""", "rights_message", "cc",
+    extra=f"ri AS ({RIGHTS_SQL.strip()})")
+
+ORACLES["rights_optout"] = with_adapters("""
+SELECT phone_number, reason, blocked_by FROM seed
+UNION ALL
+SELECT DISTINCT phone, 'user_opt_out', 'whatsapp_bot' FROM ri
+WHERE intent = 'OPTOUT' AND phone NOT IN (SELECT phone_number FROM seed)""", "rights_message", extra=f"""
+ri AS ({RIGHTS_SQL.strip()}),
+seed AS (SELECT DISTINCT phone AS phone_number, 'user_opt_out' AS reason, 'seed' AS blocked_by FROM ri
+         WHERE intent = 'OPTOUT' AND conv_id * 2 <= (SELECT max(conv_id) FROM conversations))""")
+
+
+def _cost_rules_sql() -> str:
+    from ledgerline.operators.writes import COST_RULES
+    from ledgerline.plans.fixture_params import COST_RULE_SCALE
+    vals = []
+    for name, cond, action in COST_RULES:
+        metric, thr = cond.split(">")
+        vals.append(f"('{name}', 'agent_a', '{metric.strip()}', {float(thr) * COST_RULE_SCALE}, '{action}')")
+    return "rules(rule_name, service_name, metric, threshold, action_to_take) AS (VALUES " + ", ".join(vals) + ")"
+
+
+ORACLES["cost_rules_fired"] = with_adapters("""
+SELECT r.rule_name, r.service_name, d.spend_date, r.metric,
+       CAST(CASE r.metric WHEN 'daily_spend' THEN d.daily_cents ELSE d.weekly_cents END AS DOUBLE) / 100 AS spend,
+       CAST(r.threshold AS DOUBLE) AS threshold, r.action_to_take
+FROM d JOIN rules r ON r.service_name = d.service_name
+WHERE CASE r.metric WHEN 'daily_spend' THEN d.daily_cents ELSE d.weekly_cents END > CAST(r.threshold AS DECIMAL(20,2)) * 100""",
+    "ae", extra=_cost_rules_sql() + """,
+d AS (SELECT *, SUM(daily_cents) OVER (PARTITION BY service_name, date_trunc('week', spend_date) ORDER BY spend_date
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS weekly_cents
+      FROM (SELECT agent_name AS service_name, CAST(created_at AS DATE) AS spend_date, SUM(cost_cents) AS daily_cents
+            FROM ae WHERE agent_name IS NOT NULL GROUP BY 1, 2))""")
+
+ORACLES["current_settings"] = with_adapters("""
+SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, event_id DESC) AS r
+                        FROM setting_change WHERE value IN ('active', 'paused')) WHERE r = 1""", "setting_change")
+ORACLES["ai_mode"] = with_adapters("""
+SELECT COALESCE(max(value), 'active') AS mode, COALESCE(max(value), 'active') = 'active' AS is_active
+FROM (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, event_id DESC) AS r
+                              FROM setting_change WHERE value IN ('active', 'paused')) WHERE r = 1)
+WHERE key = 'ai_concierge_mode'""", "setting_change")
+
+ORACLES["validate_rows"] = with_adapters("""
+SELECT id, reasons = '' AS is_valid, reasons FROM (
+  SELECT id, concat_ws(',',
+           CASE WHEN channel IS NULL THEN 'channel_null' END,
+           CASE WHEN channel NOT IN ('whatsapp', 'messenger', 'instagram', 'web') THEN 'channel_domain' END,
+           CASE WHEN sender_id IS NULL THEN 'sender_null' END,
+           CASE WHEN original_message IS NULL THEN 'message_null' END,
+           CASE WHEN length(original_message) < 1 OR length(original_message) > 1000 THEN 'message_length' END,
+           CASE WHEN customer_feedback < 1 OR customer_feedback > 5 THEN 'feedback_range' END) AS reasons
+  FROM unchecked_conversations)""", "unchecked_conversations")
+
+# Literal replay of the sliding-window limiter per client (list of accepted times as state).
+ORACLES["rate_verdicts"] = """
+WITH RECURSIVE r AS (
+  SELECT event_id, user_id AS client, ts,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+steps AS (
+  SELECT event_id, client, rn, TRUE AS ok, [ts] AS acc FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.event_id, r.client, r.rn,
+         len(list_filter(s.acc, lambda x: r.ts - x < INTERVAL 12 HOUR)) < 3,
+         CASE WHEN len(list_filter(s.acc, lambda x: r.ts - x < INTERVAL 12 HOUR)) < 3
+              THEN list_append(list_filter(s.acc, lambda x: r.ts - x < INTERVAL 12 HOUR), r.ts)
+              ELSE list_filter(s.acc, lambda x: r.ts - x < INTERVAL 12 HOUR) END
+  FROM steps s JOIN r ON r.client = s.client AND r.rn = s.rn + 1)
+SELECT event_id, client, CASE WHEN ok THEN 'accept' ELSE 'reject' END AS verdict FROM steps"""

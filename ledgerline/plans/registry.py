@@ -200,3 +200,135 @@ def _t48(c): return T.embedding_text(_techniques(c)).select("doc_id", "embed_tex
 
 @register("technique_facets")
 def _t49(c): return T.technique_facets(T.normalize_technique(_techniques(c)))
+
+
+# ---------------------------------------------------------------- keyed writes and stateful
+from ledgerline.operators import stateful as X  # noqa: E402
+from ledgerline.operators import writes as W  # noqa: E402
+
+
+def _draft_log(c):
+    se = ad.shadow_event(c).where(F.col("kind") == "draft")
+    return se.select(F.col("event_id").alias("id"), "customer_wa_id", F.col("text").alias("customer_message"),
+                     F.col("wamid").alias("customer_message_wamid"),
+                     F.concat(F.lit("draft: "), F.col("text")).alias("ai_proposed_response"),
+                     F.col("created_at").alias("ai_responded_at"), "created_at")
+
+
+def _reply_log(c):
+    se = ad.shadow_event(c).where(F.col("kind") == "reply")
+    return se.select(F.col("event_id").alias("id"), "customer_wa_id", F.col("text").alias("reply_text"),
+                     F.lit("tampermonkey").alias("capture_source"), "created_at")
+
+
+def _first_half(df, id_col, c, table="events", table_id="event_id"):
+    """Rows whose id is in the lower half of the source id range (scalar subquery)."""
+    top = c[table].agg(F.max(table_id)).scalar()
+    return df.where(F.col(id_col) * 2 <= top), df.where(F.col(id_col) * 2 > top)
+
+
+@register("upsert_drafts")
+def _w30(c):
+    first, second = _first_half(_draft_log(c), "id", c)
+    return W.upsert_drafts(W.upsert_drafts(None, first), second)
+
+
+def _shadow(c): return X.match_replies(_draft_log(c), _reply_log(c), 24)
+
+
+register("match_replies")(_shadow)
+
+
+def _rated(c): return W.apply_ratings(_shadow(c), ad.rating(c))
+
+
+@register("apply_ratings")
+def _w31(c): return _rated(c)[0].select("id", "quality_rating", "notes", "rated_at")
+
+
+@register("apply_ratings_rejects")
+def _w31r(c): return _rated(c)[1]
+
+
+@register("training_pairs")
+def _a24(c): return A.training_pairs(_rated(c)[0], only_complete=True, limit=50)
+
+
+@register("training_pair_stats")
+def _a25(c): return A.training_pair_stats(_rated(c)[0])
+
+
+@register("ingest_pairs")
+def _w32(c): return W.ingest_pairs(ad.conversation_pair(c), P.EVENTS_AS_OF)[0]
+
+
+@register("ingest_pairs_counts")
+def _w32c(c): return W.ingest_pairs(ad.conversation_pair(c), P.EVENTS_AS_OF)[1]
+
+
+@register("usage_log")
+def _w33(c):
+    return X.usage_log(ad.usage_request(c), ad.inventory_items(c)).select(
+        "event_id", "item_id", "verdict", F.col("stock_after").cast("double").alias("stock_after"))
+
+
+@register("stock_ledger")
+def _w34(c): return W.stock_ledger(ad.stock_movements(c))
+
+
+@register("upsert_services")
+def _w35(c):
+    first, second = _first_half(_services(c), "pos", c, "part", "p_partkey")
+    return W.upsert_services(W.upsert_services(None, first), second)
+
+
+@register("bookings_to_interactions")
+def _w36(c): return W.bookings_to_interactions(_bookings(c), P.ORDERS_AS_OF)
+
+
+@register("insert_metrics")
+def _w40(c):
+    m = T.ga4_metrics(ad.ga4_payload(c))
+    lo, hi = m.agg(F.min("log_date")).scalar(), m.agg(F.max("log_date")).scalar()
+    target = m.where(F.datediff(F.col("log_date"), lo) * 2 <= F.datediff(hi, lo))
+    return W.insert_metrics(target, m, mode="ignore")
+
+
+@register("rights_delete")
+def _w42a(c):
+    return W.rights_delete(ad.concierge_conversations(c), _intents(c)).select("id", "sender_id", "channel",
+                                                                             "created_at")
+
+
+@register("rights_optout")
+def _w42b(c):
+    intents = _intents(c)
+    first, _ = _first_half(intents, "conv_id", c, "conversations", "conv_id")
+    seed = (first.where(F.col("intent") == "OPTOUT").select(F.col("phone").alias("phone_number")).distinct()
+            .select("phone_number", F.lit("user_opt_out").alias("reason"), F.lit("seed").alias("blocked_by")))
+    return W.rights_optout(seed, intents)
+
+
+@register("cost_rules_fired")
+def _w50(c):
+    spark = c.spark
+    return W.cost_rules_fired(ad.ai_events(c), W.cost_rules_frame(spark, "agent_a", P.COST_RULE_SCALE))
+
+
+@register("current_settings")
+def _w51(c): return W.current_settings(ad.setting_change(c))
+
+
+@register("ai_mode")
+def _w51m(c): return W.ai_mode(W.current_settings(ad.setting_change(c)))
+
+
+@register("validate_rows")
+def _v52(c): return W.validate_rows(ad.unchecked_conversations(c)).select("id", "is_valid", "reasons")
+
+
+@register("rate_verdicts")
+def _x49(c):
+    ev = c["events"].select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("created_at"))
+    return X.rate_verdicts(ev, limit=P.RATE_LIMIT, window_seconds=P.RATE_WINDOW_SECONDS).select(
+        "event_id", "client", "verdict")
