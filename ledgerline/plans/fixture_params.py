@@ -22,3 +22,8 @@ RATE_LIMIT = 3
 RATE_WINDOW_SECONDS = 12 * 3600
 # W50: the seeded thresholds (40 / 300 / 30 / 35 dollars) as they are.
 COST_RULE_SCALE = 1.0
+# Vector search: a second threshold that does cut top-10 lists; memory k; IVF shape.
+STRICT_MIN_SIMILARITY = 0.3
+MEMORY_K = 10
+IVF_LISTS = 8
+IVF_PROBES = 2

@@ -810,3 +810,33 @@ steps AS (
               ELSE list_filter(s.acc, lambda x: r.ts - x < INTERVAL 12 HOUR) END
   FROM steps s JOIN r ON r.client = s.client AND r.rn = s.rn + 1)
 SELECT event_id, client, CASE WHEN ok THEN 'accept' ELSE 'reject' END AS verdict FROM steps"""
+
+# ---------------------------------------------------------------- vectors
+_KB_Q = """
+q AS (SELECT query_id, list(x ORDER BY pos) AS query_vec FROM (
+        SELECT category AS query_id, pos, avg(CAST(x AS DOUBLE)) AS x FROM (
+          SELECT category, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos
+          FROM ke WHERE embedding IS NOT NULL) GROUP BY category, pos) GROUP BY query_id),
+scored AS (SELECT q.query_id, k.id, k.question, k.answer, k.category, k.confidence,
+                  list_cosine_similarity(CAST(k.embedding AS DOUBLE[]), q.query_vec) AS similarity
+           FROM q, ke k WHERE k.embedding IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scored)"""
+
+
+def _kb_search_sql(k: int, min_sim: float) -> str:
+    return with_adapters(f"""
+SELECT query_id, rank, id, question, answer, category, CASE WHEN confidence <> 0 THEN confidence END AS confidence,
+       CASE WHEN similarity <> 0 THEN round(similarity, 4) END AS similarity
+FROM ranked WHERE rank <= {k} AND similarity >= {min_sim}""", "ke", extra=_KB_Q)
+
+
+def _vector_oracles():
+    from ledgerline.plans.fixture_params import MEMORY_K, STRICT_MIN_SIMILARITY
+    ORACLES["kb_search"] = _kb_search_sql(3, 0.12)
+    ORACLES["kb_search_strict"] = _kb_search_sql(10, STRICT_MIN_SIMILARITY)
+    ORACLES["memory_search"] = with_adapters(f"""
+SELECT query_id, rank, id, question AS content, round(similarity, 4) AS score
+FROM ranked WHERE rank <= {MEMORY_K}""", "ke", extra=_KB_Q)
+
+
+_vector_oracles()

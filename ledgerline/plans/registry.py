@@ -332,3 +332,47 @@ def _x49(c):
     ev = c["events"].select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("created_at"))
     return X.rate_verdicts(ev, limit=P.RATE_LIMIT, window_seconds=P.RATE_WINDOW_SECONDS).select(
         "event_id", "client", "verdict")
+
+
+# ---------------------------------------------------------------- vectors
+from ledgerline.operators import vectors as V  # noqa: E402
+
+
+def _kb(c): return ad.knowledge_embeddings(c)
+
+
+@register("kb_search")
+def _v24(c):
+    kb = _kb(c)
+    return V.kb_search(kb, V.centroid_queries(kb), k=3, min_similarity=0.12)
+
+
+@register("kb_search_strict")
+def _v24s(c):
+    kb = _kb(c)
+    return V.kb_search(kb, V.centroid_queries(kb), k=10, min_similarity=P.STRICT_MIN_SIMILARITY)
+
+
+@register("memory_search")
+def _v25(c):
+    kb = _kb(c)
+    return V.memory_search(kb, V.centroid_queries(kb), k=P.MEMORY_K)
+
+
+def _ivf(c):
+    kb = _kb(c)
+    indexed, centers = V.build_ivf_index(kb, lists=P.IVF_LISTS)
+    return kb, indexed, centers
+
+
+@register("kb_search_ivf")
+def _v26(c):
+    kb, indexed, centers = _ivf(c)
+    return V.kb_search_ivf(indexed, centers, V.centroid_queries(kb), k=10, n_probe=P.IVF_PROBES)
+
+
+@register("kb_search_ivf_recall")
+def _v26r(c):
+    kb, indexed, centers = _ivf(c)
+    q = V.centroid_queries(kb)
+    return V.recall_at_k(V.kb_search_ivf(indexed, centers, q, k=10, n_probe=P.IVF_PROBES), V.nearest(kb, q, 10))
