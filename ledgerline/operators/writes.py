@@ -164,8 +164,10 @@ def insert_metrics(target: DataFrame, batch: DataFrame, mode: str = "error",
         clash = dup.join(target.select(*keys).withColumn("_t", F.lit(1)), keys, "left")
         bad = clash.where((F.col("_n") > 1) | F.col("_t").isNotNull())
         guard = bad.agg(F.count(F.lit(1))).scalar()
-        checked = batch.withColumn("_ok", F.when(guard > 0, F.raise_error(F.lit("duplicate key"))).otherwise(True))
-        return target.unionByName(checked.drop("_ok"))
+        # a filter (not a projection) so column pruning cannot drop the check
+        checked = batch.where(F.when(guard > 0, F.raise_error(F.lit("duplicate key")).cast("boolean"))
+                              .otherwise(F.lit(True)))
+        return target.unionByName(checked)
     fresh = batch.join(target.select(*keys), keys, "left_anti").dropDuplicates(keys)
     return target.unionByName(fresh)
 

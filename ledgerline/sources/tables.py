@@ -36,3 +36,22 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: st
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound,
                            upperBound=upper_bound, numPartitions=num_partitions,
                            properties=properties or {})
+
+
+class StreamCatalog(Catalog):
+    """Same names as streams: a file source per table (schema taken from the
+    batch table once; streams never infer)."""
+
+    def __init__(self, spark: SparkSession, root: str, max_files: int | None = None):
+        super().__init__(spark, root)
+        self.max_files = max_files
+
+    def table(self, name: str) -> DataFrame:
+        schema = super().table(name).schema
+        r = self.spark.readStream.schema(schema)
+        if self.max_files:
+            r = r.option("maxFilesPerTrigger", self.max_files)
+        # the stream source lists a directory; the glob filter picks this table's file(s)
+        return r.option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
+
+    __getitem__ = table
