@@ -110,3 +110,15 @@ def json_quote(c) -> Column:
     for ch, rep in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
         esc = F.regexp_replace(esc, ch, rep)
     return F.when(s.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
+
+
+def spread(df, min_partitions: int | None = None):
+    """Fan a thin input out over the cluster before CPU-heavy per-row work
+    (JSON parsing, regex, vector scoring). A no-op when the scan already yields
+    enough splits — the large-data case — so it never adds a shuffle there."""
+    if df.isStreaming:
+        return df
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.core import blank_to_null, ts_ntz
+from ledgerline.functions.core import blank_to_null, spread, ts_ntz
 
 # ----------------------------------------------------------------------------- helpers
 NUMERIC_VARIANT = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
@@ -52,7 +52,7 @@ def parse_services(payloads: DataFrame, payload_col: str = "payload") -> DataFra
     s = F.from_json(payload_col, SERVICE_SCHEMA)
     first_duration = F.get(s["schedule"]["availabilityConstraints"]["sessionDurations"], 0)
     keep = [c for c in payloads.columns if c != payload_col]
-    return payloads.select(
+    return spread(payloads).select(
         *keep,
         F.coalesce(_truthy_str(s["id"]), F.lit("")).alias("wix_id"),
         F.coalesce(_truthy_str(s["type"]), F.lit("BOOKING_SERVICE")).alias("service_type"),
@@ -64,12 +64,11 @@ def parse_services(payloads: DataFrame, payload_col: str = "payload") -> DataFra
 
 
 # ----------------------------------------------------------------------------- T38
-def _amount_paid(v: Column) -> Column:
-    """Price of a booking, following the script's three shapes of ``totalPrice``:
-    an object with ``value`` (string -> strip to digits and dots -> parseFloat;
-    number -> as is), anything else -> 0.0 (a bare string or number makes the
-    script's ``'value' in x`` throw, and the catch sets 0.0)."""
-    tp = _vget(v, "$.priceInfo.totalPrice")
+def _amount_paid(tp: Column) -> Column:
+    """Price of a booking from ``priceInfo.totalPrice`` (a variant), following the
+    script's shapes: an object with ``value`` (string -> strip to digits and dots ->
+    parseFloat; number -> as is); anything else -> 0.0 (a bare string or number
+    makes the script's ``'value' in x`` throw, and the catch sets 0.0)."""
     val = _vget(tp, "$.value")
     vk = _vkind(val)
     clean = F.regexp_replace(_vget(val, "$", "string"), r"[^0-9.]", "")
@@ -84,30 +83,36 @@ def _js_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# One streaming JSON parse per booking; only the price keeps its JSON type (variant)
+# because the script branches on whether it is an object, a string or a number.
+BOOKING_SCHEMA = ("id string, contactId string, contactDetails struct<contactId: string, email: string, "
+                  "firstName: string, lastName: string, phone: string>, "
+                  "bookedEntity struct<slot: struct<serviceId: string>>, priceInfo struct<totalPrice: variant>, "
+                  "createdDate string, status string")
+
+
 def parse_bookings(payloads: DataFrame, as_of, payload_col: str = "payload") -> DataFrame:
     """Booking JSON -> registration row; rows with neither contact id nor email are dropped.
     ``as_of`` stands in for "now" when ``createdDate`` is missing."""
-    v = F.try_parse_json(payload_col)
-
-    def s(path):
-        return _truthy_str(_vget(v, path, "string"))
-
-    contact = F.coalesce(s("$.contactId"), s("$.contactDetails.contactId"), F.lit(""))
-    email = F.lower(_js_trim(F.coalesce(s("$.contactDetails.email"), F.lit(""))))
-    name = _js_trim(F.concat(F.coalesce(s("$.contactDetails.firstName"), F.lit("")), F.lit(" "),
-                             F.coalesce(s("$.contactDetails.lastName"), F.lit(""))))
     keep = [c for c in payloads.columns if c != payload_col]
-    out = payloads.select(
+    j = spread(payloads).select(*keep, F.from_json(payload_col, BOOKING_SCHEMA).alias("_j"))
+    b, d = F.col("_j"), F.col("_j.contactDetails")
+    contact = F.coalesce(_truthy_str(b["contactId"]), _truthy_str(d["contactId"]), F.lit(""))
+    email = F.lower(_js_trim(F.coalesce(_truthy_str(d["email"]), F.lit(""))))
+    name = _js_trim(F.concat(F.coalesce(_truthy_str(d["firstName"]), F.lit("")), F.lit(" "),
+                             F.coalesce(_truthy_str(d["lastName"]), F.lit(""))))
+    out = j.select(
         *keep,
-        F.coalesce(s("$.id"), F.lit("")).alias("wix_booking_id"),
+        F.coalesce(_truthy_str(b["id"]), F.lit("")).alias("wix_booking_id"),
         F.coalesce(_truthy_str(contact), email).alias("wix_contact_id"),
         F.coalesce(_truthy_str(name), F.lit("Guest")).alias("full_name"),
         email.alias("email"),
-        F.coalesce(s("$.contactDetails.phone"), F.lit("")).alias("phone"),
-        F.coalesce(s("$.bookedEntity.slot.serviceId"), F.lit("")).alias("wix_service_id"),
-        F.coalesce(s("$.createdDate"), F.date_format(ts_ntz(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("registration_date"),
-        _amount_paid(v).alias("amount_paid"),
-        F.coalesce(s("$.status"), F.lit("CONFIRMED")).alias("status"))
+        F.coalesce(_truthy_str(d["phone"]), F.lit("")).alias("phone"),
+        F.coalesce(_truthy_str(b["bookedEntity"]["slot"]["serviceId"]), F.lit("")).alias("wix_service_id"),
+        F.coalesce(_truthy_str(b["createdDate"]),
+                   F.date_format(ts_ntz(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("registration_date"),
+        _amount_paid(b["priceInfo"]["totalPrice"]).alias("amount_paid"),
+        F.coalesce(_truthy_str(b["status"]), F.lit("CONFIRMED")).alias("status"))
     return out.where(F.col("wix_contact_id") != "")
 
 
@@ -152,15 +157,20 @@ def _contains_any(c: Column, phrases) -> Column:
     return cond
 
 
+WEBHOOK_SCHEMA = ("entry array<struct<changes: array<struct<value: struct<"
+                  "messages: array<struct<from: string, text: struct<body: string>>>, "
+                  "contacts: array<struct<wa_id: string>>>>>>>")
+
+
 def rights_intent(messages: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Webhook message -> (phone, message_text, intent). Substring match; first list wins."""
-    v = F.try_parse_json(payload_col)
-    msg = "$.entry[0].changes[0].value"
-    phone = F.coalesce(_truthy_str(_vget(v, f"{msg}.messages[0].from", "string")),
-                       _truthy_str(_vget(v, f"{msg}.contacts[0].wa_id", "string")), F.lit(""))
-    text = F.lower(_js_trim(F.coalesce(_truthy_str(_vget(v, f"{msg}.messages[0].text.body", "string")), F.lit(""))))
     keep = [c for c in messages.columns if c != payload_col]
-    out = messages.select(*keep, phone.alias("phone"), text.alias("message_text"))
+    j = spread(messages).select(*keep, F.from_json(payload_col, WEBHOOK_SCHEMA).alias("_j"))
+    value = F.get(F.get(F.col("_j.entry"), 0)["changes"], 0)["value"]
+    msg = F.get(value["messages"], 0)
+    phone = F.coalesce(_truthy_str(msg["from"]), _truthy_str(F.get(value["contacts"], 0)["wa_id"]), F.lit(""))
+    text = F.lower(_js_trim(F.coalesce(_truthy_str(msg["text"]["body"]), F.lit(""))))
+    out = j.select(*keep, phone.alias("phone"), text.alias("message_text"))
     t = F.col("message_text")
     intent = (F.when(_contains_any(t, DELETE_PHRASES), "DELETE").when(_contains_any(t, ACCESS_PHRASES), "ACCESS")
               .when(_contains_any(t, OPTOUT_PHRASES), "OPTOUT").otherwise("unknown"))
@@ -196,25 +206,31 @@ def rights_access_report(intents: DataFrame, conversations: DataFrame, n: int =
 
 
 # ----------------------------------------------------------------------------- T44
+REWRITE_SCHEMA = "rewritten_query string, is_greeting variant, detected_language string, intent string"
+
+
 def parse_rewrite(responses: DataFrame, text_col: str = "response_text",
                   language_col: str = "request_language") -> DataFrame:
-    """Model reply of the query rewriter -> structured fields with the script's defaults."""
+    """Model reply of the query rewriter -> structured fields with the script's defaults.
+    Validity is one ``try_parse_json``; the fields come from one ``from_json``
+    (``is_greeting`` stays typed: only a JSON ``true`` counts)."""
     raw = F.coalesce(_truthy_str(_js_trim(F.col(text_col))), F.lit("{}"))
-    v = F.try_parse_json(raw)
-    failed = v.isNull()
-    greet = _vget(v, "$.is_greeting")
     keep = [c for c in responses.columns if c not in (text_col,)]
-    return responses.select(
+    j = spread(responses).select(*keep, F.try_parse_json(raw).isNull().alias("_bad"),
+                                 F.from_json(raw, REWRITE_SCHEMA).alias("_j"))
+    failed, r = F.col("_bad"), F.col("_j")
+    greet = r["is_greeting"]
+    return j.select(
         *keep,
         F.when(failed, F.lit("REWRITE_FAILED")).otherwise(
-            F.coalesce(_truthy_str(_vget(v, "$.rewritten_query", "string")), F.lit("REWRITE_FAILED")))
-        .alias("rewritten_query"),
-        F.coalesce((_vkind(greet) == "BOOLEAN") & _vget(greet, "$", "boolean"), F.lit(False)).alias("is_greeting"),
+            F.coalesce(_truthy_str(r["rewritten_query"]), F.lit("REWRITE_FAILED"))).alias("rewritten_query"),
+        F.coalesce(~failed & (_vkind(greet) == "BOOLEAN") & _vget(greet, "$", "boolean"), F.lit(False))
+        .alias("is_greeting"),
         F.when(failed, F.lit("unknown")).otherwise(
-            F.coalesce(_truthy_str(_vget(v, "$.detected_language", "string")), _truthy_str(F.col(language_col)),
-                       F.lit("auto"))).alias("detected_language"),
-        F.when(failed, F.lit("general")).otherwise(
-            F.coalesce(_truthy_str(_vget(v, "$.intent", "string")), F.lit("general"))).alias("intent"))
+            F.coalesce(_truthy_str(r["detected_language"]), _truthy_str(F.col(language_col)), F.lit("auto")))
+        .alias("detected_language"),
+        F.when(failed, F.lit("general")).otherwise(F.coalesce(_truthy_str(r["intent"]), F.lit("general")))
+        .alias("intent"))
 
 
 # ----------------------------------------------------------------------------- T45
@@ -260,7 +276,7 @@ def extract_technique(responses: DataFrame, artisan_name: str | None = None, des
     ok = v.isNotNull()
     sub_artisan = F.lit(artisan_name).cast("string")
     keep = [c for c in responses.columns if c not in (text_col,)]
-    return responses.select(
+    return spread(responses).select(
         *keep, ok.alias("extracted"),
         F.when(ok, F.when(_vget(v, "$.technique_name").isNull(), F.lit("Unknown"))
                .otherwise(_vget(v, "$.technique_name", "string")))

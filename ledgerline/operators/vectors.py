@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.functions.core import spread
+
 # Query matrices above this many bytes are refused instead of broadcast.
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
@@ -92,7 +94,7 @@ def nearest(kb: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_c
     sch = kb.select(id_col, *carry).schema
     schema = ", ".join([f"query_id string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in sch.fields],
                         "similarity double"])
-    local = kb.select(id_col, vec_col, *carry).mapInPandas(_local_topk(ids_b, qmat_b, k, id_col, vec_col, carry),
+    local = spread(kb.select(id_col, vec_col, *carry)).mapInPandas(_local_topk(ids_b, qmat_b, k, id_col, vec_col, carry),
                                                            schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
