@@ -113,7 +113,16 @@ def parse_bookings(payloads: DataFrame, as_of, payload_col: str = "payload") ->
                    F.date_format(ts_ntz(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("registration_date"),
         _amount_paid(b["priceInfo"]["totalPrice"]).alias("amount_paid"),
         F.coalesce(_truthy_str(b["status"]), F.lit("CONFIRMED")).alias("status"))
-    return out.where(F.col("wix_contact_id") != "")
+    return keep_where(out, lambda r: r["wix_contact_id"] != "")
+
+
+def keep_where(df: DataFrame, pred) -> DataFrame:
+    """Rows of ``df`` where ``pred(row_struct)`` is true, as a 0/1-row generator.
+    Catalyst pushes a Filter below a repartition, which would evaluate a
+    parse-heavy condition before ``spread`` fans the rows out; a generator is
+    not moved, so the parse stays on the wide side of the exchange."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.filter(F.array(row), lambda r: F.coalesce(pred(r), F.lit(False)))))
 
 
 # ----------------------------------------------------------------------------- T39
