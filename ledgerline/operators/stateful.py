@@ -1,7 +1,7 @@
 """Stateful operators.
 
-X29 (reply matching) is set-based: window functions over one shuffle by
-customer. X49 (rate verdicts) and W33 (stock-checked usage) are sequential
+X29 (reply matching) is set-based: window functions over (customer, time
+bucket) chunks stitched by small per-chunk summaries, so no customer is one task. X49 (rate verdicts) and W33 (stock-checked usage) are sequential
 per key — a rejected request does not consume — so they run as a sorted
 stream: hash-partition by key, sort within partitions (external sort, spills),
 then ``mapInPandas`` walks Arrow batches carrying O(1) state per key. No group
@@ -28,7 +28,7 @@ def _micros(c: str) -> F.Column:
 
 # ----------------------------------------------------------------------------- X29
 def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
-                  key: str = "customer_wa_id") -> DataFrame:
+                  key: str = "customer_wa_id", bucket_minutes: int = 60) -> DataFrame:
     """Each reply takes the newest unanswered draft of the same customer created
     strictly within the previous ``window_hours``; that draft is consumed. A reply
     without one becomes a standalone record.
@@ -39,47 +39,72 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     Set-based form of the stack replay: per customer in (created_at, id) order,
     s = running sum of +1 (draft) / -1 (reply), depth d = s - min(0, running min s).
     A draft sits at level d; a reply pops level lag(d). Within a (customer, level)
-    run the event after a draft is the reply that pops it, so ``lead`` pairs them
-    with no join. Pairs older than the window are voided (expired drafts only lie
-    under live ones, so popping them early never changes a later match).
-    Both windows share one hash partitioning by customer (the second clusters on
-    a superset of keys), so the plan has a single shuffle.
+    run the event after a draft is the reply that pops it, so ``lead``/``lag`` pair
+    them. Pairs older than the window are voided (expired drafts only lie under
+    live ones, so popping them early never changes a later match).
+
+    No customer is ever one task: running sums and minima are a two-level prefix
+    scan over (customer, time bucket) chunks — a window inside each chunk plus a
+    small per-chunk summary carried across chunks — and the level pairing runs per
+    (customer, level, bucket) with the chunk boundaries stitched from summaries.
+    ``bucket_minutes`` bounds the work of one task to one customer-bucket.
     """
     ev = (drafts.withColumn("_kind", F.lit(1))
           .unionByName(replies.withColumn("_kind", F.lit(-1)), allowMissingColumns=True))
+    bucket_us = int(bucket_minutes) * 60 * 1_000_000
+    ev = ev.withColumn("_b", F.floor(_micros("created_at") / bucket_us))
     order = [F.col("created_at"), F.col("id")]
-    w = Window.partitionBy(key).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = F.sum("_kind").over(run)
-    ev = ev.withColumn("_s", s).withColumn("_m", F.least(F.lit(0), F.min("_s").over(run)))
-    ev = ev.withColumn("_d", F.col("_s") - F.col("_m"))
-    ev = ev.withColumn("_lvl", F.when(F.col("_kind") == 1, F.col("_d"))
-                       .otherwise(F.lag("_d", 1, 0).over(w)))
-    wl = Window.partitionBy(key, "_lvl").orderBy(*order)
-    nxt_kind = F.lead("_kind").over(wl)
-    nxt_time = F.lead("created_at").over(wl)
-    prv_kind = F.lag("_kind").over(wl)
-    prv_time = F.lag("created_at").over(wl)
+    wb = Window.partitionBy(key, "_b").orderBy(*order)
+    run_b = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.withColumn("_ls", F.sum("_kind").over(run_b))
+    ev = ev.withColumn("_lmin", F.min("_ls").over(run_b))
+    # level 2: per customer over its bucket summaries (a few rows per customer-bucket)
+    summ = ev.groupBy(key, "_b").agg(F.sum("_kind").alias("_S"), F.min("_ls").alias("_M"))
+    before = Window.partitionBy(key).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_C", F.coalesce(F.sum("_S").over(before), F.lit(0)))
+    summ = summ.withColumn("_PM", F.min(F.col("_C") + F.col("_M")).over(before))
+    ev = ev.join(summ.select(key, "_b", "_C", "_PM"), [key, "_b"])
+    never = F.lit(1 << 62)
+    floor_before = F.least(F.lit(0), F.coalesce(F.col("_PM"), never))
+    s = F.col("_C") + F.col("_ls")
+    d = s - F.least(F.lit(0), F.least(F.coalesce(F.col("_PM"), never), F.col("_C") + F.col("_lmin")))
+    ev = ev.withColumn("_d", d)
+    prev_d = F.coalesce(F.lag("_d").over(wb), F.col("_C") - floor_before)
+    ev = ev.withColumn("_lvl", F.when(F.col("_kind") == 1, F.col("_d")).otherwise(prev_d))
+    # pairing inside (customer, level, bucket); chunk edges come from the neighbour chunks
+    wl = Window.partitionBy(key, "_lvl", "_b").orderBy(*order)
+    nxt_row = F.struct(F.col("_kind").alias("k"), F.col("created_at").alias("t"),
+                       F.col("reply_text").alias("text"), F.col("capture_source").alias("src"))
+    prv_row = F.struct(F.col("_kind").alias("k"), F.col("created_at").alias("t"))
+    ordk = F.struct("created_at", "id")
+    chunks = ev.groupBy(key, "_lvl", "_b").agg(F.min_by(nxt_row, ordk).alias("_first"),
+                                                F.max_by(prv_row, ordk).alias("_last"))
+    wc = Window.partitionBy(key, "_lvl").orderBy(F.col("_b").asc_nulls_first())
+    chunks = chunks.select(key, "_lvl", "_b", F.lead("_first").over(wc).alias("_next_first"),
+                           F.lag("_last").over(wc).alias("_prev_last"))
+    ev = (ev.withColumn("_nxt", F.lead(nxt_row).over(wl)).withColumn("_prv", F.lag(prv_row).over(wl))
+          .join(chunks, [key, "_lvl", "_b"]))
+    nxt = F.coalesce(F.col("_nxt"), F.col("_next_first"))
+    prv = F.coalesce(F.col("_prv"), F.col("_prev_last"))
     live = F.expr(f"INTERVAL {int(window_hours)} HOURS")
-    ev = (ev.withColumn("_reply_text", F.lead("reply_text").over(wl))
-          .withColumn("_reply_at", nxt_time)
-          .withColumn("_reply_src", F.lead("capture_source").over(wl))
-          .withColumn("_draft_matched", (F.col("_kind") == 1) & (nxt_kind == -1)
-                      & (F.col("created_at") > nxt_time - live))
-          .withColumn("_reply_matched", (F.col("_kind") == -1) & (F.col("_lvl") >= 1) & (prv_kind == 1)
-                      & (prv_time > F.col("created_at") - live)))
+    ev = (ev.withColumn("_draft_matched", (F.col("_kind") == 1) & F.coalesce(nxt["k"] == -1, F.lit(False))
+                        & (F.col("created_at") > nxt["t"] - live))
+          .withColumn("_reply_matched", (F.col("_kind") == -1) & (F.col("_lvl") >= 1)
+                      & F.coalesce(prv["k"] == 1, F.lit(False)) & (prv["t"] > F.col("created_at") - live)))
     draft_cols = [c for c in drafts.columns if c not in ("id", key, "created_at")]
-    d = ev.where(F.col("_kind") == 1).select(
+    matched = F.coalesce(F.col("_draft_matched"), F.lit(False))
+    d_out = ev.where(F.col("_kind") == 1).select(
         "id", key, *draft_cols,
-        F.when(F.col("_draft_matched"), F.col("_reply_text")).alias("mostafa_actual_response"),
-        F.when(F.col("_draft_matched"), F.col("_reply_at")).alias("mostafa_responded_at"),
-        F.when(F.col("_draft_matched"), F.col("_reply_src")).alias("capture_source"),
+        F.when(matched, nxt["text"]).alias("mostafa_actual_response"),
+        F.when(matched, nxt["t"]).alias("mostafa_responded_at"),
+        F.when(matched, nxt["src"]).alias("capture_source"),
         "created_at")
-    r = ev.where((F.col("_kind") == -1) & ~F.col("_reply_matched")).select(
+    r_out = ev.where((F.col("_kind") == -1) & ~F.coalesce(F.col("_reply_matched"), F.lit(False))).select(
         "id", key, F.lit(STANDALONE_MESSAGE).alias("customer_message"),
         F.col("reply_text").alias("mostafa_actual_response"), F.col("created_at").alias("mostafa_responded_at"),
         "capture_source", "created_at")
-    return d.unionByName(r, allowMissingColumns=True)
+    return d_out.unionByName(r_out, allowMissingColumns=True)
 
 
 # ----------------------------------------------------------------------------- X49

@@ -98,3 +98,24 @@ def test_usage_log_equals_replay(spark):
         else:
             want[eid] = "insufficient"
     assert got == want
+
+
+@pytest.mark.parametrize("bucket_minutes", [1, 7, 100000])
+def test_match_replies_hot_customer_any_bucket(spark, bucket_minutes):
+    """One customer holds most events; chunk edges fall everywhere."""
+    rnd = random.Random(bucket_minutes)
+    events = []
+    for i in range(900):
+        t = T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 4))
+        cust = "hot" if rnd.random() < 0.8 else f"c{rnd.randint(0, 3)}"
+        events.append((i, cust, rnd.choice(["draft", "reply", "draft", "reply", "reply"]), t))
+    ev = spark.createDataFrame(events, "id long, customer_wa_id string, kind string, created_at timestamp_ntz")
+    drafts = ev.where("kind = 'draft'").drop("kind")
+    replies = ev.where("kind = 'reply'").drop("kind").selectExpr("*", "'r' AS reply_text", "'t' AS capture_source")
+    out = X.match_replies(drafts, replies, bucket_minutes=bucket_minutes).collect()
+    want = _replay_replies(events)
+    reply_ids = {e[0] for e in events if e[2] == "reply"}
+    standalone = {r.id for r in out if r.id in reply_ids}
+    matched_drafts = {r.id for r in out if r.id not in reply_ids and r.mostafa_actual_response}
+    assert standalone == {k for k, v in want.items() if v is None}
+    assert matched_drafts == {v for v in want.values() if v is not None}
