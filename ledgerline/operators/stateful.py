@@ -113,7 +113,7 @@ def _rate_stream(limit: int, window_us: int):
         cur, dq = None, deque()
         for pdf in batches:
             keys = pdf["client"].tolist()
-            ts = pdf["t_us"].tolist()
+            ts = pdf["_t_us"].tolist()
             out = []
             for k, t in zip(keys, ts):
                 if k != cur:
@@ -121,11 +121,11 @@ def _rate_stream(limit: int, window_us: int):
                 while dq and t - dq[0] >= window_us:
                     dq.popleft()
                 if len(dq) >= limit:
-                    out.append(False)
+                    out.append("reject")
                 else:
                     dq.append(t)
-                    out.append(True)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "accepted": out})
+                    out.append("accept")
+            yield pdf.drop(columns=["_t_us"]).assign(verdict=out)
     return run
 
 
@@ -133,15 +133,17 @@ def rate_verdicts(requests: DataFrame, limit: int = 100, window_seconds: int = 6
                   client_col: str = "client", ts_col: str = "created_at", id_col: str = "event_id",
                   num_partitions: int | None = None) -> DataFrame:
     """Per client: accept a request iff fewer than ``limit`` accepted requests are
-    younger than ``window_seconds``; rejected requests do not count."""
+    younger than ``window_seconds``; rejected requests do not count.
+    Output: event_id, client, created_at, verdict (columns ride through the stream,
+    so there is no join back to the input)."""
     n = num_partitions or requests.sparkSession.sparkContext.defaultParallelism
-    stream = (requests.select(F.col(id_col).alias("event_id"), F.col(client_col).cast("string").alias("client"),
-                              _micros(ts_col).alias("t_us"))
-              .repartition(n, "client").sortWithinPartitions("client", "t_us", "event_id"))
-    verdict = stream.mapInPandas(_rate_stream(limit, window_seconds * 1_000_000),
-                                 "event_id long, accepted boolean")
-    return (requests.join(verdict, requests[id_col] == verdict.event_id, "inner").drop(verdict.event_id)
-            .withColumn("verdict", F.when(F.col("accepted"), "accept").otherwise("reject")).drop("accepted"))
+    src = requests.select(F.col(id_col).alias("event_id"), F.col(client_col).alias("client"),
+                          F.col(ts_col).alias("created_at"), _micros(ts_col).alias("_t_us"))
+    stream = src.repartition(n, "client").sortWithinPartitions("client", "_t_us", "event_id")
+    fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    schema = (f"event_id {fields['event_id']}, client {fields['client']}, created_at {fields['created_at']}, "
+              "verdict string")
+    return stream.mapInPandas(_rate_stream(limit, window_seconds * 1_000_000), schema)
 
 
 # ----------------------------------------------------------------------------- W33
@@ -150,19 +152,20 @@ def _usage_stream():
         cur, left = None, 0
         for pdf in batches:
             items = pdf["item_id"].tolist()
-            stock = pdf["stock_c"].tolist()
-            qty = pdf["qty_c"].tolist()
-            ok, after = [], []
+            stock = pdf["_stock_c"].tolist()
+            qty = pdf["_qty_c"].tolist()
+            verdict, after = [], []
             for it, st, q in zip(items, stock, qty):
                 if it != cur:
                     cur, left = it, st
                 if left >= q:
                     left -= q
-                    ok.append(True)
+                    verdict.append("accepted")
                 else:
-                    ok.append(False)
+                    verdict.append("insufficient")
                 after.append(left)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "ok": ok, "left_c": after})
+            yield pd.DataFrame({"event_id": pdf["event_id"], "item_id": pdf["item_id"], "verdict": verdict,
+                                "_left_c": after})
     return run
 
 
@@ -171,22 +174,25 @@ def usage_log(requests: DataFrame, items: DataFrame, num_partitions: int | None
     insufficient (remaining stock < quantity) or accepted (stock decreases).
 
     requests: event_id, item_id, quantity, created_at;  items: id, current_stock.
-    Only valid requests of known items enter the sequential pass; amounts travel
-    as integer cents so the replay is exact.
+    Output: event_id, item_id, verdict, stock_after. Requests decided up front
+    (invalid, unknown item) skip the sequential pass and are unioned back; the
+    rest stream per item in time order with amounts as integer cents (exact).
     """
     it = items.select(F.col("id").alias("_item"), "current_stock")
     j = requests.join(it, requests.item_id == it._item, "left")
     q = F.col("quantity")
-    pre = (F.when(q.isNull() | (q <= 0), "invalid").when(F.col("_item").isNull(), "not_found"))
+    pre = F.when(q.isNull() | (q <= 0), "invalid").when(F.col("_item").isNull(), "not_found")
     j = j.withColumn("_pre", pre)
+    decided = j.where(F.col("_pre").isNotNull()).select(
+        "event_id", "item_id", F.col("_pre").alias("verdict"), F.lit(None).cast("decimal(12,2)").alias("stock_after"))
     n = num_partitions or requests.sparkSession.sparkContext.defaultParallelism
     seq = (j.where(F.col("_pre").isNull())
-           .select("event_id", "item_id", (F.col("current_stock") * 100).cast("long").alias("stock_c"),
-                   (q * 100).cast("long").alias("qty_c"), _micros("created_at").alias("t_us"))
-           .repartition(n, "item_id").sortWithinPartitions("item_id", "t_us", "event_id"))
-    res = seq.mapInPandas(_usage_stream(), "event_id long, ok boolean, left_c long")
-    out = j.join(res, "event_id", "left")
-    return out.select(
-        "event_id", "item_id", "quantity", "created_at",
-        F.coalesce("_pre", F.when(F.col("ok"), "accepted").otherwise("insufficient")).alias("verdict"),
-        (F.col("left_c").cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("stock_after"))
+           .select("event_id", "item_id", (F.col("current_stock") * 100).cast("long").alias("_stock_c"),
+                   (q * 100).cast("long").alias("_qty_c"), _micros("created_at").alias("_t_us"))
+           .repartition(n, "item_id").sortWithinPartitions("item_id", "_t_us", "event_id"))
+    types = {f.name: f.dataType.simpleString() for f in seq.schema.fields}
+    res = seq.mapInPandas(_usage_stream(), f"event_id {types['event_id']}, item_id {types['item_id']}, "
+                                           "verdict string, _left_c long")
+    streamed = res.select("event_id", "item_id", "verdict",
+                          (F.col("_left_c").cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("stock_after"))
+    return decided.unionByName(streamed)

@@ -198,13 +198,15 @@ COST_RULES = (
 
 
 def cost_rules_frame(spark, service: str, scale: float = 1.0) -> DataFrame:
-    """The four seeded rules for ``service``; thresholds multiplied by ``scale``."""
+    """The four seeded rules for ``service``; thresholds multiplied by ``scale``.
+    Built JVM-side from literals (a local relation, no Python workers)."""
     rows = []
     for name, cond, action in COST_RULES:
         metric, thr = cond.split(">")
-        rows.append((name, service, f"{metric.strip()} > {float(thr) * scale:g}", action, True))
-    return spark.createDataFrame(rows, "rule_name string, service_name string, trigger_condition string, "
-                                       "action_to_take string, is_enabled boolean")
+        rows.append(F.struct(F.lit(name).alias("rule_name"), F.lit(service).alias("service_name"),
+                             F.lit(f"{metric.strip()} > {float(thr) * scale:g}").alias("trigger_condition"),
+                             F.lit(action).alias("action_to_take"), F.lit(True).alias("is_enabled")))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def cost_rules_fired(spend_events: DataFrame, rules: DataFrame) -> DataFrame:

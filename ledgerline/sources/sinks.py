@@ -40,7 +40,7 @@ def write_version(df: DataFrame, base: str, partition_by: list[str] | None = Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{base.rstrip('/')}/v{v}")
-    spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(
+    spark.range(1).select(F.lit(str(v)).alias("value")).coalesce(1).write.mode("overwrite").text(
         f"{base.rstrip('/')}/_current")
     return v
 
