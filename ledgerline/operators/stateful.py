@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.session import cut_lineage
+
 STANDALONE_MESSAGE = "[no AI draft captured]"
 
 
@@ -28,7 +30,7 @@ def _micros(c: str) -> F.Column:
 
 # ----------------------------------------------------------------------------- X29
 def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
-                  key: str = "customer_wa_id", bucket_minutes: int = 60) -> DataFrame:
+                  key: str = "customer_wa_id", bucket_minutes: int = 1440) -> DataFrame:
     """Each reply takes the newest unanswered draft of the same customer created
     strictly within the previous ``window_hours``; that draft is consumed. A reply
     without one becomes a standalone record.
@@ -57,7 +59,7 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     wb = Window.partitionBy(key, "_b").orderBy(*order)
     run_b = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ev = ev.withColumn("_ls", F.sum("_kind").over(run_b))
-    ev = ev.withColumn("_lmin", F.min("_ls").over(run_b))
+    ev = cut_lineage(ev.withColumn("_lmin", F.min("_ls").over(run_b)))   # read twice below
     # level 2: per customer over its bucket summaries (a few rows per customer-bucket)
     summ = ev.groupBy(key, "_b").agg(F.sum("_kind").alias("_S"), F.min("_ls").alias("_M"))
     before = Window.partitionBy(key).orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
@@ -71,7 +73,8 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     d = s - F.least(F.lit(0), F.least(F.coalesce(F.col("_PM"), never), F.col("_C") + F.col("_lmin")))
     ev = ev.withColumn("_d", d)
     prev_d = F.coalesce(F.lag("_d").over(wb), F.col("_C") - floor_before)
-    ev = ev.withColumn("_lvl", F.when(F.col("_kind") == 1, F.col("_d")).otherwise(prev_d))
+    ev = cut_lineage(ev.withColumn("_lvl", F.when(F.col("_kind") == 1, F.col("_d")).otherwise(prev_d))
+                     .drop("_ls", "_lmin", "_C", "_PM", "_d"))                         # read twice below
     # pairing inside (customer, level, bucket); chunk edges come from the neighbour chunks
     wl = Window.partitionBy(key, "_lvl", "_b").orderBy(*order)
     nxt_row = F.struct(F.col("_kind").alias("k"), F.col("created_at").alias("t"),
@@ -92,19 +95,20 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
                         & (F.col("created_at") > nxt["t"] - live))
           .withColumn("_reply_matched", (F.col("_kind") == -1) & (F.col("_lvl") >= 1)
                       & F.coalesce(prv["k"] == 1, F.lit(False)) & (prv["t"] > F.col("created_at") - live)))
+    # one projection for both row kinds (a union of two filtered branches would
+    # evaluate the whole pipeline twice); consumed replies are dropped
+    is_draft = F.col("_kind") == 1
+    matched = is_draft & F.coalesce(F.col("_draft_matched"), F.lit(False))
     draft_cols = [c for c in drafts.columns if c not in ("id", key, "created_at")]
-    matched = F.coalesce(F.col("_draft_matched"), F.lit(False))
-    d_out = ev.where(F.col("_kind") == 1).select(
-        "id", key, *draft_cols,
-        F.when(matched, nxt["text"]).alias("mostafa_actual_response"),
-        F.when(matched, nxt["t"]).alias("mostafa_responded_at"),
-        F.when(matched, nxt["src"]).alias("capture_source"),
+    out = ev.where(is_draft | ~F.coalesce(F.col("_reply_matched"), F.lit(False))).select(
+        "id", key,
+        *[F.when(is_draft, F.col(c)).otherwise(F.lit(STANDALONE_MESSAGE) if c == "customer_message" else None)
+          .alias(c) for c in draft_cols],
+        F.when(matched, nxt["text"]).when(~is_draft, F.col("reply_text")).alias("mostafa_actual_response"),
+        F.when(matched, nxt["t"]).when(~is_draft, F.col("created_at")).alias("mostafa_responded_at"),
+        F.when(matched, nxt["src"]).when(~is_draft, F.col("capture_source")).alias("capture_source"),
         "created_at")
-    r_out = ev.where((F.col("_kind") == -1) & ~F.coalesce(F.col("_reply_matched"), F.lit(False))).select(
-        "id", key, F.lit(STANDALONE_MESSAGE).alias("customer_message"),
-        F.col("reply_text").alias("mostafa_actual_response"), F.col("created_at").alias("mostafa_responded_at"),
-        "capture_source", "created_at")
-    return d_out.unionByName(r_out, allowMissingColumns=True)
+    return out
 
 
 # ----------------------------------------------------------------------------- X49

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,13 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
+    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``:
+    later stages (and retries after an executor loss) start from the written
+    blocks instead of recomputing the plan. Never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
