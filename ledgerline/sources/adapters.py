@@ -2,318 +2,232 @@
 business tables the operators are written against (students, registrations,
 finance_transactions, concierge_conversations, ...).
 
-Each adapter is a pure DataFrame function of the catalog, so its scan keeps
-column pruning and filter pushdown. The SQL twins used by the DuckDB oracle
-live in ``ledgerline.plans.oracles.ADAPTER_SQL`` and compute the same rows.
+Each adapter is one Spark SQL text over the catalog's tables (passed as
+DataFrame parameters), so it is planned with the operator that consumes it:
+column pruning and filter pushdown reach the parquet scan, and building it
+costs one round trip instead of one per expression. The DuckDB twins used by
+the oracle live in ``ledgerline.plans.oracles.ADAPTER_SQL``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerline.sources.tables import Catalog
 
-DEC = "decimal(12,2)"
-
-
-def _s(c) -> F.Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
-def _null(t: str = "string") -> F.Column:
-    return F.lit(None).cast(t)
-
-
-def students(cat: Catalog) -> DataFrame:
-    c = cat["customer"].select("c_custkey", "c_name", "c_mktsegment")
-    last = cat["orders"].groupBy("o_custkey").agg(F.max("o_orderdate").alias("created_at"))
-    k = F.col("c_custkey")
-    return (c.join(last, k == last.o_custkey, "left")
-            .select(k.alias("id"), F.col("c_name").alias("full_name"),
-                    F.when(k % 10 == 0, _null()).otherwise(
-                        F.concat(F.lower("c_mktsegment"), F.lit("."), _s(k), F.lit("@example.com"))).alias("email"),
-                    F.concat(F.lit("+2010"), F.lpad(_s(k), 8, "0")).alias("phone"),
-                    "created_at"))
-
-
-def registrations(cat: Catalog) -> DataFrame:
-    o = cat["orders"].where(F.col("o_custkey") % 11 != 0)
-    k = F.col("o_orderkey")
-    st = F.col("o_orderstatus")
-    return o.select(k.alias("id"), F.col("o_custkey").alias("student_id"), (k % 25).alias("service_id"),
-                    F.col("o_orderdate").alias("registration_date"),
-                    F.when(k % 17 == 0, _null(DEC)).otherwise(F.col("o_totalprice").cast(DEC)).alias("amount_paid"),
-                    F.col("o_orderpriority").alias("payment_method"),
-                    F.when(st == "F", "CONFIRMED").when(st == "P", "PENDING").otherwise("CANCELLED").alias("status"))
-
-
-def finance_transactions(cat: Catalog) -> DataFrame:
-    li = cat["lineitem"]
-    ln3 = F.col("l_linenumber") % 3
-    o = F.col("l_linestatus") == "O"
-    f = F.col("l_linestatus") == "F"
-    px = F.col("l_extendedprice").cast(DEC)
-
-    def part(flag, r):
-        return F.when(flag & (ln3 == r), px).otherwise(F.lit(0).cast(DEC))
-
-    s8 = F.col("l_suppkey") % 8
-    cat_col = (F.when(s8 == 0, "Materials").when(s8 == 1, "Equipment").when(s8 == 2, "Sales (Out)")
-               .when(s8 == 3, "Sales Out").when(s8 == 4, "Courses").when(s8 == 5, "Rent")
-               .when(s8 == 6, "").otherwise(_null()))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     F.col("l_shipdate").alias("transaction_date"),
-                     F.concat(F.lit("order "), _s("l_orderkey")).alias("description"),
-                     cat_col.alias("category"),
-                     part(o, 0).alias("income_receivable"), part(o, 1).alias("income_cash"),
-                     F.when(F.col("l_tax") > 0.075, _null(DEC)).otherwise(part(o, 2)).alias("income_bank"),
-                     part(f, 0).alias("expense_payable"), part(f, 1).alias("expense_cash"),
-                     part(f, 2).alias("expense_bank"))
-
-
-def inventory_items(cat: Catalog) -> DataFrame:
-    p = cat["part"]
-    s = cat["supplier"].select("s_suppkey", "s_name")
-    k = F.col("p_partkey")
-    return (p.join(s, s.s_suppkey == k % 10, "left")
-            .select(k.alias("id"), F.concat(F.col("p_name"), F.lit(" "), _s(k)).alias("name"),
-                    F.col("p_type").alias("category"), F.lit("pcs").alias("unit"),
-                    F.col("p_size").cast(DEC).alias("current_stock"), (k % 12).cast(DEC).alias("minimum_stock"),
-                    (2 * (k % 12)).cast(DEC).alias("reorder_point"),
-                    F.when(k % 9 == 0, _null(DEC)).otherwise(F.col("p_retailprice").cast(DEC)).alias("cost_per_unit"),
-                    F.when(k % 14 == 0, _null()).otherwise(F.col("s_name")).alias("supplier")))
-
-
-def stock_movements(cat: Catalog) -> DataFrame:
-    li = cat["lineitem"]
-    ln = F.col("l_linenumber")
-    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("item_id"),
-                     F.when(F.col("l_linestatus") == "O", "purchase").otherwise("consumption").alias("movement_type"),
-                     F.col("l_quantity").cast(DEC).alias("quantity"),
-                     F.when(ln == 1, _null()).otherwise(F.concat(F.lit("line "), _s(ln))).alias("notes"),
-                     F.col("l_shipdate").alias("created_at"),
-                     F.when(ln % 2 == 0, "dashboard").otherwise(_null()).alias("created_by"))
-
-
-def concierge_conversations(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    et = F.col("event_type")
-    ch = F.when(i % 4 == 0, "whatsapp").when(i % 4 == 1, "messenger").when(i % 4 == 2, "instagram").otherwise("web")
-    intent = (F.when(et == "view", "schedule").when(et == "click", "pricing").when(et == "signup", "booking")
-              .when(et == "purchase", "course_info").otherwise(_null()))
-    return ev.select(i.alias("id"),
-                     F.concat(_s("user_id"), F.lit("-"), _s(F.to_date("ts"))).alias("session_id"),
-                     ch.alias("channel"), _s("user_id").alias("sender_id"),
-                     F.concat(F.lit("msg "), _s(i)).alias("original_message"),
-                     _null().alias("rewritten_query"), _null().alias("ai_response"), _null().alias("model_used"),
-                     intent.alias("intent_detected"),
-                     F.when(i % 50 == 7, _null("boolean")).otherwise(i % 9 == 0).alias("escalated"),
-                     F.when(i % 13 == 0, _null("int")).otherwise(F.floor(F.col("value") * 10).cast("int"))
-                     .alias("response_time_ms"),
-                     F.when(i % 3 == 0, (1 + i % 5).cast("int")).otherwise(_null("int")).alias("customer_feedback"),
-                     F.col("props").alias("metadata"), F.col("ts").alias("created_at"))
-
-
-def ai_events(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    et = F.col("event_type")
-    etype = (F.when(et.isin("purchase", "signup"), "booking").when(et == "view", "recommendation")
-             .when(et == "click", "decision").otherwise("cost_alert"))
-    agent = (F.when(i % 5 == 0, "agent_a").when(i % 5 == 1, "agent_b").when(i % 5 == 2, "agent_c")
-             .when(i % 5 == 3, "agent_d").otherwise(_null()))
-    outcome = (F.when(i % 7 == 3, "failure").when(i % 7 == 4, "escalated").when(i % 7 == 5, "retry_needed")
-               .when(i % 7 == 6, _null()).otherwise("success"))
-    return ev.select(i.alias("id"), etype.alias("event_type"), agent.alias("agent_name"), outcome.alias("outcome"),
-                     (i % 101).cast("decimal(5,2)").alias("success_metric"),
-                     F.when(i % 29 == 0, _null("decimal(10,2)")).otherwise(F.col("value").cast("decimal(10,2)"))
-                     .alias("cost_cents"),
-                     F.floor(F.col("value") * 10).cast("int").alias("latency_ms"), F.col("ts").alias("created_at"))
-
-
-def knowledge_embeddings(cat: Catalog) -> DataFrame:
-    e = cat["embeddings"]
-    i = F.col("vec_id")
-    return e.select(i.alias("id"), F.concat(F.lit("q "), _s(i)).alias("question"),
-                    F.concat(F.lit("a "), _s(i)).alias("answer"), _s("label").alias("category"),
-                    ((i % 11).cast("double") / 10).alias("confidence"),
-                    F.when(i % 37 == 0, _null("array<float>")).otherwise(F.col("embedding")).alias("embedding"))
-
-
-def ga4_payload(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    g = ev.groupBy(F.to_date("ts").alias("d")).agg(
-        F.count_distinct("user_id").alias("u"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"))
-    second = F.when(F.dayofmonth("t0") == 13, F.lit("")).otherwise(
-        F.concat(F.lit(',{"value":"'), _s("n"), F.lit('"}')))
-    return g.select(F.concat(F.lit('{"date":"'), F.regexp_replace(_s("d"), "-", ""),
-                             F.lit('","metricValues":[{"value":"'), _s("u"), F.lit('"}'), second,
-                             F.lit("]}")).alias("payload"))
-
-
-def booking_payload(cat: Catalog) -> DataFrame:
-    o = cat["orders"]
-    k = F.col("o_orderkey")
-    c = _s("o_custkey")
-    price = _s(F.col("o_totalprice").cast(DEC))
-    contact = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(',"contactId":"'), c, F.lit('"')))
-    details = F.when(k % 8 == 0, F.lit('"lastName":"L"')).otherwise(
-        F.concat(F.lit('"firstName":"F'), c, F.lit('","email":" U'), c, F.lit('@Example.COM "')))
-    total = (F.when(k % 3 == 0, F.concat(F.lit('{"value":"EGP '), price, F.lit('"}')))
-             .when(k % 3 == 1, F.concat(F.lit('{"value":'), price, F.lit("}")))
-             .otherwise(F.lit('"EGP 600"')))
-    status = F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(
-        F.concat(F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"')))
-    return o.select(k.alias("o_orderkey"), F.concat(
-        F.lit('{"id":"b'), _s(k), F.lit('"'), contact, F.lit(',"contactDetails":{'), details,
-        F.lit('},"priceInfo":{"totalPrice":'), total, F.lit('},"createdDate":"'),
-        _s(F.to_date("o_orderdate")), F.lit('"'), status, F.lit("}")).alias("payload"))
-
-
-# The message bodies planted in the rights-request webhook fixture.
-RIGHTS_BODIES = (" Please DELETE my data", "show my data", "STOP", "احذف بياناتي", "hello")
-
-
-def rights_message(cat: Catalog) -> DataFrame:
-    cv = cat["conversations"].where(F.col("role") == "user")
-    m = (F.col("conv_id") + F.col("turn")) % 5
-    body = F.when(m == 0, RIGHTS_BODIES[0])
-    for j in range(1, 4):
-        body = body.when(m == j, RIGHTS_BODIES[j])
-    body = body.otherwise(RIGHTS_BODIES[4])
-    return cv.select("conv_id", "turn", F.concat(
-        F.lit('{"entry":[{"changes":[{"value":{"messages":[{"from":"'), _s(F.col("conv_id") % 150),
-        F.lit('","text":{"body":"'), body, F.lit('"}}]}}]}]}')).alias("payload"))
-
-
-def extraction_response(cat: Catalog) -> DataFrame:
-    d = cat["documents"]
-    i = F.col("doc_id")
-    t = F.concat(F.lit('"technique_name":"T'), _s(i), F.lit('"'))
-    resp = (F.when(i % 6 == 0, F.lit("no json here"))
-            .when(i % 6 == 1, F.lit('x {"technique_name": broken} y'))
-            .when(i % 6 == 2, F.concat(F.lit("```json {"), t, F.lit(
-                ',"artisan_name":"","region":null,"category":" Carving ","materials":["oak","ash"],"tools":[],'
-                '"description":"d","risk_level":"critical (likely disappearing)"} ```')))
-            .when(i % 6 == 3, F.concat(F.lit("{"), t, F.lit(',"artisan_name":"A","region":"'), F.col("lang"), F.lit(
-                '","category":"pottery","materials":["walnut"],"tools":["lathe"],"description":"d","risk_level":"Rare"}')))
-            .when(i % 6 == 4, F.concat(F.lit("{"), t, F.lit(
-                ',"category":"inlay","materials":[],"tools":["saw","file"],"description":"d","risk_level":""}')))
-            .otherwise(F.concat(F.lit("{"), t, F.lit(
-                ',"category":"joinery","materials":["oak"],"tools":["saw"],"description":"d","risk_level":"extinct"}'))))
-    # The whole document is the submission text (no prefix cut).
-    return d.select("doc_id", F.col("text").alias("raw_text"), F.col("source").alias("submission_channel"),
-                    resp.alias("response_text"))
-
-
-def shadow_event(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    return ev.select(i, _s("user_id").alias("customer_wa_id"),
-                     F.when(F.col("event_type").isin("view", "click", "error"), "draft").otherwise("reply").alias("kind"),
-                     F.concat(F.lit("text "), _s(i)).alias("text"),
-                     _s(F.when(i % 23 == 0, _null("bigint")).when(i % 4 == 3, i - 1).otherwise(i)).alias("wamid"),
-                     F.col("ts").alias("created_at"))
-
-
-def service_payload(cat: Catalog) -> DataFrame:
-    p = cat["part"]
-    k = F.col("p_partkey")
-    sid = F.when(k % 40 == 39, F.lit("")).otherwise(F.concat(F.lit("s"), _s(k % 150)))
-    name = (F.when(k % 3 == 0, F.concat(F.lit(',"name":"'), F.col("p_name"), F.lit('"')))
-            .when(k % 3 == 1, F.concat(F.lit(',"info":{"name":"'), F.col("p_name"), F.lit('"}')))
-            .otherwise(F.lit("")))
-    typ = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(',"type":"'), F.col("p_type"), F.lit('"')))
-    sched = F.when(k % 2 == 0, F.concat(
-        F.lit(',"category":{"name":"'), F.col("p_brand"),
-        F.lit('"},"schedule":{"availabilityConstraints":{"sessionDurations":['), _s("p_size"), F.lit(",90]}}"))
-    ).otherwise(F.lit(""))
-    return p.select(k.alias("pos"), F.concat(F.lit('{"id":"'), sid, F.lit('"'), name, typ, sched, F.lit("}"))
-                    .alias("payload"))
-
-
-def rating(cat: Catalog) -> DataFrame:
-    ev = cat["events"].where(F.col("event_type") == "click")
-    i = F.col("event_id")
-    r = (F.when(i % 7 == 0, "better").when(i % 7 == 1, "similar").when(i % 7 == 2, "worse")
-         .when(i % 7 == 3, "great").otherwise("similar"))
-    return ev.select(i.alias("seq"), (i - i % 3).alias("shadow_id"), r.alias("quality_rating"),
-                     F.when(i % 4 == 0, _null()).otherwise(F.concat(F.lit("n"), _s(i))).alias("notes"),
-                     F.col("ts").alias("created_at"))
-
-
-def conversation_pair(cat: Catalog) -> DataFrame:
-    cv = cat["conversations"]
-    u = cv.where(F.col("role") == "user").alias("u")
-    a = cv.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("text").alias("a_text"))
-    j = u.join(a, (a.a_conv == u.conv_id) & (a.a_turn == u.turn + 1), "left")
-    c = F.col("conv_id")
-    # Whole texts are carried; blank messages are planted every ninth pair.
-    return j.select(c, F.col("turn"), _s(c).alias("customer_wa_id"),
-                    F.when(c % 2 == 0, _null()).otherwise(F.concat(F.lit("N"), _s(c))).alias("customer_name"),
-                    F.concat(F.lit("batch "), _s(c % 10)).alias("batch_name"),
-                    F.when((c + F.col("turn")) % 9 == 0, F.lit("   ")).otherwise(F.col("text")).alias("customer_message"),
-                    F.col("a_text").alias("tch_reply"),
-                    F.when(c % 3 == 0, F.lit("")).otherwise(F.lit("export")).alias("source"))
-
-
-def usage_request(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    return ev.select(i, F.when(i % 60 == 1, F.lit(-1).cast("bigint")).otherwise(F.col("user_id") % 50).alias("item_id"),
-                     (i % 6).cast(DEC).alias("quantity"), F.col("ts").alias("created_at"))
-
-
-def setting_change(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    u = F.col("user_id")
-    v = (F.when(i % 5 == 0, "active").when(i % 5 == 1, "paused").when(i % 5 == 2, "off")
-         .when(i % 5 == 3, "active").otherwise("paused"))
-    return ev.select(i, F.when(u % 2 == 0, F.lit("ai_concierge_mode")).otherwise(F.concat(F.lit("k"), _s(u % 20)))
-                     .alias("key"), v.alias("value"), F.col("ts").alias("created_at"))
-
-
-# Model responses planted in the query-rewrite fixture.
-REWRITE_RESPONSES = (
-    '{"rewritten_query":"course pricing","is_greeting":false,"detected_language":"ar","intent":"pricing"}',
-    '{"rewritten_query":"GREETING_ONLY","is_greeting":true}',
-    "not json",
-    '{"rewritten_query":"","is_greeting":"true","intent":""}',
-)
-
-
-def rewrite_response(cat: Catalog) -> DataFrame:
-    cv = cat["conversations"].where(F.col("role") == "user")
-    m = (F.col("conv_id") + F.col("turn")) % 5
-    resp = F.when(m == 0, REWRITE_RESPONSES[0])
-    for j in range(1, 4):
-        resp = resp.when(m == j, REWRITE_RESPONSES[j])
-    resp = resp.otherwise(_null())
-    return cv.select("conv_id", "turn",
-                     F.when(F.col("conv_id") % 3 == 0, _null()).otherwise(F.lit("en")).alias("request_language"),
-                     resp.alias("response_text"))
-
-
-def tier_response(cat: Catalog) -> DataFrame:
-    d = cat["documents"]
-    i = F.col("doc_id")
-    # Model answers are stood in by whole document texts.
-    return d.select(i.alias("request_id"), F.when(i % 3 == 0, F.col("text")).otherwise(_null()).alias("primary_text"),
-                    F.when(i % 2 == 0, F.concat(F.lit("fallback: "), F.col("lang"))).otherwise(_null())
-                    .alias("fallback_text"))
-
-
-def unchecked_conversations(cat: Catalog) -> DataFrame:
-    ev = cat["events"]
-    i = F.col("event_id")
-    ch = (F.when(i % 6 == 0, "whatsapp").when(i % 6 == 1, "messenger").when(i % 6 == 2, "instagram")
-          .when(i % 6 == 3, "web").when(i % 6 == 4, "fax").otherwise(_null()))
-    msg = F.when(i % 17 == 0, F.lit("")).when(i % 19 == 0, F.repeat(F.lit("x"), 1001)).otherwise(F.lit("msg"))
-    return ev.select(i.alias("id"), ch.alias("channel"),
-                     F.when(i % 31 == 0, _null()).otherwise(_s("user_id")).alias("sender_id"),
-                     msg.alias("original_message"),
-                     F.when(i % 4 == 0, _null("int")).otherwise((i % 7).cast("int")).alias("customer_feedback"))
+SQL = {
+    "students": """
+SELECT c.c_custkey AS id, c.c_name AS full_name,
+       CASE WHEN c.c_custkey % 10 = 0 THEN NULL
+            ELSE lower(c.c_mktsegment) || '.' || CAST(c.c_custkey AS STRING) || '@example.com' END AS email,
+       '+2010' || lpad(CAST(c.c_custkey AS STRING), 8, '0') AS phone,
+       o.last_order AS created_at
+FROM {customer} c
+LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM {orders} GROUP BY o_custkey) o
+  ON o.o_custkey = c.c_custkey""",
+    "registrations": """
+SELECT o_orderkey AS id, o_custkey AS student_id, o_orderkey % 25 AS service_id,
+       o_orderdate AS registration_date,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS amount_paid,
+       o_orderpriority AS payment_method,
+       CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'P' THEN 'PENDING' ELSE 'CANCELLED' END AS status
+FROM {orders} WHERE o_custkey % 11 <> 0""",
+    "finance_transactions": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS transaction_date,
+       'order ' || CAST(l_orderkey AS STRING) AS description,
+       CASE l_suppkey % 8 WHEN 0 THEN 'Materials' WHEN 1 THEN 'Equipment' WHEN 2 THEN 'Sales (Out)'
+            WHEN 3 THEN 'Sales Out' WHEN 4 THEN 'Courses' WHEN 5 THEN 'Rent' WHEN 6 THEN '' ELSE NULL END AS category,
+       CASE WHEN l_linestatus = 'O' AND l_linenumber % 3 = 0 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS income_receivable,
+       CASE WHEN l_linestatus = 'O' AND l_linenumber % 3 = 1 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS income_cash,
+       CASE WHEN l_tax > 0.075 THEN NULL
+            WHEN l_linestatus = 'O' AND l_linenumber % 3 = 2 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS income_bank,
+       CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 0 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS expense_payable,
+       CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 1 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS expense_cash,
+       CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 2 THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS expense_bank
+FROM {lineitem}""",
+    "inventory_items": """
+SELECT p.p_partkey AS id, p.p_name || ' ' || CAST(p.p_partkey AS STRING) AS name, p.p_type AS category, 'pcs' AS unit,
+       CAST(p.p_size AS DECIMAL(12,2)) AS current_stock, CAST(p.p_partkey % 12 AS DECIMAL(12,2)) AS minimum_stock,
+       CAST(2 * (p.p_partkey % 12) AS DECIMAL(12,2)) AS reorder_point,
+       CASE WHEN p.p_partkey % 9 = 0 THEN NULL ELSE CAST(p.p_retailprice AS DECIMAL(12,2)) END AS cost_per_unit,
+       CASE WHEN p.p_partkey % 14 = 0 THEN NULL ELSE s.s_name END AS supplier
+FROM {part} p LEFT JOIN {supplier} s ON s.s_suppkey = p.p_partkey % 10""",
+    "stock_movements": """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS item_id,
+       CASE l_linestatus WHEN 'O' THEN 'purchase' ELSE 'consumption' END AS movement_type,
+       CAST(l_quantity AS DECIMAL(12,2)) AS quantity,
+       CASE WHEN l_linenumber = 1 THEN NULL ELSE 'line ' || CAST(l_linenumber AS STRING) END AS notes,
+       l_shipdate AS created_at,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'dashboard' ELSE NULL END AS created_by
+FROM {lineitem}""",
+    "concierge_conversations": """
+SELECT event_id AS id,
+       CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS session_id,
+       CASE event_id % 4 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'messenger' WHEN 2 THEN 'instagram' ELSE 'web' END AS channel,
+       CAST(user_id AS STRING) AS sender_id,
+       'msg ' || CAST(event_id AS STRING) AS original_message,
+       CAST(NULL AS STRING) AS rewritten_query, CAST(NULL AS STRING) AS ai_response, CAST(NULL AS STRING) AS model_used,
+       CASE event_type WHEN 'view' THEN 'schedule' WHEN 'click' THEN 'pricing' WHEN 'signup' THEN 'booking'
+            WHEN 'purchase' THEN 'course_info' ELSE NULL END AS intent_detected,
+       CASE WHEN event_id % 50 = 7 THEN NULL ELSE event_id % 9 = 0 END AS escalated,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(floor(value * 10) AS INT) END AS response_time_ms,
+       CASE WHEN event_id % 3 = 0 THEN CAST(1 + event_id % 5 AS INT) ELSE NULL END AS customer_feedback,
+       props AS metadata, ts AS created_at
+FROM {events}""",
+    "ai_events": """
+SELECT event_id AS id,
+       CASE event_type WHEN 'purchase' THEN 'booking' WHEN 'signup' THEN 'booking' WHEN 'view' THEN 'recommendation'
+            WHEN 'click' THEN 'decision' ELSE 'cost_alert' END AS event_type,
+       CASE event_id % 5 WHEN 0 THEN 'agent_a' WHEN 1 THEN 'agent_b' WHEN 2 THEN 'agent_c' WHEN 3 THEN 'agent_d' ELSE NULL END AS agent_name,
+       CASE event_id % 7 WHEN 3 THEN 'failure' WHEN 4 THEN 'escalated' WHEN 5 THEN 'retry_needed' WHEN 6 THEN NULL ELSE 'success' END AS outcome,
+       CAST(event_id % 101 AS DECIMAL(5,2)) AS success_metric,
+       CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(value AS DECIMAL(10,2)) END AS cost_cents,
+       CAST(floor(value * 10) AS INT) AS latency_ms, ts AS created_at
+FROM {events}""",
+    "knowledge_embeddings": """
+SELECT vec_id AS id, 'q ' || CAST(vec_id AS STRING) AS question, 'a ' || CAST(vec_id AS STRING) AS answer,
+       CAST(label AS STRING) AS category, CAST(vec_id % 11 AS DOUBLE) / 10 AS confidence,
+       CASE WHEN vec_id % 37 = 0 THEN NULL ELSE embedding END AS embedding
+FROM {embeddings}""",
+    "ga4_payload": """
+SELECT '{{"date":"' || replace(CAST(CAST(ts AS DATE) AS STRING), '-', '') || '","metricValues":[{{"value":"'
+       || CAST(count(DISTINCT user_id) AS STRING) || '"}}'
+       || CASE WHEN extract(DAY FROM min(ts)) = 13 THEN '' ELSE ',{{"value":"' || CAST(count(*) AS STRING) || '"}}' END
+       || ']}}' AS payload
+FROM {events} GROUP BY CAST(ts AS DATE)""",
+    "booking_payload": """
+SELECT o_orderkey, '{{"id":"b' || CAST(o_orderkey AS STRING) || '"'
+       || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ',"contactId":"' || CAST(o_custkey AS STRING) || '"' END
+       || ',"contactDetails":{{'
+       || CASE WHEN o_orderkey % 8 = 0 THEN '"lastName":"L"' ELSE '"firstName":"F' || CAST(o_custkey AS STRING) || '","email":" U' || CAST(o_custkey AS STRING) || '@Example.COM "' END
+       || '}},"priceInfo":{{"totalPrice":'
+       || CASE o_orderkey % 3 WHEN 0 THEN '{{"value":"EGP ' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) || '"}}'
+               WHEN 1 THEN '{{"value":' || CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) || '}}'
+               ELSE '"EGP 600"' END
+       || '}},"createdDate":"' || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"'
+       || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',"status":"' || o_orderstatus || '"' END || '}}' AS payload
+FROM {orders}""",
+    "rights_message": """
+SELECT conv_id, turn, '{{"entry":[{{"changes":[{{"value":{{"messages":[{{"from":"' || CAST(conv_id % 150 AS STRING) || '","text":{{"body":"'
+       || CASE (conv_id + turn) % 5 WHEN 0 THEN ' Please DELETE my data' WHEN 1 THEN 'show my data' WHEN 2 THEN 'STOP'
+               WHEN 3 THEN 'احذف بياناتي' ELSE 'hello' END
+       || '"}}}}]}}}}]}}]}}' AS payload
+FROM {conversations} WHERE role = 'user'""",
+    "extraction_response": """
+SELECT doc_id, text AS raw_text, source AS submission_channel,
+       CASE doc_id % 6
+         WHEN 0 THEN 'no json here'
+         WHEN 1 THEN 'x {{"technique_name": broken}} y'
+         WHEN 2 THEN '```json {{"technique_name":"T' || CAST(doc_id AS STRING) || '","artisan_name":"","region":null,"category":" Carving ","materials":["oak","ash"],"tools":[],"description":"d","risk_level":"critical (likely disappearing)"}} ```'
+         WHEN 3 THEN '{{"technique_name":"T' || CAST(doc_id AS STRING) || '","artisan_name":"A","region":"' || lang || '","category":"pottery","materials":["walnut"],"tools":["lathe"],"description":"d","risk_level":"Rare"}}'
+         WHEN 4 THEN '{{"technique_name":"T' || CAST(doc_id AS STRING) || '","category":"inlay","materials":[],"tools":["saw","file"],"description":"d","risk_level":""}}'
+         ELSE '{{"technique_name":"T' || CAST(doc_id AS STRING) || '","category":"joinery","materials":["oak"],"tools":["saw"],"description":"d","risk_level":"extinct"}}'
+       END AS response_text
+FROM {documents}""",
+    "shadow_event": """
+SELECT event_id, CAST(user_id AS STRING) AS customer_wa_id,
+       CASE WHEN event_type IN ('view','click','error') THEN 'draft' ELSE 'reply' END AS kind,
+       'text ' || CAST(event_id AS STRING) AS text,
+       CAST(CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 4 = 3 THEN event_id - 1 ELSE event_id END AS STRING) AS wamid,
+       ts AS created_at
+FROM {events}""",
+    "service_payload": """
+SELECT p_partkey AS pos, '{{"id":"' || CASE WHEN p_partkey % 40 = 39 THEN '' ELSE 's' || CAST(p_partkey % 150 AS STRING) END || '"'
+       || CASE p_partkey % 3 WHEN 0 THEN ',"name":"' || p_name || '"' WHEN 1 THEN ',"info":{{"name":"' || p_name || '"}}' ELSE '' END
+       || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ',"type":"' || p_type || '"' END
+       || CASE WHEN p_partkey % 2 = 0 THEN ',"category":{{"name":"' || p_brand || '"}},"schedule":{{"availabilityConstraints":{{"sessionDurations":[' || CAST(p_size AS STRING) || ',90]}}}}' ELSE '' END
+       || '}}' AS payload
+FROM {part}""",
+    "rating": """
+SELECT event_id AS seq, event_id - event_id % 3 AS shadow_id,
+       CASE event_id % 7 WHEN 0 THEN 'better' WHEN 1 THEN 'similar' WHEN 2 THEN 'worse' WHEN 3 THEN 'great' ELSE 'similar' END AS quality_rating,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'n' || CAST(event_id AS STRING) END AS notes, ts AS created_at
+FROM {events} WHERE event_type = 'click'""",
+    "conversation_pair": """
+SELECT u.conv_id, u.turn, CAST(u.conv_id AS STRING) AS customer_wa_id,
+       CASE WHEN u.conv_id % 2 = 0 THEN NULL ELSE 'N' || CAST(u.conv_id AS STRING) END AS customer_name,
+       'batch ' || CAST(u.conv_id % 10 AS STRING) AS batch_name,
+       CASE WHEN (u.conv_id + u.turn) % 9 = 0 THEN '   ' ELSE u.text END AS customer_message,
+       a.text AS tch_reply, CASE WHEN u.conv_id % 3 = 0 THEN '' ELSE 'export' END AS source
+FROM {conversations} u
+LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'""",
+    "usage_request": """
+SELECT event_id, CASE WHEN event_id % 60 = 1 THEN -1 ELSE user_id % 50 END AS item_id,
+       CAST(event_id % 6 AS DECIMAL(12,2)) AS quantity, ts AS created_at
+FROM {events}""",
+    "setting_change": """
+SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'ai_concierge_mode' ELSE 'k' || CAST(user_id % 20 AS STRING) END AS key,
+       CASE event_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'off' WHEN 3 THEN 'active' ELSE 'paused' END AS value,
+       ts AS created_at
+FROM {events}""",
+    "rewrite_response": """
+SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'en' END AS request_language,
+       CASE (conv_id + turn) % 5
+         WHEN 0 THEN '{{"rewritten_query":"course pricing","is_greeting":false,"detected_language":"ar","intent":"pricing"}}'
+         WHEN 1 THEN '{{"rewritten_query":"GREETING_ONLY","is_greeting":true}}'
+         WHEN 2 THEN 'not json'
+         WHEN 3 THEN '{{"rewritten_query":"","is_greeting":"true","intent":""}}'
+         ELSE NULL END AS response_text
+FROM {conversations} WHERE role = 'user'""",
+    "tier_response": """
+SELECT doc_id AS request_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE NULL END AS primary_text,
+       CASE WHEN doc_id % 2 = 0 THEN 'fallback: ' || lang ELSE NULL END AS fallback_text
+FROM {documents}""",
+    "unchecked_conversations": """
+SELECT event_id AS id,
+       CASE event_id % 6 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'messenger' WHEN 2 THEN 'instagram' WHEN 3 THEN 'web'
+            WHEN 4 THEN 'fax' ELSE NULL END AS channel,
+       CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS sender_id,
+       CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 = 0 THEN repeat('x', 1001) ELSE 'msg' END AS original_message,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 7 AS INT) END AS customer_feedback
+FROM {events}""",
+}
+
+# source tables each adapter reads
+_SOURCES = {
+    "students": ("customer", "orders"), "registrations": ("orders",), "finance_transactions": ("lineitem",),
+    "inventory_items": ("part", "supplier"), "stock_movements": ("lineitem",),
+    "concierge_conversations": ("events",), "ai_events": ("events",), "knowledge_embeddings": ("embeddings",),
+    "ga4_payload": ("events",), "booking_payload": ("orders",), "rights_message": ("conversations",),
+    "extraction_response": ("documents",), "shadow_event": ("events",), "service_payload": ("part",),
+    "rating": ("events",), "conversation_pair": ("conversations",), "usage_request": ("events",),
+    "setting_change": ("events",), "rewrite_response": ("conversations",), "tier_response": ("documents",),
+    "unchecked_conversations": ("events",),
+}
+
+
+def adapt(cat: Catalog, name: str) -> DataFrame:
+    """The adapter ``name`` over the catalog's tables (batch or streaming)."""
+    return cat.spark.sql(SQL[name], **{t: cat[t] for t in _SOURCES[name]})
+
+
+def _make(name: str):
+    def fn(cat: Catalog) -> DataFrame:
+        return adapt(cat, name)
+    fn.__name__ = name
+    fn.__doc__ = f"Adapter: {name} (see SQL['{name}'])."
+    return fn
+
+
+students = _make("students")
+registrations = _make("registrations")
+finance_transactions = _make("finance_transactions")
+inventory_items = _make("inventory_items")
+stock_movements = _make("stock_movements")
+concierge_conversations = _make("concierge_conversations")
+ai_events = _make("ai_events")
+knowledge_embeddings = _make("knowledge_embeddings")
+ga4_payload = _make("ga4_payload")
+booking_payload = _make("booking_payload")
+rights_message = _make("rights_message")
+extraction_response = _make("extraction_response")
+shadow_event = _make("shadow_event")
+service_payload = _make("service_payload")
+rating = _make("rating")
+conversation_pair = _make("conversation_pair")
+usage_request = _make("usage_request")
+setting_change = _make("setting_change")
+rewrite_response = _make("rewrite_response")
+tier_response = _make("tier_response")
+unchecked_conversations = _make("unchecked_conversations")
