@@ -28,6 +28,15 @@ def ts_ntz(value) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{value}'")
 
 
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of a zone-less timestamp, independent of the
+    session time zone (day number plus time-of-day fields of the NTZ value)."""
+    t = col(c)
+    day = F.unix_date(F.to_date(t)).cast("long")
+    secs = F.hour(t).cast("long") * 3600 + F.minute(t).cast("long") * 60
+    return day * 86_400_000_000 + secs * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def as_date(value) -> _dt.date:
     """The calendar day of an as-of value (``current_date`` of the report)."""
     if isinstance(value, str):
@@ -119,6 +128,6 @@ def spread(df, min_partitions: int | None = None):
     if df.isStreaming:
         return df
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    if df._jdf.rdd().getNumPartitions() >= n:      # plans the scan; no Python RDD conversion
         return df
     return df.repartition(n)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerline.functions.core import epoch_micros
 from ledgerline.session import cut_lineage
 
 STANDALONE_MESSAGE = "[no AI draft captured]"
@@ -25,7 +26,7 @@ STANDALONE_MESSAGE = "[no AI draft captured]"
 
 def _micros(c: str) -> F.Column:
     """Microseconds since epoch of a zone-less timestamp (no session-zone shift)."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+    return epoch_micros(c)
 
 
 # ----------------------------------------------------------------------------- X29

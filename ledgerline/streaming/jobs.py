@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ledgerline.functions.core import epoch_micros
 from ledgerline.operators.writes import keyed_merge
 from ledgerline.sources.sinks import read_current, write_version
 
@@ -76,7 +77,7 @@ def rate_verdict_stream(requests: DataFrame, limit: int, window_seconds: int,
     per client; within a micro-batch they are sorted)."""
     window_us = window_seconds * 1_000_000
     src = requests.select(F.col(id_col).alias("event_id"), F.col(client_col).cast("string").alias("client"),
-                          F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', created_at)")
+                          epoch_micros("created_at")
                           .alias("t_us"))
 
     def fn(key, pdfs, state):
@@ -104,7 +105,7 @@ def reply_match_stream(events: DataFrame, window_hours: int = 24) -> DataFrame:
     Emits one row per reply: (reply_id, draft_id or NULL)."""
     live_us = window_hours * 3600 * 1_000_000
     src = events.select("id", "customer_wa_id", "kind",
-                        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', created_at)")
+                        epoch_micros("created_at")
                         .alias("t_us"))
 
     def fn(key, pdfs, state):

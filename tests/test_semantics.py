@@ -179,3 +179,16 @@ def test_json_quote_matches_python(spark):
     vals = ['a"b', "back\\slash", "line\nbreak", None, ""]
     df = spark.createDataFrame([(v,) for v in vals], "v string").select(json_quote("v").alias("q"))
     assert [r.q for r in df.collect()] == [json.dumps(v) for v in vals]
+
+
+def test_epoch_micros_ignores_session_zone(spark):
+    from ledgerline.functions.core import epoch_micros
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 12, 30, 15, 250),)], "t timestamp_ntz")
+    want = int((dt.datetime(2024, 3, 10, 12, 30, 15, 250) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(epoch_micros("t").alias("m")).first().m == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
