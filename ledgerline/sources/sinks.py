@@ -72,3 +72,14 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON object per row (``to_json``), e.g. for a message queue sink."""
     f = api_format(df)
     return f.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in f.columns])).alias("value"))
+
+
+def clear_table(spark: SparkSession, base: str, name: str, allowed: tuple[str, ...]) -> int:
+    """Truncate an allow-listed table: write an empty version with the same schema
+    (older versions stay readable until cleaned up)."""
+    if name not in allowed:
+        raise ValueError(f"Invalid table name. Must be one of: {list(allowed)}")
+    cur = read_current(spark, base)
+    if cur is None:
+        raise ValueError(f"no table at {base}")
+    return write_version(cur.limit(0), base)
