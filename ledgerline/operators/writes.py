@@ -23,30 +23,30 @@ def keyed_merge(target: DataFrame | None, batch: DataFrame, key: str, order: lis
     """Upsert ``batch`` into ``target`` on ``key`` (row-at-a-time semantics in ``order``).
 
     Output columns: key + insert_cols + update_cols. ``target`` may be None (empty table).
+    One aggregation of the batch and one full outer join: a NULL key never equals
+    anything, so NULL-key rows of both sides come out of the join unmatched, i.e.
+    kept (target) or inserted (batch); in the batch aggregation they group on their
+    own order key, so each stays a row of its own.
     """
-    cols = [key, *insert_cols, *update_cols]
     ordk = F.struct(*[F.col(c) for c in order])
-    keyed = batch.where(F.col(key).isNotNull())
-    per_key = keyed.groupBy(key).agg(
+    gk = F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), ordk).alias("o"))
+    per_key = batch.groupBy(gk.alias("_gk")).agg(
         F.min_by(F.struct(*[F.col(c) for c in insert_cols]), ordk).alias("_first"),
         F.max_by(F.struct(*[F.col(c) for c in update_cols]), ordk).alias("_last"))
-    null_keyed = batch.where(F.col(key).isNull()).select(*cols)
+    b = per_key.select(F.col("_gk.k").alias(key), "_first", "_last")
     if target is None:
-        merged = per_key.select(key, *[F.col("_first")[c].alias(c) for c in insert_cols],
-                                *[F.col("_last")[c].alias(c) for c in update_cols])
-        return merged.unionByName(null_keyed)
-    t_keyed = target.where(F.col(key).isNotNull()).select(*cols)
-    t_null = target.where(F.col(key).isNull()).select(*cols)
-    t = t_keyed.alias("t")
-    b = per_key.alias("b")
+        return b.select(key, *[F.col("_first")[c].alias(c) for c in insert_cols],
+                        *[F.col("_last")[c].alias(c) for c in update_cols])
+    t = target.select(key, *insert_cols, *update_cols).alias("t")
+    b = b.alias("b")
     j = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer")
-    in_t = F.col(f"t.{key}").isNotNull()
-    merged = j.select(
-        F.coalesce(F.col(f"t.{key}"), F.col(f"b.{key}")).alias(key),
-        *[F.when(in_t, F.col(f"t.{c}")).otherwise(F.col("_first")[c]).alias(c) for c in insert_cols],
+    in_t = F.col("_first").isNull()          # every batch group has a first row
+    return j.select(
+        F.when(in_t, F.col(f"t.{key}")).otherwise(F.col(f"b.{key}")).alias(key),
+        *[F.when(in_t, F.col(f"t.{c}")).otherwise(F.when(F.col(f"t.{key}").isNotNull(), F.col(f"t.{c}"))
+                                                  .otherwise(F.col("_first")[c])).alias(c) for c in insert_cols],
         *[F.when(F.col("_last").isNotNull(), F.col("_last")[c]).otherwise(F.col(f"t.{c}")).alias(c)
           for c in update_cols])
-    return merged.unionByName(t_null).unionByName(null_keyed)
 
 
 def require_keys(batch: DataFrame, key: str, message: str) -> DataFrame:
