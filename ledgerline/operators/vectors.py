@@ -34,12 +34,13 @@ def centroid_queries(kb: DataFrame, group_col: str = "category", vec_col: str =
         F.col(group_col).cast("string").alias("query_id"), F.transform("p", lambda e: e["x"]).alias("query_vec"))
 
 
-def _query_matrix(queries: DataFrame, max_bytes: int):
-    """Collect the query batch after checking its size (rows x dim x 8 bytes)."""
+def _query_stats(queries: DataFrame) -> tuple[int, int]:
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vec")).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n * d * 8 > max_bytes:
-        raise ValueError(f"query batch of {n} x {d} exceeds {max_bytes} bytes; split it into smaller batches")
+    return int(stats["n"] or 0), int(stats["d"] or 0)
+
+
+def _query_matrix(queries: DataFrame, n: int, d: int):
+    """Collect a query batch whose size (rows x dim x 8 bytes) was checked by the caller."""
     rows = queries.select("query_id", "query_vec").collect()
     ids = [r["query_id"] for r in rows]
     mat = np.array([r["query_vec"] for r in rows], dtype=np.float64).reshape(len(rows), d)
@@ -85,17 +86,33 @@ def _local_topk(ids_b, qmat_b, k: int, id_col: str, vec_col: str, carry: list[st
 def nearest(kb: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
             carry: tuple[str, ...] = (), max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """Exact top-k rows by cosine similarity for every query (query_id, query_vec).
-    Output: query_id, rank, id, carried columns, similarity (double)."""
+    Output: query_id, rank, id, carried columns, similarity (double).
+
+    The query matrix is broadcast only after its size is checked; a larger batch
+    is split by query-id hash into groups that fit, each group one scan of the
+    base, and the results are unioned (exact either way)."""
+    n, d = _query_stats(queries)
+    size = n * d * 8
+    if size > max_query_bytes:
+        if n <= 1:
+            raise ValueError(f"a single query of dimension {d} exceeds {max_query_bytes} bytes")
+        groups = -(-size // max_query_bytes) + 1
+        parts = [nearest(kb, queries.where(F.pmod(F.hash("query_id"), F.lit(groups)) == g), k, id_col, vec_col,
+                         carry, max_query_bytes) for g in range(groups)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     spark = kb.sparkSession
-    ids, qmat = _query_matrix(queries, max_query_bytes)
+    ids, qmat = _query_matrix(queries, n, d)
     ids_b = spark.sparkContext.broadcast(ids)
     qmat_b = spark.sparkContext.broadcast(qmat)
     carry = list(carry)
     sch = kb.select(id_col, *carry).schema
-    schema = ", ".join([f"query_id string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in sch.fields],
+    schema = ", ".join(["query_id string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in sch.fields],
                         "similarity double"])
-    local = spread(kb.select(id_col, vec_col, *carry)).mapInPandas(_local_topk(ids_b, qmat_b, k, id_col, vec_col, carry),
-                                                           schema)
+    local = spread(kb.select(id_col, vec_col, *carry)).mapInPandas(
+        _local_topk(ids_b, qmat_b, k, id_col, vec_col, carry), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(id_col))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", id_col, *carry, "similarity"))
