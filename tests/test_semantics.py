@@ -192,3 +192,14 @@ def test_epoch_micros_ignores_session_zone(spark):
             assert df.select(epoch_micros("t").alias("m")).first().m == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_daily_trends_approximate_is_close(spark):
+    from ledgerline.operators.analytics import daily_trends
+    from ledgerline.sources import adapters as ad
+    from ledgerline.sources.tables import Catalog
+    conv = ad.concierge_conversations(Catalog(spark, "/root/testdata/sf0.01"))
+    exact = {r.conversation_date: r.unique_customers for r in daily_trends(conv).collect()}
+    approx = {r.conversation_date: r.unique_customers for r in daily_trends(conv, approximate=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[d] - exact[d]) <= 0.05 * exact[d] + 1 for d in exact)

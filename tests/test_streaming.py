@@ -90,3 +90,15 @@ def test_scheduled_pull_available_now(spark, tmp_path):
     assert out.count() == batch.count()
     assert {json.loads(r.metadata)["email"] for r in out.collect()} == \
         {json.loads(r.metadata)["email"] for r in batch.collect()}
+
+
+def test_redelivered_records_are_dropped_within_watermark(spark, tmp_path):
+    land = tmp_path / "drafts"
+    land.mkdir()
+    rows = [{"id": i, "ts": f"2024-01-01 00:{i:02d}:00"} for i in range(20)]
+    (land / "a.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+    (land / "b.json").write_text("\n".join(json.dumps(r) for r in rows[5:12]) + "\n")   # redelivery
+    stream = (spark.readStream.schema("id long, ts string").json(str(land))
+              .withColumn("event_time", F.to_timestamp("ts")))
+    out = _drain(S.dedupe_redelivery(stream, "id"), str(tmp_path), "st2d")
+    assert sorted(r.id for r in out.collect()) == list(range(20))
