@@ -45,7 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+        d = sc.getCheckpointDir()
+        if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder (no machine-local fallback "
+                                   "on a cluster)")
+            d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")       # local tests only
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
