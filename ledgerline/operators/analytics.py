@@ -285,19 +285,35 @@ def inventory_category_summary(finance: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- A19
-def recent_movements(movements: DataFrame, items: DataFrame, n: int = 25) -> DataFrame:
-    """Newest n movements of known items. The join stays below the limit (a
-    movement of an unknown item must not take a slot); AQE broadcasts the item
-    dimension when its measured size allows."""
+def recent_movements(movements: DataFrame, items: DataFrame, n: int = 25, max_candidates: int = 1 << 20) -> DataFrame:
+    """Newest n movements of known items (inner join: a movement whose item is
+    missing must not take a slot).
+
+    Exact top-n without shuffling the fact: take the newest M movements
+    (per-partition top-M, then an M-row merge), join just those M rows to the
+    items (M is bounded, so they are broadcast and the item table is only
+    scanned), and widen M only if fewer than n of them have an item. With
+    referential integrity the first round (M = 4n) is final. Past
+    ``max_candidates`` the plain join + top-n is used."""
+    order = [newest_first("created_at"), "l_orderkey", "l_linenumber", "l_suppkey", "item_id"]
     it = items.select(F.col("id").alias("i_id"), F.col("name").alias("item_name"), "unit")
-    j = movements.join(it, movements.item_id == it.i_id, "inner")
-    return (j.orderBy(newest_first("created_at"), "l_orderkey", "l_linenumber", "l_suppkey", "item_id")
-            .limit(n)
-            .select("l_orderkey", "l_linenumber", "l_suppkey", "item_name", F.col("movement_type").alias("type"),
-                    money("quantity").alias("quantity"), "unit",
-                    F.coalesce(blank_to_null("notes"), F.lit("")).alias("notes"),
-                    F.coalesce(ymd("created_at"), F.lit("")).alias("date"),
-                    F.coalesce(blank_to_null("created_by"), F.lit("system")).alias("by")))
+
+    def finish(j: DataFrame) -> DataFrame:
+        return (j.orderBy(*order).limit(n)
+                .select("l_orderkey", "l_linenumber", "l_suppkey", "item_name", F.col("movement_type").alias("type"),
+                        money("quantity").alias("quantity"), "unit",
+                        F.coalesce(blank_to_null("notes"), F.lit("")).alias("notes"),
+                        F.coalesce(ymd("created_at"), F.lit("")).alias("date"),
+                        F.coalesce(blank_to_null("created_by"), F.lit("system")).alias("by")))
+
+    m = 4 * n
+    while m <= max_candidates:
+        top = movements.orderBy(*order).limit(m)
+        j = F.broadcast(top).join(it, top.item_id == it.i_id, "inner")
+        if j.count() >= n or top.count() < m:       # enough known items, or the fact is exhausted
+            return finish(j)
+        m *= 8
+    return finish(movements.join(it, movements.item_id == it.i_id, "inner"))
 
 
 # ----------------------------------------------------------------------------- A20

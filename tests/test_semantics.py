@@ -203,3 +203,20 @@ def test_daily_trends_approximate_is_close(spark):
     approx = {r.conversation_date: r.unique_customers for r in daily_trends(conv, approximate=True).collect()}
     assert exact.keys() == approx.keys()
     assert all(abs(approx[d] - exact[d]) <= 0.05 * exact[d] + 1 for d in exact)
+
+
+def test_recent_movements_widens_past_unknown_items(spark):
+    from ledgerline.operators.analytics import recent_movements
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):
+        item = 1 if i % 50 == 0 else 999          # only every 50th movement has a known item
+        rows.append((i, 1, 1, item, "purchase", 1.0, None, t0 + dt.timedelta(minutes=i), None))
+    mv = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, item_id long, "
+                                     "movement_type string, quantity double, notes string, "
+                                     "created_at timestamp_ntz, created_by string")
+    items = spark.createDataFrame([(1, "glue", "pcs")], "id long, name string, unit string")
+    got = [r.l_orderkey for r in recent_movements(mv, items, n=5).collect()]
+    assert got == [250, 200, 150, 100, 50]
+    got_all = [r.l_orderkey for r in recent_movements(mv, items, n=10).collect()]
+    assert got_all == [250, 200, 150, 100, 50, 0]          # fewer than n exist: all of them
