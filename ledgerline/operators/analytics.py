@@ -120,32 +120,36 @@ def top_intents(conversations: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- A7
-def _mode(per: DataFrame, hour: str, value: str, out: str) -> DataFrame:
-    """Most frequent non-NULL value per hour (ties go to the smallest value), from
-    counts already aggregated per (hour, value)."""
-    return per.where(F.col(value).isNotNull()).groupBy(hour, value).agg(F.sum("n").alias("c")).groupBy(hour).agg(
-        F.min_by(value, F.struct((-F.col("c")).alias("nc"), F.col(value).alias("v"))).alias(out))
-
-
 def hourly_metrics(conversations: DataFrame) -> DataFrame:
-    """Hourly rollup. One pre-aggregation per (hour, intent, channel) carries every
-    additive measure; the hour totals and both modes are rolled up from it (its
-    exchange is shared, so the fact is scanned and shuffled once)."""
+    """Hourly rollup in one pass over the fact: one GROUPING SETS aggregation
+    ((hour), (hour, intent), (hour, channel)) carrying every additive measure,
+    then one group-by hour that takes the totals from the hour rows and each mode
+    (most frequent non-NULL value, ties to the smallest) from its own rows with
+    ``min_by`` — a linear plan, so the fact is scanned and shuffled once."""
+    h, it, ch = "metric_hour", "intent_detected", "channel"
     esc = count_if(F.col("escalated") == F.lit(True))
-    per = conversations.groupBy(F.date_trunc("HOUR", "created_at").alias("metric_hour"), "intent_detected",
-                                "channel").agg(
-        F.count(F.lit(1)).alias("n"), esc.alias("e"),
+    sets = conversations.withColumn(h, F.date_trunc("HOUR", "created_at")).groupingSets(
+        [[h], [h, it], [h, ch]], h, it, ch).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), esc.alias("e"),
         F.sum("response_time_ms").alias("rs"), F.count("response_time_ms").alias("rn"),
         F.sum("customer_feedback").alias("fs"), F.count("customer_feedback").alias("fn"))
-    n, e = F.sum("n"), F.sum("e")
-    base = per.groupBy("metric_hour").agg(
+    hour_row = F.col("gid") == 3          # grouping_id bits (hour, intent, channel): 011 = hour only
+    by_intent = (F.col("gid") == 1) & F.col(it).isNotNull()
+    by_channel = (F.col("gid") == 2) & F.col(ch).isNotNull()
+
+    def tot(c):
+        return F.sum(F.when(hour_row, F.col(c)))
+
+    n, e = tot("n"), tot("e")
+    return sets.groupBy(h).agg(
         n.alias("total_conversations"), e.alias("escalated_count"),
-        round_int(F.sum("rs").cast("double") / F.sum("rn")).alias("avg_response_time_ms"),
+        round_int(tot("rs").cast("double") / tot("rn")).alias("avg_response_time_ms"),
         F.round((n - e).cast("double") * 100 / n, 2).alias("resolution_rate"),
-        F.round(F.sum("fs").cast("double") / F.sum("fn"), 2).alias("csat_avg"))
-    intents = _mode(per, "metric_hour", "intent_detected", "top_intent")
-    chans = _mode(per, "metric_hour", "channel", "top_channel")
-    return base.join(intents, "metric_hour", "left").join(chans, "metric_hour", "left")
+        F.round(tot("fs").cast("double") / tot("fn"), 2).alias("csat_avg"),
+        F.min_by(F.col(it), F.when(by_intent, F.struct((-F.col("n")).alias("nc"), F.col(it).alias("v"))))
+        .alias("top_intent"),
+        F.min_by(F.col(ch), F.when(by_channel, F.struct((-F.col("n")).alias("nc"), F.col(ch).alias("v"))))
+        .alias("top_channel"))
 
 
 # ----------------------------------------------------------------------------- A8
