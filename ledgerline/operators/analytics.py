@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.core import (as_date, blank_to_null, count_if, exact_mean, expense, income, money,
                                        month_start, newest_first, pct, round_int, sum01, ts_minus, ymd)
 
+# The four chat channels counted by the stats report.
 CHANNELS = ("whatsapp", "messenger", "instagram", "web")
 # Finance categories that count as stock purchases.
 PURCHASE_CATEGORIES = ("Materials", "Equipment", "Sales (Out)", "Sales Out")

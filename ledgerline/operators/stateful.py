@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from ledgerline.functions.core import epoch_micros
 from ledgerline.session import cut_lineage
 
+# Message text of a reply stored without a matching draft.
 STANDALONE_MESSAGE = "[no AI draft captured]"
 
 

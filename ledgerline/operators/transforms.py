@@ -263,6 +263,7 @@ def resolve_tiers(responses: DataFrame, primary_label: str = "primary", fallback
 
 
 # ----------------------------------------------------------------------------- T46
+# Name of the record stored when no technique could be extracted.
 TECHNIQUE_FALLBACK_NAME = "Unknown (extraction pending)"
 
 

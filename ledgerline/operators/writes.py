@@ -90,6 +90,7 @@ def apply_ratings(shadow: DataFrame, ratings: DataFrame) -> tuple[DataFrame, Dat
 
 
 # ----------------------------------------------------------------------------- W32
+# Placeholder draft text and default capture source of imported history.
 HISTORY_DRAFT = "[historical export - no AI draft]"
 DEFAULT_SOURCE = "tampermonkey_extract_v3"
 
@@ -250,6 +251,7 @@ def ai_mode(settings: DataFrame, key: str = "ai_concierge_mode", default: str =
 
 
 # ----------------------------------------------------------------------------- V52
+# The channel domain declared on the conversation table.
 CHANNEL_DOMAIN = ("whatsapp", "messenger", "instagram", "web")
 
 
