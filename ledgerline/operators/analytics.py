@@ -408,7 +408,7 @@ def recent_rows(tables: dict, table_name: str, limit: int = 10) -> DataFrame:
 
 # ----------------------------------------------------------------------------- A24
 PAIR_COLUMNS = ("id", "customer_wa_id", "customer_name", "customer_message", "ai_proposed_response",
-                "mostafa_actual_response", "quality_rating", "capture_source", "created_at", "mostafa_responded_at")
+                "human_reply", "quality_rating", "capture_source", "created_at", "human_replied_at")
 
 
 def training_pairs(shadow: DataFrame, only_complete: bool = True, limit: int = 50) -> DataFrame:
@@ -418,7 +418,7 @@ def training_pairs(shadow: DataFrame, only_complete: bool = True, limit: int = 5
     if "customer_name" not in df.columns:
         df = df.withColumn("customer_name", F.lit(None).cast("string"))
     if only_complete:
-        df = df.where(F.col("ai_proposed_response").isNotNull() & F.col("mostafa_actual_response").isNotNull())
+        df = df.where(F.col("ai_proposed_response").isNotNull() & F.col("human_reply").isNotNull())
     return df.orderBy(newest_first("created_at"), "id").limit(limit).select(*PAIR_COLUMNS)
 
 
@@ -426,7 +426,7 @@ def training_pairs(shadow: DataFrame, only_complete: bool = True, limit: int = 5
 def training_pair_stats(shadow: DataFrame) -> DataFrame:
     q = F.col("quality_rating")
     return shadow.agg(
-        count_if(F.col("ai_proposed_response").isNotNull() & F.col("mostafa_actual_response").isNotNull())
+        count_if(F.col("ai_proposed_response").isNotNull() & F.col("human_reply").isNotNull())
         .alias("complete_pairs"),
         count_if(q == "better").alias("ai_better"), count_if(q == "similar").alias("ai_similar"),
         count_if(q == "worse").alias("ai_worse"), F.count(F.lit(1)).alias("total"))

@@ -108,8 +108,8 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
         "id", key,
         *[F.when(is_draft, F.col(c)).otherwise(F.lit(STANDALONE_MESSAGE) if c == "customer_message" else None)
           .alias(c) for c in draft_cols],
-        F.when(matched, nxt["text"]).when(~is_draft, F.col("reply_text")).alias("mostafa_actual_response"),
-        F.when(matched, nxt["t"]).when(~is_draft, F.col("created_at")).alias("mostafa_responded_at"),
+        F.when(matched, nxt["text"]).when(~is_draft, F.col("reply_text")).alias("human_reply"),
+        F.when(matched, nxt["t"]).when(~is_draft, F.col("created_at")).alias("human_replied_at"),
         F.when(matched, nxt["src"]).when(~is_draft, F.col("capture_source")).alias("capture_source"),
         "created_at")
     return out

@@ -99,13 +99,13 @@ def ingest_pairs(pairs: DataFrame, as_of, batch_name_col: str = "batch_name") ->
     """Batch of historical (message, reply) pairs -> inserted rows, and per-batch
     inserted/skipped counts. Blank (whitespace-only) messages are skipped."""
     blank = ~F.col("customer_message").rlike(r"\S")
-    consumed = ("customer_wa_id", "customer_name", "customer_message", "tch_reply", "source", batch_name_col)
+    consumed = ("customer_wa_id", "customer_name", "customer_message", "staff_reply", "source", batch_name_col)
     rows = pairs.where(~blank).select(
         *[c for c in pairs.columns if c not in consumed],
         "customer_wa_id",
         F.coalesce(blank_to_null("customer_name"), F.col(batch_name_col)).alias("customer_name"),
         "customer_message", F.lit(HISTORY_DRAFT).alias("ai_proposed_response"),
-        F.col("tch_reply").alias("mostafa_actual_response"),
+        F.col("staff_reply").alias("human_reply"),
         F.coalesce(blank_to_null("source"), F.lit(DEFAULT_SOURCE)).alias("capture_source"),
         ts_ntz(as_of).alias("created_at"))
     counts = pairs.groupBy(batch_name_col).agg(

@@ -143,7 +143,7 @@ SELECT u.conv_id, u.turn, CAST(u.conv_id AS VARCHAR) AS customer_wa_id,
        CASE WHEN u.conv_id % 2 = 0 THEN NULL ELSE 'N' || CAST(u.conv_id AS VARCHAR) END AS customer_name,
        'batch ' || CAST(u.conv_id % 10 AS VARCHAR) AS batch_name,
        CASE WHEN (u.conv_id + u.turn) % 9 = 0 THEN '   ' ELSE u.text END AS customer_message,
-       a.text AS tch_reply, CASE WHEN u.conv_id % 3 = 0 THEN '' ELSE 'export' END AS source
+       a.text AS staff_reply, CASE WHEN u.conv_id % 3 = 0 THEN '' ELSE 'export' END AS source
 FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 WHERE u.role = 'user'""",
     "usage_request": """
@@ -628,7 +628,7 @@ walk AS (
 pairs AS (SELECT reply_id, draft_id FROM walk WHERE draft_id IS NOT NULL),
 shadow AS (
   SELECT d.id, d.customer_wa_id, d.customer_message, d.customer_message_wamid, d.ai_proposed_response,
-         d.ai_responded_at, r.text AS mostafa_actual_response, r.created_at AS mostafa_responded_at,
+         d.ai_responded_at, r.text AS human_reply, r.created_at AS human_replied_at,
          CASE WHEN r.event_id IS NOT NULL THEN 'tampermonkey' END AS capture_source, d.created_at
   FROM drafts d LEFT JOIN pairs p ON p.draft_id = d.id LEFT JOIN shadow_event r ON r.event_id = p.reply_id
   UNION ALL
@@ -663,12 +663,12 @@ UNION ALL
 SELECT seq, shadow_id, 'not_found' FROM valid WHERE shadow_id NOT IN (SELECT id FROM shadow)""", "rating",
                                                 extra=RATED_SQL)
 ORACLES["training_pairs"] = _with_shadow("""
-SELECT id, customer_wa_id, customer_name, customer_message, ai_proposed_response, mostafa_actual_response,
-       quality_rating, capture_source, created_at, mostafa_responded_at
-FROM rated WHERE ai_proposed_response IS NOT NULL AND mostafa_actual_response IS NOT NULL
+SELECT id, customer_wa_id, customer_name, customer_message, ai_proposed_response, human_reply,
+       quality_rating, capture_source, created_at, human_replied_at
+FROM rated WHERE ai_proposed_response IS NOT NULL AND human_reply IS NOT NULL
 ORDER BY created_at DESC NULLS FIRST, id LIMIT 50""", "rating", extra=RATED_SQL)
 ORACLES["training_pair_stats"] = _with_shadow("""
-SELECT COUNT(*) FILTER (WHERE ai_proposed_response IS NOT NULL AND mostafa_actual_response IS NOT NULL) AS complete_pairs,
+SELECT COUNT(*) FILTER (WHERE ai_proposed_response IS NOT NULL AND human_reply IS NOT NULL) AS complete_pairs,
        COUNT(*) FILTER (WHERE quality_rating = 'better') AS ai_better,
        COUNT(*) FILTER (WHERE quality_rating = 'similar') AS ai_similar,
        COUNT(*) FILTER (WHERE quality_rating = 'worse') AS ai_worse, COUNT(*) AS total
@@ -677,7 +677,7 @@ FROM rated""", "rating", extra=RATED_SQL)
 ORACLES["ingest_pairs"] = with_adapters(f"""
 SELECT conv_id, turn, customer_wa_id, COALESCE(NULLIF(customer_name, ''), batch_name) AS customer_name,
        customer_message, '[historical export - no AI draft]' AS ai_proposed_response,
-       tch_reply AS mostafa_actual_response, COALESCE(NULLIF(source, ''), 'tampermonkey_extract_v3') AS capture_source,
+       staff_reply AS human_reply, COALESCE(NULLIF(source, ''), 'tampermonkey_extract_v3') AS capture_source,
        {_ts(EVENTS_AS_OF)} AS created_at
 FROM conversation_pair WHERE regexp_matches(customer_message, '\\S')""", "conversation_pair")
 ORACLES["ingest_pairs_counts"] = with_adapters("""

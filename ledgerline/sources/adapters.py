@@ -148,7 +148,7 @@ SELECT u.conv_id, u.turn, CAST(u.conv_id AS STRING) AS customer_wa_id,
        CASE WHEN u.conv_id % 2 = 0 THEN NULL ELSE 'N' || CAST(u.conv_id AS STRING) END AS customer_name,
        'batch ' || CAST(u.conv_id % 10 AS STRING) AS batch_name,
        CASE WHEN (u.conv_id + u.turn) % 9 = 0 THEN '   ' ELSE u.text END AS customer_message,
-       a.text AS tch_reply, CASE WHEN u.conv_id % 3 = 0 THEN '' ELSE 'export' END AS source
+       a.text AS staff_reply, CASE WHEN u.conv_id % 3 = 0 THEN '' ELSE 'export' END AS source
 FROM {conversations} u
 LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 WHERE u.role = 'user'""",

@@ -44,7 +44,7 @@ def test_match_replies_equals_replay(spark, seed):
     want = _replay_replies(events)
     got = {}
     reply_ids = {e[0] for e in events if e[2] == "reply"}
-    matched_drafts = {r.id: r.mostafa_responded_at for r in out if r.id not in reply_ids and r.mostafa_actual_response}
+    matched_drafts = {r.id: r.human_replied_at for r in out if r.id not in reply_ids and r.human_reply}
     standalone = {r.id for r in out if r.id in reply_ids}
     for rid in reply_ids:
         got[rid] = None if rid in standalone else "matched"
@@ -116,6 +116,6 @@ def test_match_replies_hot_customer_any_bucket(spark, bucket_minutes):
     want = _replay_replies(events)
     reply_ids = {e[0] for e in events if e[2] == "reply"}
     standalone = {r.id for r in out if r.id in reply_ids}
-    matched_drafts = {r.id for r in out if r.id not in reply_ids and r.mostafa_actual_response}
+    matched_drafts = {r.id for r in out if r.id not in reply_ids and r.human_reply}
     assert standalone == {k for k, v in want.items() if v is None}
     assert matched_drafts == {v for v in want.values() if v is not None}

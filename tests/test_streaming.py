@@ -53,7 +53,7 @@ def test_reply_match_stream_equals_batch(spark, tmp_path):
     c = Catalog(spark, SF_SMALL)
     shadow = R._shadow(c)
     matched = {r.id for r in shadow.where("customer_message <> '[no AI draft captured]' "
-                                          "AND mostafa_actual_response IS NOT NULL").collect()}
+                                          "AND human_reply IS NOT NULL").collect()}
     assert {r.draft_id for r in got.collect() if r.draft_id is not None} == matched
 
 
