@@ -32,7 +32,8 @@ def _micros(c: str) -> F.Column:
 
 # ----------------------------------------------------------------------------- X29
 def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
-                  key: str = "customer_wa_id", bucket_minutes: int = 60) -> DataFrame:
+                  key: str = "customer_wa_id", bucket_minutes: int | None = None,
+                  target_chunk_rows: int = 2_000_000) -> DataFrame:
     """Each reply takes the newest unanswered draft of the same customer created
     strictly within the previous ``window_hours``; that draft is consumed. A reply
     without one becomes a standalone record.
@@ -51,14 +52,21 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     scan over (customer, time bucket) chunks — a window inside each chunk plus a
     small per-chunk summary carried across chunks — and the level pairing runs per
     (customer, level, bucket) with the chunk boundaries stitched from summaries.
-    ``bucket_minutes`` bounds the work of one task to one customer-bucket (an
-    hour by default: a customer holding a third of 100 TB spread over a year is
-    ~4 GB per chunk; use minutes for hotter keys).
+    Chunk width: ``bucket_minutes`` if given; otherwise adaptive — a scalar
+    subquery finds the busiest customer-hour and the width shrinks from an hour
+    (down to one second) so that no chunk holds more than ``target_chunk_rows``.
     """
     ev = (drafts.withColumn("_kind", F.lit(1))
           .unionByName(replies.withColumn("_kind", F.lit(-1)), allowMissingColumns=True))
-    bucket_us = int(bucket_minutes) * 60 * 1_000_000
-    ev = ev.withColumn("_b", F.floor(_micros("created_at") / bucket_us))
+    hour_us = 3_600_000_000
+    if bucket_minutes:
+        width = F.lit(int(bucket_minutes) * 60 * 1_000_000)
+    else:
+        busiest = (ev.groupBy(key, F.floor(_micros("created_at") / hour_us).alias("_h")).count()
+                   .agg(F.max("count")).scalar())
+        width = F.greatest(F.lit(1_000_000), F.least(F.lit(hour_us), F.floor(
+            F.lit(float(hour_us) * target_chunk_rows) / F.greatest(busiest, F.lit(1)))))
+    ev = ev.withColumn("_b", F.floor(_micros("created_at") / width))
     order = [F.col("created_at"), F.col("id")]
     wb = Window.partitionBy(key, "_b").orderBy(*order)
     run_b = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -119,3 +119,21 @@ def test_match_replies_hot_customer_any_bucket(spark, bucket_minutes):
     matched_drafts = {r.id for r in out if r.id not in reply_ids and r.human_reply}
     assert standalone == {k for k, v in want.items() if v is None}
     assert matched_drafts == {v for v in want.values() if v is not None}
+
+
+def test_match_replies_adaptive_chunks(spark):
+    """A tiny row target forces second-wide chunks; results must not change."""
+    rnd = random.Random(11)
+    events = []
+    for i in range(700):
+        t = T0 + dt.timedelta(seconds=rnd.randint(0, 3 * 24 * 3600))
+        events.append((i, "hot" if rnd.random() < 0.9 else "c1", rnd.choice(["draft", "reply", "draft"]), t))
+    ev = spark.createDataFrame(events, "id long, customer_wa_id string, kind string, created_at timestamp_ntz")
+    drafts = ev.where("kind = 'draft'").drop("kind")
+    replies = ev.where("kind = 'reply'").drop("kind").selectExpr("*", "'r' AS reply_text", "'t' AS capture_source")
+    want = _replay_replies(events)
+    reply_ids = {e[0] for e in events if e[2] == "reply"}
+    for target in (3, 2_000_000):
+        out = X.match_replies(drafts, replies, target_chunk_rows=target).collect()
+        assert {r.id for r in out if r.id in reply_ids} == {k for k, v in want.items() if v is None}
+        assert {r.id for r in out if r.id not in reply_ids and r.human_reply} == {v for v in want.values() if v}
