@@ -355,8 +355,12 @@ def _joined_line(top: DataFrame, sort_cols: list[str], piece: F.Column, line_no:
 
 def business_context(students: DataFrame, finance: DataFrame, items: DataFrame, as_of) -> DataFrame:
     """The text context lines of the chat assistant, one row per line."""
-    l1 = students.agg(F.concat(F.lit("Total students: "), F.count(F.lit(1)).cast("string")).alias("text")) \
-        .select(F.lit(1).alias("line_no"), "text")
+    # lines 1 and 4 come from one aggregation of the students (one scan), emitted as two rows
+    st = students.agg(F.count(F.lit(1)).alias("n"), count_if(F.col("created_at") >= month_start(as_of)).alias("m"))
+    l14 = st.select(F.inline(F.array(
+        F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("Total students: "), F.col("n").cast("string")).alias("text")),
+        F.struct(F.lit(4).alias("line_no"),
+                 F.concat(F.lit("New students this month: "), F.col("m").cast("string")).alias("text")))))
     zero = F.lit(0).cast("decimal(12,2)")
     t = finance.agg(F.coalesce(F.sum(income()), zero).alias("i"), F.coalesce(F.sum(expense()), zero).alias("e"))
     l2 = t.select(F.lit(2).alias("line_no"), F.concat(
@@ -368,14 +372,11 @@ def business_context(students: DataFrame, finance: DataFrame, items: DataFrame,
                          F.lit(" left, min "), F.col("minimum_stock").cast("string"), F.lit(")"))
     l3 = _joined_line(low.select("current_stock", "name", "id", low_piece.alias("p")),
                       ["current_stock", "name", "id"], F.col("p"), 3, "Low stock items: ")
-    l4 = students.agg(F.concat(F.lit("New students this month: "),
-                               count_if(F.col("created_at") >= month_start(as_of)).cast("string")).alias("text")) \
-        .select(F.lit(4).alias("line_no"), "text")
     cats = revenue_by_category(finance, 5, keep_blank=True)
     cat_piece = F.concat(F.coalesce(F.col("category"), F.lit("None")), F.lit(": EGP "), _egp(F.col("total")))
     l5 = _joined_line(cats.select((-F.col("total")).alias("nt"), F.col("category"), cat_piece.alias("p")),
                       ["nt", "category"], F.col("p"), 5, "Revenue by category: ")
-    return l1.unionByName(l2).unionByName(l3).unionByName(l4).unionByName(l5)
+    return l14.unionByName(l2).unionByName(l3).unionByName(l5)
 
 
 # ----------------------------------------------------------------------------- A23
