@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app_name: str = "ledgerline",
     if master:
         b = b.master(master)
     b = b.config("spark.ui.enabled", "false")
+    # delete reliable-checkpoint files once the checkpointed data is no longer referenced
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
