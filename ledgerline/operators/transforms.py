@@ -91,8 +91,10 @@ BOOKING_SCHEMA = ("id string, contactId string, contactDetails struct<contactId:
                   "createdDate string, status string")
 
 
-def parse_bookings(payloads: DataFrame, as_of, payload_col: str = "payload") -> DataFrame:
-    """Booking JSON -> registration row; rows with neither contact id nor email are dropped.
+def parse_bookings(payloads: DataFrame, as_of, payload_col: str = "payload",
+                   drop_unidentified: bool = True) -> DataFrame:
+    """Booking JSON -> registration row; rows with neither contact id nor email are dropped
+    (``drop_unidentified=False`` keeps them with an empty ``wix_contact_id``, for counting).
     ``as_of`` stands in for "now" when ``createdDate`` is missing."""
     keep = [c for c in payloads.columns if c != payload_col]
     j = spread(payloads).select(*keep, F.from_json(payload_col, BOOKING_SCHEMA).alias("_j"))
@@ -113,6 +115,8 @@ def parse_bookings(payloads: DataFrame, as_of, payload_col: str = "payload") ->
                    F.date_format(ts_ntz(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("registration_date"),
         _amount_paid(b["priceInfo"]["totalPrice"]).alias("amount_paid"),
         F.coalesce(_truthy_str(b["status"]), F.lit("CONFIRMED")).alias("status"))
+    if not drop_unidentified:
+        return out
     return keep_where(out, lambda r: r["wix_contact_id"] != "")
 
 
@@ -126,15 +130,18 @@ def keep_where(df: DataFrame, pred) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- T39
-def sync_summary(services: DataFrame, booking_payloads: DataFrame, bookings: DataFrame) -> DataFrame:
-    """One summary row of a sync run. The run succeeds when every service has a key."""
+def sync_summary(services: DataFrame, bookings_all: DataFrame) -> DataFrame:
+    """One summary row of a sync run from the parsed services and *all* parsed
+    bookings (``parse_bookings(..., drop_unidentified=False)``): fetched = every
+    booking, synced = those with an identity — one pass over the booking feed.
+    The run succeeds when every service has a key."""
     svc = services.agg(F.count(F.lit(1)).alias("n"), F.count("wix_id").alias("keyed"))
-    fetched = booking_payloads.agg(F.count(F.lit(1))).scalar()
-    synced = bookings.agg(F.count(F.lit(1))).scalar()
+    b = bookings_all.agg(F.struct(F.count(F.lit(1)).alias("fetched"),
+                                  F.count(F.when(F.col("wix_contact_id") != "", 1)).alias("synced"))).scalar()
     return svc.select(
         F.when(F.col("n") == F.col("keyed"), "SUCCESS").otherwise("PARTIAL").alias("status"),
-        F.col("n").alias("services_synced"), synced.alias("bookings_synced"),
-        fetched.alias("bookings_fetched"), fetched.alias("bookings_total_in_wix"))
+        F.col("n").alias("services_synced"), b["synced"].alias("bookings_synced"),
+        b["fetched"].alias("bookings_fetched"), b["fetched"].alias("bookings_total_in_wix"))
 
 
 # ----------------------------------------------------------------------------- T40

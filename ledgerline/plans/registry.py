@@ -157,7 +157,9 @@ register("parse_bookings")(_bookings)
 
 
 @register("sync_summary")
-def _t39(c): return T.sync_summary(_services(c), ad.booking_payload(c), _bookings(c))
+def _t39(c):
+    return T.sync_summary(_services(c), T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF,
+                                                         drop_unidentified=False))
 
 
 @register("ga4_metrics")
