@@ -5,15 +5,21 @@ Each takes (spark, sf_dir) and reads whole tables. ``LLM_ORACLES`` has DuckDB SQ
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat_format, license_scan
+from ledgerline.llm import chat_format, license_scan, sentencepiece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_digest(_table(spark, sf_dir, "documents"),
+                                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_digest(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +32,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op10_chat_format": op10_chat_format,
 }
