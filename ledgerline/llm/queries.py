@@ -8,13 +8,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat_format, license_scan, sentencepiece_bpe
+from ledgerline.llm import chat_format, license_scan, packing, sentencepiece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digest(_table(spark, sf_dir, "documents"),
                                            public_tokenizers.path("piece_bpe_32k.model"))
@@ -32,6 +36,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_pack": op3_pack,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op10_chat_format": op10_chat_format,
