@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat_format, license_scan, packing, sentencepiece_bpe
+from ledgerline.llm import chat_format, license_scan, packing, sentencepiece_bpe, simhash_vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
@@ -39,6 +43,7 @@ LLM_QUERIES = {
     "op3_pack": op3_pack,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
+    "op6_simhash": op6_simhash,
     "op10_chat_format": op10_chat_format,
 }
 
