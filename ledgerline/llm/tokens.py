@@ -12,11 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000          # words, and stretches, that a worker remembers
+WORDS_AT_ONCE = 64
 # letters, digits and other numbers of Latin-1 as the tokenizer's own pattern sorts them, after lower-casing
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
-_ODD = re.compile(r"[\x1c-\x1f]|[^\x00-\xff]")
 
 
 class WordTokenizer:
@@ -30,47 +30,55 @@ class WordTokenizer:
         self._stretches: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
-    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
-        """Ids (little-endian 32-bit) of stretches; remembered as far as there is room."""
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Ids (little-endian 32-bit) of stretches between white space."""
         cut = {s: _WORD.findall(s) for s in stretches}
-        new = sorted({w for ws in cut.values() for w in ws if w not in self._words})
-        if len(self._words) + len(new) > CACHE_ENTRIES:
-            self._words.clear()
-            new = sorted({w for ws in cut.values() for w in ws})
-        for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
-            ids = np.array(self.whole.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+        new = sorted({w for ws in cut.values() for w in ws}.difference(self._words))
+        groups = [new[k:k + WORDS_AT_ONCE] for k in range(0, len(new), WORDS_AT_ONCE)]
+        for some, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stops) != len(some):
                 raise ValueError("the tokenizer doesn't keep words apart")
-            self._words.update(zip(some, (p.tobytes() for p in np.split(ids, stops[:-1])), strict=True))
-        got = {s: b"".join([self._words[w] for w in ws]) for s, ws in cut.items()}
-        if len(self._stretches) + len(got) > CACHE_ENTRIES:
-            self._stretches.clear()
-        self._stretches.update((s, v) for s, v in got.items() if len(s) <= 64)
-        return got
+            raw = ids.tobytes()
+            self._words.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+        word = self._words
+        self._stretches.update((s, b"".join([word[w] for w in ws])) for s, ws in cut.items())
+
+    def _is_plain(self, text: str) -> bool:
+        """Latin-1 without the separators that only Python takes for white space, and without control strings."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.control))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, as bytes of little-endian 32-bit numbers."""
-        plain, parts, missing = {}, [], set()
-        for k, t in enumerate(texts):
-            if _ODD.search(t) or any(c in t for c in self.control):
-                parts.append(None)
-                plain[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            words = t.lower().split()
-            missing.update(w for w in words if w not in self._stretches)
-            parts.append(words)
-        known = dict.fromkeys(())
+        parts = [t.lower().split() if self._is_plain(t) else None for t in texts]
+        missing = {w for ws in parts if ws for w in set(ws).difference(self._stretches)}
         if missing:
-            old = self._stretches
-            keep = len(old) + len(missing) <= CACHE_ENTRIES
-            if not keep:                                  # what these texts need must outlive the clearing
-                known = {w: old[w] for ws in parts if ws for w in ws if w in old}
-            known.update(self._learn(missing))
-        at = self._stretches
-        return [plain[k] if ws is None else b"".join([known[w] if w in known else at[w] for w in ws])
-                for k, ws in enumerate(parts)]
+            self._learn(missing)
+        of = self._stretches.__getitem__
+        out = [b"".join(map(of, ws)) if ws is not None else self._encode([t])[0].tobytes()
+               for t, ws in zip(texts, parts)]
+        for w in missing:
+            if len(w) > 64:
+                del self._stretches[w]
+        for memory in (self._stretches, self._words):
+            _forget(memory)
+        return out
+
+
+def _forget(memory: dict, entries: int | None = None) -> None:
+    """Drops the later half of a memory that has grown too large: what came first is mostly what is frequent."""
+    entries = CACHE_ENTRIES if entries is None else entries
+    if len(memory) > entries:
+        for key in list(memory)[entries // 2:]:
+            del memory[key]
 
 
 @lru_cache(maxsize=2)
