@@ -9,14 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (chat_format, license_scan, multi_index, packing, sentencepiece_bpe, simhash_vptree,
-                            voronoi_topk)
+from ledgerline.llm import (chat_format, license_scan, multi_index, packing, quality, sentencepiece_bpe,
+                            simhash_vptree, toxicity, voronoi_topk)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -50,10 +58,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_quality": op1_quality,
     "op3_pack": op3_pack,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_multi_index": op8_multi_index,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
