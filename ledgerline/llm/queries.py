@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (chat_format, license_scan, multi_index, packing, quality, sentencepiece_bpe,
+from ledgerline.llm import (chat_format, license_scan, multi_index, packing, quality, secret_scan, sentencepiece_bpe,
                             simhash_vptree, toxicity, voronoi_topk)
 
 
@@ -21,6 +21,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.secret_digest(docs, secret_scan.secret_field(docs))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,6 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_quality": op1_quality,
+    "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,

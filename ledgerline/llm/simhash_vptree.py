@@ -280,3 +280,15 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return near_groups(prints, radius, **how).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                           radius: int = 3, **how) -> DataFrame:
+    """The documents without near-duplicates, with all their columns: of each group the one with the smallest id
+    stays (a NULL id comes last), of equal ids the first in the table. ``df`` should be a written table: its rows are
+    numbered by place."""
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    prints = cut_lineage(numbered.select(order.alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
+    gone = near_groups(prints, radius, **how).where("id.row <> component.row").select(F.col("id.row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*df.columns)
