@@ -121,13 +121,7 @@ def json_quote(c) -> Column:
     return F.when(s.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
 
 
-def spread(df, min_partitions: int | None = None):
-    """Fan a thin input out over the cluster before CPU-heavy per-row work
-    (JSON parsing, regex, vector scoring). A no-op when the scan already yields
-    enough splits — the large-data case — so it never adds a shuffle there."""
-    if df.isStreaming:
-        return df
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= n:      # plans the scan; no Python RDD conversion
-        return df
-    return df.repartition(n)
+def spread(df, partitions: int | None = None):
+    """Fan a thin input out before CPU-heavy per-row work (JSON parsing, regex). Only on request: the caller knows
+    whether the scan has too few splits; a large table has enough, and would only pay for the shuffle."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)

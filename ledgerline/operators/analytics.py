@@ -188,7 +188,9 @@ def dashboard_stats(students: DataFrame, conversations: DataFrame, finance: Data
     unpaid = ((F.col("income_receivable") > 0) & (F.col("income_cash") == 0) & (F.col("income_bank") == 0)
               & (td >= ts_minus(fin_now, "'90' DAY")))
     students_n = students.agg(F.count(F.lit(1))).scalar()
-    fin = finance.agg(
+    # one bound that the scan can use: the earlier of the two starts
+    since = F.least(ts_minus(fin_now, "'90' DAY"), month_start(fin_now))
+    fin = finance.where(td >= since).agg(
         count_if(unpaid).alias("unpaid_invoices"),
         F.coalesce(F.sum(F.when(td >= month_start(fin_now), F.col("income_cash") + F.col("income_bank"))),
                    F.lit(0).cast("decimal(12,2)")).alias("rev"))
@@ -290,35 +292,17 @@ def inventory_category_summary(finance: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- A19
-def recent_movements(movements: DataFrame, items: DataFrame, n: int = 25, max_candidates: int = 1 << 20) -> DataFrame:
-    """Newest n movements of known items (inner join: a movement whose item is
-    missing must not take a slot).
-
-    Exact top-n without shuffling the fact: take the newest M movements
-    (per-partition top-M, then an M-row merge), join just those M rows to the
-    items (M is bounded, so they are broadcast and the item table is only
-    scanned), and widen M only if fewer than n of them have an item. With
-    referential integrity the first round (M = 4n) is final. Past
-    ``max_candidates`` the plain join + top-n is used."""
+def recent_movements(movements: DataFrame, items: DataFrame, n: int = 25) -> DataFrame:
+    """Newest n movements of known items (inner join: a movement whose item is missing must not take a slot).
+    Adaptive execution picks the join from the measured size of the items; each partition keeps its own top n."""
     order = [newest_first("created_at"), "l_orderkey", "l_linenumber", "l_suppkey", "item_id"]
     it = items.select(F.col("id").alias("i_id"), F.col("name").alias("item_name"), "unit")
-
-    def finish(j: DataFrame) -> DataFrame:
-        return (j.orderBy(*order).limit(n)
-                .select("l_orderkey", "l_linenumber", "l_suppkey", "item_name", F.col("movement_type").alias("type"),
-                        money("quantity").alias("quantity"), "unit",
-                        F.coalesce(blank_to_null("notes"), F.lit("")).alias("notes"),
-                        F.coalesce(ymd("created_at"), F.lit("")).alias("date"),
-                        F.coalesce(blank_to_null("created_by"), F.lit("system")).alias("by")))
-
-    m = 4 * n
-    while m <= max_candidates:
-        top = movements.orderBy(*order).limit(m)
-        j = F.broadcast(top).join(it, top.item_id == it.i_id, "inner")
-        if j.count() >= n or top.count() < m:       # enough known items, or the fact is exhausted
-            return finish(j)
-        m *= 8
-    return finish(movements.join(it, movements.item_id == it.i_id, "inner"))
+    return (movements.join(it, movements.item_id == it.i_id, "inner").orderBy(*order).limit(n)
+            .select("l_orderkey", "l_linenumber", "l_suppkey", "item_name", F.col("movement_type").alias("type"),
+                    money("quantity").alias("quantity"), "unit",
+                    F.coalesce(blank_to_null("notes"), F.lit("")).alias("notes"),
+                    F.coalesce(ymd("created_at"), F.lit("")).alias("date"),
+                    F.coalesce(blank_to_null("created_by"), F.lit("system")).alias("by")))
 
 
 # ----------------------------------------------------------------------------- A20
@@ -361,32 +345,37 @@ def business_context(students: DataFrame, finance: DataFrame, items: DataFrame,
         F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("Total students: "), F.col("n").cast("string")).alias("text")),
         F.struct(F.lit(4).alias("line_no"),
                  F.concat(F.lit("New students this month: "), F.col("m").cast("string")).alias("text")))))
+    # lines 2 and 5 come from one pass over finance: sums by category, of which there are few
     zero = F.lit(0).cast("decimal(12,2)")
-    t = finance.agg(F.coalesce(F.sum(income()), zero).alias("i"), F.coalesce(F.sum(expense()), zero).alias("e"))
-    l2 = t.select(F.lit(2).alias("line_no"), F.concat(
-        F.lit("Total revenue: EGP "), _egp(F.col("i")), F.lit(", Total expenses: EGP "), _egp(F.col("e")),
-        F.lit(", Net profit: EGP "), _egp(F.col("i") - F.col("e"))).alias("text"))
+    by_cat = finance.groupBy("category").agg(
+        F.sum(income()).alias("i"), F.sum(expense()).alias("e"),
+        F.sum(F.when(income() > 0, income())).alias("positive"))
+    first = F.struct((-money("positive")).alias("nt"), F.col("category"), money("positive").alias("total"))
+    fin = by_cat.agg(F.coalesce(F.sum("i"), zero).alias("i"), F.coalesce(F.sum("e"), zero).alias("e"),
+                     F.collect_list(F.when(F.col("positive").isNotNull(), first)).alias("cats"))
+    l2_text = F.concat(F.lit("Total revenue: EGP "), _egp(F.col("i")), F.lit(", Total expenses: EGP "), _egp(F.col("e")),
+                       F.lit(", Net profit: EGP "), _egp(F.col("i") - F.col("e")))
+    top = F.slice(F.sort_array("cats"), 1, 5)
+    l5_text = F.concat(F.lit("Revenue by category: "), F.array_join(F.transform(top, lambda x: F.concat(
+        F.coalesce(x["category"], F.lit("None")), F.lit(": EGP "), _egp(x["total"]))), ", "))
+    line = lambda n, text: F.struct(F.lit(n).alias("line_no"), text.alias("text"))
+    l25 = fin.select(F.inline(F.filter(F.array(line(2, l2_text), F.when(F.size("cats") > 0, line(5, l5_text))),
+                                       lambda x: x.isNotNull())))
     low = (items.where(F.col("current_stock") <= F.col("minimum_stock"))
            .orderBy("current_stock", "name", "id").limit(5))
     low_piece = F.concat(F.coalesce(F.col("name"), F.lit("None")), F.lit(" ("), F.col("current_stock").cast("string"),
                          F.lit(" left, min "), F.col("minimum_stock").cast("string"), F.lit(")"))
     l3 = _joined_line(low.select("current_stock", "name", "id", low_piece.alias("p")),
                       ["current_stock", "name", "id"], F.col("p"), 3, "Low stock items: ")
-    cats = revenue_by_category(finance, 5, keep_blank=True)
-    cat_piece = F.concat(F.coalesce(F.col("category"), F.lit("None")), F.lit(": EGP "), _egp(F.col("total")))
-    l5 = _joined_line(cats.select((-F.col("total")).alias("nt"), F.col("category"), cat_piece.alias("p")),
-                      ["nt", "category"], F.col("p"), 5, "Revenue by category: ")
-    return l14.unionByName(l2).unionByName(l3).unionByName(l5)
+    return l14.unionByName(l25).unionByName(l3)
 
 
 # ----------------------------------------------------------------------------- A23
 def snapshot_30d(registrations: DataFrame, students: DataFrame, as_of, days: int = 30) -> DataFrame:
     start = ts_minus(as_date(as_of), f"'{days}' DAY")      # current_date - interval: midnight boundary
-    confirmed = (F.col("registration_date") >= start) & (F.col("status") == "CONFIRMED")
+    recent = registrations.where((F.col("registration_date") >= start) & (F.col("status") == "CONFIRMED"))
     new = students.where(F.col("created_at") >= start).agg(F.count(F.lit(1))).scalar()
-    rev = registrations.agg(
-        round_int(F.coalesce(F.sum(F.when(confirmed, F.col("amount_paid"))), F.lit(0).cast("decimal(12,2)")))
-        .alias("revenue_30d"))
+    rev = recent.agg(round_int(F.coalesce(F.sum("amount_paid"), F.lit(0).cast("decimal(12,2)"))).alias("revenue_30d"))
     return rev.select("revenue_30d", new.alias("new_students_30d")).select(
         "*", F.concat(F.lit("Database Snapshot: 30-day Revenue EGP "), F.format_number("revenue_30d", 0),
                       F.lit(", 30-day New Students "), F.col("new_students_30d").cast("string")).alias("snapshot_text"))

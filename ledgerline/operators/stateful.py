@@ -48,25 +48,33 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     them. Pairs older than the window are voided (expired drafts only lie under
     live ones, so popping them early never changes a later match).
 
+    Rows without a customer or a time can't match (NULL equals nothing): such drafts stay unanswered, such replies
+    stand alone. They are kept apart, so that they form no group.
+
     No customer is ever one task: running sums and minima are a two-level prefix
-    scan over (customer, time bucket) chunks — a window inside each chunk plus a
+    scan over (customer, chunk of time) — a window inside each chunk plus a
     small per-chunk summary carried across chunks — and the level pairing runs per
-    (customer, level, bucket) with the chunk boundaries stitched from summaries.
-    Chunk width: ``bucket_minutes`` if given; otherwise adaptive — a scalar
-    subquery finds the busiest customer-hour and the width shrinks from an hour
-    (down to one second) so that no chunk holds more than ``target_chunk_rows``.
+    (customer, level, chunk) with the chunk boundaries stitched from summaries.
+    A chunk is ``bucket_minutes`` or else an hour; a customer's hour that holds more than
+    ``target_chunk_rows`` is cut finer (down to one second), all others stay whole.
     """
     ev = (drafts.withColumn("_kind", F.lit(1))
           .unionByName(replies.withColumn("_kind", F.lit(-1)), allowMissingColumns=True))
-    hour_us = 3_600_000_000
+    draft_cols = [c for c in drafts.columns if c not in ("id", key, "created_at", "capture_source")]
+    matchable = F.col(key).isNotNull() & F.col("created_at").isNotNull()
+    apart, ev = ev.where(~matchable), ev.where(matchable)
+    span = int(bucket_minutes or 60) * 60_000_000
+    us = _micros("created_at")
+    ev = ev.withColumn("_h", F.floor(us / span))
     if bucket_minutes:
-        width = F.lit(int(bucket_minutes) * 60 * 1_000_000)
+        ev = ev.withColumn("_b", F.col("_h"))
     else:
-        busiest = (ev.groupBy(key, F.floor(_micros("created_at") / hour_us).alias("_h")).count()
-                   .agg(F.max("count")).scalar())
-        width = F.greatest(F.lit(1_000_000), F.least(F.lit(hour_us), F.floor(
-            F.lit(float(hour_us) * target_chunk_rows) / F.greatest(busiest, F.lit(1)))))
-    ev = ev.withColumn("_b", F.floor(_micros("created_at") / width))
+        busy = (ev.groupBy(key, "_h").agg(F.count("*").alias("_n")).where(F.col("_n") > target_chunk_rows)
+                .select(key, "_h", F.greatest(F.lit(1_000_000), F.floor(
+                    F.lit(float(span) * target_chunk_rows) / F.col("_n"))).alias("_width")))
+        part = F.coalesce(F.floor((us - F.col("_h") * span) / F.col("_width")), F.lit(0))
+        ev = ev.join(busy, [key, "_h"], "left").withColumn("_b", F.col("_h") * 3_600 + part).drop("_width")
+    ev = ev.drop("_h")
     order = [F.col("created_at"), F.col("id")]
     wb = Window.partitionBy(key, "_b").orderBy(*order)
     run_b = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,16 +119,20 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
     # evaluate the whole pipeline twice); consumed replies are dropped
     is_draft = F.col("_kind") == 1
     matched = is_draft & F.coalesce(F.col("_draft_matched"), F.lit(False))
-    draft_cols = [c for c in drafts.columns if c not in ("id", key, "created_at")]
-    out = ev.where(is_draft | ~F.coalesce(F.col("_reply_matched"), F.lit(False))).select(
-        "id", key,
-        *[F.when(is_draft, F.col(c)).otherwise(F.lit(STANDALONE_MESSAGE) if c == "customer_message" else None)
-          .alias(c) for c in draft_cols],
-        F.when(matched, nxt["text"]).when(~is_draft, F.col("reply_text")).alias("human_reply"),
-        F.when(matched, nxt["t"]).when(~is_draft, F.col("created_at")).alias("human_replied_at"),
-        F.when(matched, nxt["src"]).when(~is_draft, F.col("capture_source")).alias("capture_source"),
-        "created_at")
-    return out
+
+    def shadow(df: DataFrame, text: F.Column, at: F.Column, source: F.Column) -> DataFrame:
+        return df.select(
+            "id", key,
+            *[F.when(is_draft, F.col(c)).otherwise(F.lit(STANDALONE_MESSAGE) if c == "customer_message" else None)
+              .alias(c) for c in draft_cols],
+            F.when(~is_draft, F.col("reply_text")).otherwise(text).alias("human_reply"),
+            F.when(~is_draft, F.col("created_at")).otherwise(at).alias("human_replied_at"),
+            F.coalesce(source, F.col("capture_source")).alias("capture_source"), "created_at")
+
+    answered = ev.where(is_draft | ~F.coalesce(F.col("_reply_matched"), F.lit(False)))
+    none = F.lit(None)
+    return shadow(answered, F.when(matched, nxt["text"]), F.when(matched, nxt["t"]),
+                  F.when(matched, nxt["src"])).unionByName(shadow(apart, none, none, none))
 
 
 # ----------------------------------------------------------------------------- X49

@@ -130,18 +130,33 @@ def keep_where(df: DataFrame, pred) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- T39
-def sync_summary(services: DataFrame, bookings_all: DataFrame) -> DataFrame:
-    """One summary row of a sync run from the parsed services and *all* parsed
-    bookings (``parse_bookings(..., drop_unidentified=False)``): fetched = every
-    booking, synced = those with an identity — one pass over the booking feed.
-    The run succeeds when every service has a key."""
-    svc = services.agg(F.count(F.lit(1)).alias("n"), F.count("wix_id").alias("keyed"))
+def sync_result(services: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Answer of the cache write, one row: the numbers written, or an error (and no numbers) if a service has no
+    key, since one such row rolls the whole write back. A blank key counts as missing."""
+    svc = services.agg(F.count(F.lit(1)).alias("n"), F.count(blank_to_null("wix_id")).alias("keyed"))
+    n = bookings.agg(F.count(F.lit(1))).scalar()
+    ok = F.col("n") == F.col("keyed")
+    return svc.select(F.when(ok, "ok").otherwise("error").alias("status"),
+                      F.when(ok, F.col("n")).alias("services_synced"), F.when(ok, n).alias("bookings_synced"),
+                      F.when(~ok, F.lit("service without id")).alias("error"))
+
+
+def sync_summary(services: DataFrame, bookings_all: DataFrame, result: DataFrame, synced_at,
+                 paging_total: DataFrame | None = None) -> DataFrame:
+    """One summary row of a sync run from the parsed services, *all* parsed bookings
+    (``parse_bookings(..., drop_unidentified=False)``) and the answer of the write (``sync_result``): the numbers
+    written, or else the numbers sent. ``paging_total`` (one row ``total``) is the source's own count of bookings;
+    without it, or if it is 0 or NULL, the fetched ones count."""
+    svc = services.agg(F.count(F.lit(1))).scalar()
     b = bookings_all.agg(F.struct(F.count(F.lit(1)).alias("fetched"),
-                                  F.count(F.when(F.col("wix_contact_id") != "", 1)).alias("synced"))).scalar()
-    return svc.select(
-        F.when(F.col("n") == F.col("keyed"), "SUCCESS").otherwise("PARTIAL").alias("status"),
-        F.col("n").alias("services_synced"), b["synced"].alias("bookings_synced"),
-        b["fetched"].alias("bookings_fetched"), b["fetched"].alias("bookings_total_in_wix"))
+                                  F.count(F.when(F.col("wix_contact_id") != "", 1)).alias("sent"))).scalar()
+    total = F.nullif(paging_total.agg(F.max("total")).scalar(), F.lit(0)) if paging_total is not None else F.lit(None)
+    done = (F.col("status") == "ok") | F.col("services_synced").isNotNull()
+    return result.select(
+        F.when(done, "SUCCESS").otherwise("PARTIAL").alias("status"), ts_ntz(synced_at).alias("synced_at"),
+        F.coalesce("services_synced", svc).alias("services_synced"),
+        F.coalesce("bookings_synced", b["sent"]).alias("bookings_synced"), b["fetched"].alias("bookings_fetched"),
+        F.coalesce(total.cast("long"), b["fetched"]).alias("bookings_total_in_wix"), "error")
 
 
 # ----------------------------------------------------------------------------- T40
@@ -151,7 +166,7 @@ GA4_SCHEMA = "date string, metricValues array<struct<value: string>>"
 def ga4_metrics(payloads: DataFrame, payload_col: str = "payload", platform: str = "ga4") -> DataFrame:
     """Daily analytics row -> two long-format metric rows, only when two values exist."""
     j = payloads.select(F.from_json(payload_col, GA4_SCHEMA).alias("j")).where(F.size("j.metricValues") >= 2)
-    log_date = F.to_date(F.regexp_replace("j.date", r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
+    log_date = F.to_date(F.try_to_timestamp("j.date", F.lit("yyyyMMdd")))        # NULL if it is no date
     pairs = F.array(
         F.struct(F.lit("activeUsers").alias("metric_name"), F.col("j.metricValues")[0]["value"].alias("v")),
         F.struct(F.lit("sessions").alias("metric_name"), F.col("j.metricValues")[1]["value"].alias("v")))
@@ -194,6 +209,10 @@ def rights_intent(messages: DataFrame, payload_col: str = "payload") -> DataFram
 
 
 # ----------------------------------------------------------------------------- T42
+# The answer to a requester of whom nothing is stored.
+NO_DATA_TEXT = "ℹ️ لا توجد بيانات مخزنة لرقمك.\n\nNo stored data found for your number."
+
+
 def rights_access_report(intents: DataFrame, conversations: DataFrame, n: int = 20,
                          preview_chars: int = 60) -> DataFrame:
     """Per ACCESS requester: their newest ``n`` messages as numbered lines.
@@ -218,7 +237,8 @@ def rights_access_report(intents: DataFrame, conversations: DataFrame, n: int =
     report = per.select(F.col("sender_id").alias("phone"), "message_count",
                         F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("summary"))
     return (req.join(report, "phone", "left")
-            .select("phone", F.coalesce("message_count", F.lit(0)).cast("bigint").alias("message_count"), "summary"))
+            .select("phone", F.coalesce("message_count", F.lit(0)).cast("bigint").alias("message_count"),
+                    F.coalesce("summary", F.lit(NO_DATA_TEXT)).alias("summary")))
 
 
 # ----------------------------------------------------------------------------- T44

@@ -23,30 +23,30 @@ def keyed_merge(target: DataFrame | None, batch: DataFrame, key: str, order: lis
     """Upsert ``batch`` into ``target`` on ``key`` (row-at-a-time semantics in ``order``).
 
     Output columns: key + insert_cols + update_cols. ``target`` may be None (empty table).
-    One aggregation of the batch and one full outer join: a NULL key never equals
-    anything, so NULL-key rows of both sides come out of the join unmatched, i.e.
-    kept (target) or inserted (batch); in the batch aggregation they group on their
-    own order key, so each stays a row of its own.
+    One aggregation of the batch and one full outer join on the keys. Rows without
+    a key equal nothing: they are kept (target) or inserted (batch) as they are and
+    take no part in either, so they meet in no task.
     """
     ordk = F.struct(*[F.col(c) for c in order])
-    gk = F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), ordk).alias("o"))
-    per_key = batch.groupBy(gk.alias("_gk")).agg(
+    cols = [key, *insert_cols, *update_cols]
+    keyed, loose = batch.where(F.col(key).isNotNull()), batch.where(F.col(key).isNull())
+    loose = loose.select(*cols)
+    b = keyed.groupBy(key).agg(
         F.min_by(F.struct(*[F.col(c) for c in insert_cols]), ordk).alias("_first"),
         F.max_by(F.struct(*[F.col(c) for c in update_cols]), ordk).alias("_last"))
-    b = per_key.select(F.col("_gk.k").alias(key), "_first", "_last")
     if target is None:
         return b.select(key, *[F.col("_first")[c].alias(c) for c in insert_cols],
-                        *[F.col("_last")[c].alias(c) for c in update_cols])
-    t = target.select(key, *insert_cols, *update_cols).alias("t")
-    b = b.alias("b")
+                        *[F.col("_last")[c].alias(c) for c in update_cols]).unionByName(loose)
+    t = target.select(*cols)
+    loose = loose.unionByName(t.where(F.col(key).isNull()))
+    t, b = t.where(F.col(key).isNotNull()).alias("t"), b.alias("b")
     j = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer")
-    in_t = F.col("_first").isNull()          # every batch group has a first row
+    in_b = F.col(f"b.{key}").isNotNull()
+    in_t = F.col(f"t.{key}").isNotNull()
     return j.select(
-        F.when(in_t, F.col(f"t.{key}")).otherwise(F.col(f"b.{key}")).alias(key),
-        *[F.when(in_t, F.col(f"t.{c}")).otherwise(F.when(F.col(f"t.{key}").isNotNull(), F.col(f"t.{c}"))
-                                                  .otherwise(F.col("_first")[c])).alias(c) for c in insert_cols],
-        *[F.when(F.col("_last").isNotNull(), F.col("_last")[c]).otherwise(F.col(f"t.{c}")).alias(c)
-          for c in update_cols])
+        F.coalesce(F.col(f"t.{key}"), F.col(f"b.{key}")).alias(key),
+        *[F.when(in_t, F.col(f"t.{c}")).otherwise(F.col("_first")[c]).alias(c) for c in insert_cols],
+        *[F.when(in_b, F.col("_last")[c]).otherwise(F.col(f"t.{c}")).alias(c) for c in update_cols]).unionByName(loose)
 
 
 def require_keys(batch: DataFrame, key: str, message: str) -> DataFrame:
@@ -59,9 +59,9 @@ def require_keys(batch: DataFrame, key: str, message: str) -> DataFrame:
 # ----------------------------------------------------------------------------- W30
 def upsert_drafts(target: DataFrame | None, drafts: DataFrame) -> DataFrame:
     """Draft log keyed by message id: new drafts insert; a repeated message id
-    only replaces the draft text and its time (created_at and message stay)."""
+    only replaces the draft text and its time (created_at, name and message stay)."""
     return keyed_merge(target, drafts, "customer_message_wamid", ["created_at", "id"],
-                       ["id", "customer_wa_id", "customer_message", "created_at"],
+                       ["id", "customer_wa_id", "customer_name", "customer_message", "created_at"],
                        ["ai_proposed_response", "ai_responded_at"])
 
 
@@ -75,10 +75,9 @@ def apply_ratings(shadow: DataFrame, ratings: DataFrame) -> tuple[DataFrame, Dat
     Returns (new shadow state with quality_rating/notes/rated_at, rejects with reason)."""
     valid = ratings.where(F.col("quality_rating").isin(*RATINGS))
     invalid = ratings.where(~F.col("quality_rating").isin(*RATINGS) | F.col("quality_rating").isNull())
-    ids = shadow.select(F.col("id").alias("shadow_id"))
-    known = valid.join(ids, "shadow_id", "left_semi")
-    unknown = valid.join(ids, "shadow_id", "left_anti")
-    last = known.groupBy("shadow_id").agg(
+    unknown = valid.join(shadow.select(F.col("id").alias("shadow_id")), "shadow_id", "left_anti")
+    # ratings of unknown ids find no row in the left join below
+    last = valid.groupBy("shadow_id").agg(
         F.max_by(F.struct("quality_rating", "notes", "created_at"), F.col("seq")).alias("r"))
     base = shadow.drop("quality_rating", "notes", "rated_at")
     state = (base.join(last, base.id == last.shadow_id, "left")
@@ -122,16 +121,16 @@ def stock_ledger(movements: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- W35
-def upsert_services(target: DataFrame | None, services: DataFrame, order: str = "pos") -> DataFrame:
-    """Service cache keyed by service id. Title, price, duration and category are
-    overwritten on conflict; service type and status keep their first value.
+def upsert_services(target: DataFrame | None, services: DataFrame, synced_at, order: str = "pos") -> DataFrame:
+    """Service cache keyed by service id. Title, price, duration, category and the time of the
+    sync are overwritten on conflict; service type and status keep their first value.
     A row without a key aborts the whole batch."""
     b = require_keys(services, "wix_id", "service without id: batch aborted")
     b = b.select(F.col("wix_id").alias("wix_service_id"), "service_type", "title",
                  F.col("price").alias("price_egp"), F.col("duration").alias("duration_minutes"),
-                 "category", "status", order)
+                 "category", "status", ts_ntz(synced_at).alias("synced_at"), order)
     return keyed_merge(target, b, "wix_service_id", [order], ["service_type", "status"],
-                       ["title", "price_egp", "duration_minutes", "category"])
+                       ["title", "price_egp", "duration_minutes", "category", "synced_at"])
 
 
 # ----------------------------------------------------------------------------- W36
@@ -212,7 +211,7 @@ def cost_rules_frame(spark, service: str, scale: float = 1.0) -> DataFrame:
 def cost_rules_fired(spend_events: DataFrame, rules: DataFrame) -> DataFrame:
     """Evaluate ``daily_spend > N`` / ``weekly_spend > N`` per service and day.
     Spend is summed exactly in cents; weekly = calendar week (Monday start) to date.
-    ``rules`` is the handful of seeded rows (bounded, so broadcast)."""
+    ``rules`` is any rule table (a handful of rows is broadcast by measured size)."""
     from pyspark.sql.window import Window
     daily = (spend_events.where(F.col("agent_name").isNotNull())
              .groupBy(F.col("agent_name").alias("service_name"), F.to_date("created_at").alias("spend_date"))
@@ -225,7 +224,7 @@ def cost_rules_fired(spend_events: DataFrame, rules: DataFrame) -> DataFrame:
          .select("rule_name", "service_name", "action_to_take",
                  F.regexp_extract("trigger_condition", pat, 1).alias("metric"),
                  F.regexp_extract("trigger_condition", pat, 2).cast("decimal(20,2)").alias("threshold")))
-    j = daily.join(F.broadcast(r), "service_name")
+    j = daily.join(r, "service_name")
     cents = F.when(F.col("metric") == "daily_spend", F.col("daily_cents")).when(
         F.col("metric") == "weekly_spend", F.col("weekly_cents"))
     return (j.withColumn("cents", cents).where(F.col("cents") > F.col("threshold") * 100)
@@ -234,6 +233,25 @@ def cost_rules_fired(spend_events: DataFrame, rules: DataFrame) -> DataFrame:
                     F.col("threshold").cast("double").alias("threshold"), "action_to_take"))
 
 
+def seed_rules(target: DataFrame, seeds: DataFrame, key: str = "rule_name") -> DataFrame:
+    """W54: adds the seeded rules that the table doesn't have yet (by name); what is there stays as it is."""
+    return target.unionByName(seeds.join(target.select(key), key, "left_anti").select(*target.columns))
+
+
+# ----------------------------------------------------------------------------- W53
+def update_rows(target: DataFrame, changes: DataFrame, as_of, key: str = "id", order: str = "seq") -> DataFrame:
+    """Updates by key, the last change (in ``order``) of a row wins. Every updated row gets ``updated_at`` =
+    ``as_of``, also when a value stays the same; other rows keep theirs. Changes of unknown keys do nothing."""
+    cols = [c for c in changes.columns if c not in (key, order)]
+    last = changes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(F.struct(*cols), F.col(order)).alias("_new"))
+    j = target.join(last, target[key] == last["_key"], "left")
+    hit = F.col("_key").isNotNull()
+    return j.select(*[(F.when(hit, F.col("_new")[c]).otherwise(target[c]) if c in cols else
+                       F.when(hit, ts_ntz(as_of)).otherwise(target[c]) if c == "updated_at" else target[c]).alias(c)
+                      for c in target.columns])
+
+
 # ----------------------------------------------------------------------------- W51
 # Modes a setting may take.
 SETTING_VALUES = ("active", "paused")
@@ -251,22 +269,49 @@ def ai_mode(settings: DataFrame, key: str = "ai_concierge_mode", default: str =
 
 
 # ----------------------------------------------------------------------------- V52
-# The channel domain declared on the conversation table.
+# The domains declared on the conversation and interaction tables, and the lengths of a submission.
 CHANNEL_DOMAIN = ("whatsapp", "messenger", "instagram", "web")
+INTERACTION_TYPES = ("booking", "question", "complaint", "feedback", "other")
+SENTIMENTS = ("positive", "neutral", "negative")
+OUTCOMES = ("resolved", "escalated", "booked", "follow_up", "other")
+SUBMISSION_LENGTH = (5, 3000)
 
 
-def validate_rows(rows: DataFrame, max_message: int = 1000) -> DataFrame:
-    """Declared constraints as a good/quarantine split in one scan: ``reasons`` lists
-    every violated rule ('' when the row is valid)."""
-    ch, msg, fb = F.col("channel"), F.col("original_message"), F.col("customer_feedback")
-    checks: list[tuple[str, Column]] = [
-        ("channel_null", ch.isNull()),
-        ("channel_domain", ch.isNotNull() & ~ch.isin(*CHANNEL_DOMAIN)),
-        ("sender_null", F.col("sender_id").isNull()),
-        ("message_null", msg.isNull()),
-        ("message_length", msg.isNotNull() & ((F.length(msg) < 1) | (F.length(msg) > max_message))),
-        ("feedback_range", fb.isNotNull() & ((fb < 1) | (fb > 5))),
-    ]
+def _checked(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Good/quarantine split in one scan: ``reasons`` lists every violated rule ('' when the row is valid)."""
     reasons = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
     return rows.select("*", F.array_join(reasons, ",").alias("reasons")).withColumn(
         "is_valid", F.col("reasons") == "")
+
+
+def _outside(c: Column, low: int, high: int) -> Column:
+    return c.isNotNull() & ((c < low) | (c > high))
+
+
+def _not_in(c: Column, domain) -> Column:
+    return c.isNotNull() & ~c.isin(*domain)
+
+
+def validate_rows(rows: DataFrame, max_message: int = 1000) -> DataFrame:
+    """Rules of the conversation table."""
+    ch, msg = F.col("channel"), F.col("original_message")
+    return _checked(rows, [
+        ("channel_null", ch.isNull()), ("channel_domain", _not_in(ch, CHANNEL_DOMAIN)),
+        ("sender_null", F.col("sender_id").isNull()), ("message_null", msg.isNull()),
+        ("message_length", _outside(F.length(msg), 1, max_message)),
+        ("feedback_range", _outside(F.col("customer_feedback"), 1, 5))])
+
+
+def validate_interactions(rows: DataFrame) -> DataFrame:
+    """Rules of the customer interaction table; a check on NULL holds, as in the database."""
+    return _checked(rows, [
+        ("type_domain", _not_in(F.col("interaction_type"), INTERACTION_TYPES)),
+        ("sentiment_domain", _not_in(F.col("sentiment"), SENTIMENTS)),
+        ("satisfaction_range", _outside(F.col("satisfaction_score"), 1, 5)),
+        ("outcome_domain", _not_in(F.col("outcome"), OUTCOMES))])
+
+
+def validate_submissions(rows: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """Length of a submitted text, in characters."""
+    text = F.col(text_col)
+    return _checked(rows, [("text_null", text.isNull()), ("text_length", _outside(F.length(text), *SUBMISSION_LENGTH))])

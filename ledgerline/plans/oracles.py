@@ -22,12 +22,13 @@ FROM customer c
 LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY o_custkey) o
   ON o.o_custkey = c.c_custkey""",
     "registrations": """
-SELECT o_orderkey AS id, o_custkey AS student_id, o_orderkey % 25 AS service_id,
+SELECT o_orderkey AS id, o_custkey - CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS student_id,
+       o_orderkey % 25 AS service_id,
        o_orderdate AS registration_date,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS amount_paid,
        o_orderpriority AS payment_method,
        CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'P' THEN 'PENDING' ELSE 'CANCELLED' END AS status
-FROM orders WHERE o_custkey % 11 <> 0""",
+FROM orders""",
     "finance_transactions": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS transaction_date,
        'order ' || CAST(l_orderkey AS VARCHAR) AS description,
@@ -121,10 +122,12 @@ SELECT doc_id, text AS raw_text, source AS submission_channel,
        END AS response_text
 FROM documents""",
     "shadow_event": """
-SELECT event_id, CAST(user_id AS VARCHAR) AS customer_wa_id,
+SELECT event_id, CASE WHEN event_id % 37 = 5 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS customer_wa_id,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'N' || CAST(user_id AS VARCHAR) END AS customer_name,
        CASE WHEN event_type IN ('view','click','error') THEN 'draft' ELSE 'reply' END AS kind,
        'text ' || CAST(event_id AS VARCHAR) AS text,
-       CAST(CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 4 = 3 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS wamid, ts AS created_at
+       CAST(CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 4 = 3 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS wamid,
+       CASE WHEN event_id % 53 = 11 THEN NULL ELSE ts END AS created_at
 FROM events""",
     "service_payload": """
 SELECT p_partkey AS pos, '{"id":"' || CASE WHEN p_partkey % 40 = 39 THEN '' ELSE 's' || CAST(p_partkey % 150 AS VARCHAR) END || '"'
@@ -173,6 +176,19 @@ SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'mes
        CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 = 0 THEN repeat('x', 1001) ELSE 'msg' END AS original_message,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 7 AS INT) END AS customer_feedback
 FROM events""",
+    "unchecked_interactions": """
+SELECT event_id AS id,
+       CASE event_type WHEN 'view' THEN 'question' WHEN 'click' THEN 'booking' WHEN 'signup' THEN 'feedback'
+            WHEN 'purchase' THEN 'other' WHEN 'error' THEN 'complaint' ELSE event_type END
+         || CASE WHEN event_id % 23 = 0 THEN '?' ELSE '' END AS interaction_type,
+       CASE event_id % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' WHEN 2 THEN 'negative' WHEN 3 THEN 'angry' ELSE NULL END AS sentiment,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 8 AS INT) END AS satisfaction_score,
+       CASE event_id % 7 WHEN 0 THEN 'resolved' WHEN 1 THEN 'escalated' WHEN 2 THEN 'booked' WHEN 3 THEN 'follow_up'
+            WHEN 4 THEN 'other' WHEN 5 THEN 'lost' ELSE NULL END AS outcome
+FROM events""",
+    "feedback_change": """
+SELECT event_id AS seq, event_id - event_id % 4 AS id, CAST(1 + user_id % 5 AS INT) AS customer_feedback
+FROM events WHERE event_type = 'click'""",
 }
 
 # short names used inside oracle bodies
@@ -455,12 +471,15 @@ WHERE COALESCE(NULLIF(contact, ''), email) <> ''"""
 
 ORACLES["parse_services"] = with_adapters(SERVICES_SQL, "service_payload")
 ORACLES["parse_bookings"] = with_adapters(BOOKINGS_SQL, "booking_payload")
+# the write fails as a whole if one service has no id; the summary then tells what was sent
 ORACLES["sync_summary"] = with_adapters("""
-SELECT CASE WHEN COUNT(*) = COUNT(wix_id) THEN 'SUCCESS' ELSE 'PARTIAL' END AS status,
-       COUNT(*) AS services_synced, (SELECT COUNT(*) FROM bookings) AS bookings_synced,
-       (SELECT COUNT(*) FROM booking_payload) AS bookings_fetched,
-       (SELECT COUNT(*) FROM booking_payload) AS bookings_total_in_wix
-FROM services""", "service_payload", "booking_payload",
+SELECT CASE WHEN bad THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, TIMESTAMP '2001-08-01 00:00:00' AS synced_at,
+       services AS services_synced, sent AS bookings_synced, fetched AS bookings_fetched,
+       fetched AS bookings_total_in_wix, CASE WHEN bad THEN 'service without id' END AS error
+FROM (SELECT (SELECT COUNT(*) FROM services) AS services,
+             (SELECT COUNT(*) FROM services WHERE wix_id IS NULL OR wix_id = '') > 0 AS bad,
+             (SELECT COUNT(*) FROM bookings) AS sent, (SELECT COUNT(*) FROM booking_payload) AS fetched)""",
+    "service_payload", "booking_payload",
     extra=f"services AS ({SERVICES_SQL.strip()}), bookings AS ({BOOKINGS_SQL.strip()})")
 
 ORACLES["ga4_metrics"] = with_adapters("""
@@ -495,7 +514,9 @@ FROM (SELECT conv_id, turn,
 RIGHTS_SQL = _rights_sql()
 ORACLES["rights_intent"] = with_adapters(RIGHTS_SQL, "rights_message")
 ORACLES["rights_access_report"] = with_adapters("""
-SELECT r.phone, COALESCE(rep.message_count, 0) AS message_count, rep.summary
+SELECT r.phone, COALESCE(rep.message_count, 0) AS message_count,
+       COALESCE(rep.summary, 'ℹ️ لا توجد بيانات مخزنة لرقمك.' || chr(10) || chr(10)
+                             || 'No stored data found for your number.') AS summary
 FROM (SELECT DISTINCT phone FROM ri WHERE intent = 'ACCESS') r
 LEFT JOIN (
   SELECT sender_id AS phone, COUNT(*) AS message_count,
@@ -588,28 +609,45 @@ GROUP BY facet, value""", "extraction_response",
 
 # ---------------------------------------------------------------- keyed writes and stateful
 DRAFTS_SQL = """
-SELECT event_id AS id, customer_wa_id, text AS customer_message, wamid AS customer_message_wamid,
+SELECT event_id AS id, customer_wa_id, customer_name, text AS customer_message, wamid AS customer_message_wamid,
        'draft: ' || text AS ai_proposed_response, created_at AS ai_responded_at, created_at
 FROM shadow_event WHERE kind = 'draft'"""
 
-ORACLES["upsert_drafts"] = with_adapters("""
-SELECT f.id, f.customer_wa_id, f.customer_message, f.customer_message_wamid, f.created_at,
+# one row for each message id: the first delivery, with the draft of the last one; rows without an id as they are
+MERGED_SQL = """
+SELECT f.id, f.customer_wa_id, f.customer_name, f.customer_message, f.customer_message_wamid, f.created_at,
        l.ai_proposed_response, l.ai_responded_at
-FROM (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at, id) AS r FROM drafts
-      WHERE customer_message_wamid IS NOT NULL) f
-JOIN (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at DESC, id DESC) AS r FROM drafts
-      WHERE customer_message_wamid IS NOT NULL) l
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at NULLS FIRST, id) AS r
+      FROM drafts WHERE customer_message_wamid IS NOT NULL) f
+JOIN (SELECT *, row_number() OVER (PARTITION BY customer_message_wamid ORDER BY created_at DESC NULLS LAST, id DESC) AS r
+      FROM drafts WHERE customer_message_wamid IS NOT NULL) l
   ON f.customer_message_wamid = l.customer_message_wamid AND f.r = 1 AND l.r = 1
 UNION ALL
-SELECT id, customer_wa_id, customer_message, customer_message_wamid, created_at, ai_proposed_response, ai_responded_at
-FROM drafts WHERE customer_message_wamid IS NULL""", "shadow_event", extra=f"drafts AS ({DRAFTS_SQL.strip()})")
-
-# Literal replay of the reply matcher: walk each customer's events in order with
-# the stack of unanswered drafts as a list (a recursive CTE, one event per step).
-SHADOW_SQL = """
-ev AS (SELECT event_id, customer_wa_id, kind, text, created_at,
-              row_number() OVER (PARTITION BY customer_wa_id ORDER BY created_at, event_id) AS rn
-       FROM shadow_event),
+SELECT id, customer_wa_id, customer_name, customer_message, customer_message_wamid, created_at, ai_proposed_response,
+       ai_responded_at
+FROM drafts WHERE customer_message_wamid IS NULL"""
+
+ORACLES["upsert_drafts"] = with_adapters(MERGED_SQL, "shadow_event", extra=f"drafts AS ({DRAFTS_SQL.strip()})")
+
+# Literal replay of the reply matcher over the merged log and the imported messages without a reply: walk each
+# customer's events in order with the stack of unanswered drafts as a list (a recursive CTE, one event per step).
+# An event without a customer or a time is in no walk: NULL equals nothing.
+SHADOW_SQL = f"""
+merged AS ({MERGED_SQL.strip()}),
+log AS (
+  SELECT id, customer_wa_id, customer_name, customer_message, customer_message_wamid, created_at, ai_proposed_response,
+         ai_responded_at, CAST(NULL AS VARCHAR) AS capture_source FROM merged
+  UNION ALL
+  SELECT -1 - (conv_id * 100000 + turn), customer_wa_id, COALESCE(NULLIF(customer_name, ''), batch_name),
+         customer_message, NULL, {_ts(EVENTS_AS_OF)}, '[historical export - no AI draft]', NULL,
+         COALESCE(NULLIF(source, ''), 'tampermonkey_extract_v3')
+  FROM conversation_pair WHERE regexp_matches(customer_message, '\\S') AND staff_reply IS NULL),
+events_in_order AS (
+  SELECT id AS event_id, customer_wa_id, 'draft' AS kind, created_at FROM log
+  UNION ALL
+  SELECT event_id, customer_wa_id, kind, created_at FROM shadow_event WHERE kind = 'reply'),
+ev AS (SELECT *, row_number() OVER (PARTITION BY customer_wa_id ORDER BY created_at, event_id) AS rn
+       FROM events_in_order WHERE customer_wa_id IS NOT NULL AND created_at IS NOT NULL),
 walk AS (
   SELECT customer_wa_id, CAST(0 AS BIGINT) AS rn,
          CAST([] AS STRUCT(id BIGINT, t TIMESTAMP)[]) AS stack,
@@ -617,7 +655,7 @@ walk AS (
   FROM (SELECT DISTINCT customer_wa_id FROM ev)
   UNION ALL
   SELECT w.customer_wa_id, e.rn,
-         CASE WHEN e.kind = 'draft' THEN list_append(w.stack, {'id': e.event_id, 't': e.created_at})
+         CASE WHEN e.kind = 'draft' THEN list_append(w.stack, {{'id': e.event_id, 't': e.created_at}})
               WHEN len(w.stack) > 0 AND w.stack[len(w.stack)].t > e.created_at - INTERVAL 24 HOUR
                 THEN list_slice(w.stack, 1, len(w.stack) - 1)
               ELSE w.stack END,
@@ -627,12 +665,12 @@ walk AS (
   FROM walk w JOIN ev e ON e.customer_wa_id = w.customer_wa_id AND e.rn = w.rn + 1),
 pairs AS (SELECT reply_id, draft_id FROM walk WHERE draft_id IS NOT NULL),
 shadow AS (
-  SELECT d.id, d.customer_wa_id, d.customer_message, d.customer_message_wamid, d.ai_proposed_response,
+  SELECT d.id, d.customer_wa_id, d.customer_name, d.customer_message, d.customer_message_wamid, d.ai_proposed_response,
          d.ai_responded_at, r.text AS human_reply, r.created_at AS human_replied_at,
-         CASE WHEN r.event_id IS NOT NULL THEN 'tampermonkey' END AS capture_source, d.created_at
-  FROM drafts d LEFT JOIN pairs p ON p.draft_id = d.id LEFT JOIN shadow_event r ON r.event_id = p.reply_id
+         CASE WHEN r.event_id IS NOT NULL THEN 'tampermonkey' ELSE d.capture_source END AS capture_source, d.created_at
+  FROM log d LEFT JOIN pairs p ON p.draft_id = d.id LEFT JOIN shadow_event r ON r.event_id = p.reply_id
   UNION ALL
-  SELECT s.event_id, s.customer_wa_id, '[no AI draft captured]', NULL, NULL, NULL, s.text, s.created_at,
+  SELECT s.event_id, s.customer_wa_id, NULL, '[no AI draft captured]', NULL, NULL, NULL, s.text, s.created_at,
          'tampermonkey', s.created_at
   FROM shadow_event s WHERE s.kind = 'reply' AND s.event_id NOT IN (SELECT reply_id FROM pairs))"""
 
@@ -640,7 +678,7 @@ _SHADOW_CTES = f"drafts AS ({DRAFTS_SQL.strip()}),\n{SHADOW_SQL.strip()}"
 
 
 def _with_shadow(body: str, *more: str, extra: str = "") -> str:
-    sql = with_adapters(body, "shadow_event", *more, extra=_SHADOW_CTES + ("," + extra if extra else ""))
+    sql = with_adapters(body, "shadow_event", "conversation_pair", *more, extra=_SHADOW_CTES + ("," + extra if extra else ""))
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -651,7 +689,7 @@ valid AS (SELECT * FROM rating WHERE quality_rating IN ('better', 'similar', 'wo
 lastr AS (SELECT shadow_id, quality_rating, notes, created_at AS rated_at FROM (
             SELECT *, row_number() OVER (PARTITION BY shadow_id ORDER BY seq DESC) AS r
             FROM valid WHERE shadow_id IN (SELECT id FROM shadow)) WHERE r = 1),
-rated AS (SELECT s.*, NULL AS customer_name, l.quality_rating, l.notes, l.rated_at
+rated AS (SELECT s.*, l.quality_rating, l.notes, l.rated_at
           FROM shadow s LEFT JOIN lastr l ON l.shadow_id = s.id)"""
 
 ORACLES["apply_ratings"] = _with_shadow("SELECT id, quality_rating, notes, rated_at FROM rated", "rating",
@@ -713,7 +751,9 @@ FROM sm GROUP BY item_id""", "sm")
 
 ORACLES["upsert_services"] = with_adapters("""
 SELECT f.wix_id AS wix_service_id, f.service_type, f.status, l.title, l.price AS price_egp,
-       l.duration AS duration_minutes, l.category
+       l.duration AS duration_minutes, l.category,
+       CASE WHEN l.pos * 2 <= (SELECT max(p_partkey) FROM part) THEN TIMESTAMP '2001-07-31 00:00:00'
+            ELSE TIMESTAMP '2001-08-01 00:00:00' END AS synced_at
 FROM (SELECT *, row_number() OVER (PARTITION BY wix_id ORDER BY pos) AS r FROM services) f
 JOIN (SELECT *, row_number() OVER (PARTITION BY wix_id ORDER BY pos DESC) AS r FROM services) l
   ON f.wix_id = l.wix_id AND f.r = 1 AND l.r = 1""", "service_payload", extra=f"services AS ({SERVICES_SQL.strip()})")
@@ -728,9 +768,6 @@ SELECT o_orderkey, wix_booking_id, wix_contact_id,
 FROM bookings""", "booking_payload", extra=f"bookings AS ({BOOKINGS_SQL.strip()})")
 
 ORACLES["insert_metrics"] = with_adapters("""
-SELECT * FROM m WHERE date_diff('day', (SELECT min(log_date) FROM m), log_date) * 2
-                      <= date_diff('day', (SELECT min(log_date) FROM m), (SELECT max(log_date) FROM m))
-UNION
 SELECT * FROM m""", "ga4_payload", extra="""
 m AS (SELECT CAST(strptime(json_extract_string(payload, '$.date'), '%Y%m%d') AS DATE) AS log_date, 'ga4' AS platform,
              unnest(['activeUsers', 'sessions']) AS metric_name,
@@ -750,14 +787,16 @@ SELECT DISTINCT phone, 'user_opt_out', 'whatsapp_bot' FROM ri
 WHERE intent = 'OPTOUT' AND phone NOT IN (SELECT phone_number FROM seed)""", "rights_message", extra=f"""
 ri AS ({RIGHTS_SQL.strip()}),
 seed AS (SELECT DISTINCT phone AS phone_number, 'user_opt_out' AS reason, 'seed' AS blocked_by FROM ri
-         WHERE intent = 'OPTOUT' AND conv_id * 2 <= (SELECT max(conv_id) FROM conversations))""")
+         WHERE intent = 'DELETE')""")
 
 
 def _cost_rules_sql() -> str:
-    from ledgerline.operators.writes import COST_RULES
     from ledgerline.plans.fixture_params import COST_RULE_SCALE
     vals = []
-    for name, cond, action in COST_RULES:
+    for name, cond, action in (("Daily spend alert", "daily_spend > 40", "send_alert"),
+                               ("Weekly budget alert", "weekly_spend > 300", "send_alert"),
+                               ("Enable aggressive cache", "daily_spend > 30", "enable_cache_ttl_120"),
+                               ("Switch to Flash", "daily_spend > 35", "switch_model_flash")):
         metric, thr = cond.split(">")
         vals.append(f"('{name}', 'agent_a', '{metric.strip()}', {float(thr) * COST_RULE_SCALE}, '{action}')")
     return "rules(rule_name, service_name, metric, threshold, action_to_take) AS (VALUES " + ", ".join(vals) + ")"
@@ -795,6 +834,27 @@ SELECT id, reasons = '' AS is_valid, reasons FROM (
            CASE WHEN customer_feedback < 1 OR customer_feedback > 5 THEN 'feedback_range' END) AS reasons
   FROM unchecked_conversations)""", "unchecked_conversations")
 
+ORACLES["validate_interactions"] = with_adapters("""
+SELECT id, reasons = '' AS is_valid, reasons FROM (
+  SELECT id, concat_ws(',',
+           CASE WHEN interaction_type NOT IN ('booking', 'question', 'complaint', 'feedback', 'other') THEN 'type_domain' END,
+           CASE WHEN sentiment NOT IN ('positive', 'neutral', 'negative') THEN 'sentiment_domain' END,
+           CASE WHEN satisfaction_score NOT BETWEEN 1 AND 5 THEN 'satisfaction_range' END,
+           CASE WHEN outcome NOT IN ('resolved', 'escalated', 'booked', 'follow_up', 'other') THEN 'outcome_domain' END) AS reasons
+  FROM unchecked_interactions)""", "unchecked_interactions")
+
+ORACLES["validate_submissions"] = with_adapters("""
+SELECT doc_id, reasons = '' AS is_valid, reasons FROM (
+  SELECT doc_id, CASE WHEN raw_text IS NULL THEN 'text_null'
+                      WHEN length(raw_text) NOT BETWEEN 5 AND 3000 THEN 'text_length' ELSE '' END AS reasons
+  FROM extraction_response)""", "extraction_response")
+
+ORACLES["update_conversations"] = with_adapters(f"""
+SELECT cc.id, CASE WHEN n.id IS NULL THEN cc.customer_feedback ELSE n.customer_feedback END AS customer_feedback,
+       CASE WHEN n.id IS NULL THEN cc.created_at ELSE {_ts(EVENTS_AS_OF)} END AS updated_at
+FROM cc LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM feedback_change) n
+  ON n.id = cc.id AND n.r = 1""", "cc", "feedback_change")
+
 # Literal replay of the sliding-window limiter per client (list of accepted times as state).
 ORACLES["rate_verdicts"] = """
 WITH RECURSIVE r AS (

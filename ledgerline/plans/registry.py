@@ -6,11 +6,13 @@ operator with the fixture parameters; all work scales with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.core import spread
 from ledgerline.operators import analytics as A
 from ledgerline.operators import stateful as X
 from ledgerline.operators import transforms as T
@@ -18,6 +20,7 @@ from ledgerline.operators import vectors as V
 from ledgerline.operators import writes as W
 from ledgerline.plans import fixture_params as P
 from ledgerline.sources import adapters as ad
+from ledgerline.session import ensure_checkpoint_dir
 from ledgerline.sources.tables import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,7 +146,12 @@ def _a26(c):
 def _services(c): return T.parse_services(ad.service_payload(c))
 
 
-def _bookings(c): return T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF)
+def _booking_feed(c):
+    """The fixture's orders are one row group, hence one task; the feed is fanned out over the cores once."""
+    return spread(ad.booking_payload(c), c.spark.sparkContext.defaultParallelism)
+
+
+def _bookings(c): return T.parse_bookings(_booking_feed(c), P.ORDERS_AS_OF)
 
 
 def _intents(c): return T.rights_intent(ad.rights_message(c))
@@ -158,8 +166,9 @@ register("parse_bookings")(_bookings)
 
 @register("sync_summary")
 def _t39(c):
-    return T.sync_summary(_services(c), T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF,
-                                                         drop_unidentified=False))
+    every = T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF, drop_unidentified=False)
+    sent = every.where(F.col("wix_contact_id") != "")
+    return T.sync_summary(_services(c), every, T.sync_result(_services(c), sent), P.ORDERS_AS_OF)
 
 
 @register("ga4_metrics")
@@ -208,7 +217,8 @@ def _t49(c): return T.technique_facets(T.normalize_technique(_techniques(c)))
 
 def _draft_log(c):
     se = ad.shadow_event(c).where(F.col("kind") == "draft")
-    return se.select(F.col("event_id").alias("id"), "customer_wa_id", F.col("text").alias("customer_message"),
+    return se.select(F.col("event_id").alias("id"), "customer_wa_id", "customer_name",
+                     F.col("text").alias("customer_message"),
                      F.col("wamid").alias("customer_message_wamid"),
                      F.concat(F.lit("draft: "), F.col("text")).alias("ai_proposed_response"),
                      F.col("created_at").alias("ai_responded_at"), "created_at")
@@ -232,7 +242,16 @@ def _w30(c):
     return W.upsert_drafts(W.upsert_drafts(None, first), second)
 
 
-def _shadow(c): return X.match_replies(_draft_log(c), _reply_log(c), 24)
+def _open_history(c):
+    """Imported messages that nobody has answered: rows of the same log (ids below zero)."""
+    rows = W.ingest_pairs(ad.conversation_pair(c), P.EVENTS_AS_OF)[0].where(F.col("human_reply").isNull())
+    return rows.select((-1 - (F.col("conv_id") * 100_000 + F.col("turn"))).alias("id"), "customer_wa_id", "customer_name",
+                       "customer_message", "ai_proposed_response", "created_at", "capture_source")
+
+
+def _shadow(c):
+    log = W.upsert_drafts(None, _draft_log(c)).unionByName(_open_history(c), allowMissingColumns=True)
+    return X.match_replies(log, _reply_log(c), 24)
 
 
 register("match_replies")(_shadow)
@@ -278,7 +297,7 @@ def _w34(c): return W.stock_ledger(ad.stock_movements(c))
 @register("upsert_services")
 def _w35(c):
     first, second = _first_half(_services(c), "pos", c, "part", "p_partkey")
-    return W.upsert_services(W.upsert_services(None, first), second)
+    return W.upsert_services(W.upsert_services(None, first, "2001-07-31 00:00:00"), second, P.ORDERS_AS_OF)
 
 
 @register("bookings_to_interactions")
@@ -288,9 +307,7 @@ def _w36(c): return W.bookings_to_interactions(_bookings(c), P.ORDERS_AS_OF)
 @register("insert_metrics")
 def _w40(c):
     m = T.ga4_metrics(ad.ga4_payload(c))
-    lo, hi = m.agg(F.min("log_date")).scalar(), m.agg(F.max("log_date")).scalar()
-    target = m.where(F.datediff(F.col("log_date"), lo) * 2 <= F.datediff(hi, lo))
-    return W.insert_metrics(target, m, mode="ignore")
+    return W.insert_metrics(m.where(F.col("metric_name") == "activeUsers"), m, mode="ignore")
 
 
 @register("rights_delete")
@@ -302,8 +319,7 @@ def _w42a(c):
 @register("rights_optout")
 def _w42b(c):
     intents = _intents(c)
-    first, _ = _first_half(intents, "conv_id", c, "conversations", "conv_id")
-    seed = (first.where(F.col("intent") == "OPTOUT").select(F.col("phone").alias("phone_number")).distinct()
+    seed = (intents.where(F.col("intent") == "DELETE").select(F.col("phone").alias("phone_number")).distinct()
             .select("phone_number", F.lit("user_opt_out").alias("reason"), F.lit("seed").alias("blocked_by")))
     return W.rights_optout(seed, intents)
 
@@ -326,6 +342,20 @@ def _w51m(c): return W.ai_mode(W.current_settings(ad.setting_change(c)))
 def _v52(c): return W.validate_rows(ad.unchecked_conversations(c)).select("id", "is_valid", "reasons")
 
 
+@register("validate_interactions")
+def _v52i(c): return W.validate_interactions(ad.unchecked_interactions(c)).select("id", "is_valid", "reasons")
+
+
+@register("validate_submissions")
+def _v52s(c): return W.validate_submissions(ad.extraction_response(c)).select("doc_id", "is_valid", "reasons")
+
+
+@register("update_conversations")
+def _w53(c):
+    rows = ad.concierge_conversations(c).withColumn("updated_at", F.col("created_at"))
+    return W.update_rows(rows, ad.feedback_change(c), P.EVENTS_AS_OF).select("id", "customer_feedback", "updated_at")
+
+
 @register("rate_verdicts")
 def _x49(c):
     ev = c["events"].select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("created_at"))
@@ -359,7 +389,8 @@ def _v25(c):
 
 def _ivf(c):
     kb = _kb(c)
-    indexed, centers = V.build_ivf_index(kb, lists=P.IVF_LISTS)
+    path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/ivf-{uuid.uuid4().hex}"
+    indexed, centers = V.build_ivf_index(kb, lists=P.IVF_LISTS, path=path)
     return kb, indexed, centers
 
 

@@ -26,12 +26,13 @@ FROM {customer} c
 LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM {orders} GROUP BY o_custkey) o
   ON o.o_custkey = c.c_custkey""",
     "registrations": """
-SELECT o_orderkey AS id, o_custkey AS student_id, o_orderkey % 25 AS service_id,
+SELECT o_orderkey AS id, o_custkey - CASE WHEN o_custkey % 11 = 0 THEN 1 ELSE 0 END AS student_id,
+       o_orderkey % 25 AS service_id,
        o_orderdate AS registration_date,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS amount_paid,
        o_orderpriority AS payment_method,
        CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'P' THEN 'PENDING' ELSE 'CANCELLED' END AS status
-FROM {orders} WHERE o_custkey % 11 <> 0""",
+FROM {orders}""",
     "finance_transactions": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS transaction_date,
        'order ' || CAST(l_orderkey AS STRING) AS description,
@@ -125,11 +126,12 @@ SELECT doc_id, text AS raw_text, source AS submission_channel,
        END AS response_text
 FROM {documents}""",
     "shadow_event": """
-SELECT event_id, CAST(user_id AS STRING) AS customer_wa_id,
+SELECT event_id, CASE WHEN event_id % 37 = 5 THEN NULL ELSE CAST(user_id AS STRING) END AS customer_wa_id,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'N' || CAST(user_id AS STRING) END AS customer_name,
        CASE WHEN event_type IN ('view','click','error') THEN 'draft' ELSE 'reply' END AS kind,
        'text ' || CAST(event_id AS STRING) AS text,
        CAST(CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 4 = 3 THEN event_id - 1 ELSE event_id END AS STRING) AS wamid,
-       ts AS created_at
+       CASE WHEN event_id % 53 = 11 THEN NULL ELSE ts END AS created_at
 FROM {events}""",
     "service_payload": """
 SELECT p_partkey AS pos, '{{"id":"' || CASE WHEN p_partkey % 40 = 39 THEN '' ELSE 's' || CAST(p_partkey % 150 AS STRING) END || '"'
@@ -182,6 +184,19 @@ SELECT event_id AS id,
        CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 = 0 THEN repeat('x', 1001) ELSE 'msg' END AS original_message,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 7 AS INT) END AS customer_feedback
 FROM {events}""",
+    "unchecked_interactions": """
+SELECT event_id AS id,
+       CASE event_type WHEN 'view' THEN 'question' WHEN 'click' THEN 'booking' WHEN 'signup' THEN 'feedback'
+            WHEN 'purchase' THEN 'other' WHEN 'error' THEN 'complaint' ELSE event_type END
+         || CASE WHEN event_id % 23 = 0 THEN '?' ELSE '' END AS interaction_type,
+       CASE event_id % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' WHEN 2 THEN 'negative' WHEN 3 THEN 'angry' ELSE NULL END AS sentiment,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 8 AS INT) END AS satisfaction_score,
+       CASE event_id % 7 WHEN 0 THEN 'resolved' WHEN 1 THEN 'escalated' WHEN 2 THEN 'booked' WHEN 3 THEN 'follow_up'
+            WHEN 4 THEN 'other' WHEN 5 THEN 'lost' ELSE NULL END AS outcome
+FROM {events}""",
+    "feedback_change": """
+SELECT event_id AS seq, event_id - event_id % 4 AS id, CAST(1 + user_id % 5 AS INT) AS customer_feedback
+FROM {events} WHERE event_type = 'click'""",
 }
 
 # source tables each adapter reads
@@ -193,7 +208,7 @@ _SOURCES = {
     "extraction_response": ("documents",), "shadow_event": ("events",), "service_payload": ("part",),
     "rating": ("events",), "conversation_pair": ("conversations",), "usage_request": ("events",),
     "setting_change": ("events",), "rewrite_response": ("conversations",), "tier_response": ("documents",),
-    "unchecked_conversations": ("events",),
+    "unchecked_conversations": ("events",), "unchecked_interactions": ("events",), "feedback_change": ("events",),
 }
 
 
@@ -231,3 +246,5 @@ setting_change = _make("setting_change")
 rewrite_response = _make("rewrite_response")
 tier_response = _make("tier_response")
 unchecked_conversations = _make("unchecked_conversations")
+unchecked_interactions = _make("unchecked_interactions")
+feedback_change = _make("feedback_change")

@@ -1,48 +1,117 @@
 """S5-S7: sinks and result formats.
 
-Keyed writes return the complete new state; ``write_version`` stores it under a
-new version folder and only then moves the ``_current`` pointer, so readers see
-either the old or the new state and a failed job changes nothing (the
-transaction of the source system). Appends are plain ``mode("append")``.
+Keyed writes return new state, which goes into a folder of its own; then a small
+file in ``_log`` publishes it: version N names the folders that hold the state.
+Readers take the newest version that is whole, so a failed job changes nothing
+and blocks nothing: folders and files that were never published are ignored.
+The file of a version is created only if there is none, so of two writers one
+gets an error. Appends are plain ``mode("append")``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, TimestampNTZType, TimestampType
 
+from ledgerline.operators.writes import keyed_merge
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has published the version meanwhile."""
+
+
+def _log(spark: SparkSession, base: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_log")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, base: str) -> dict[int, dict]:
+    """Whole versions by number (a file that a crash left unfinished is none)."""
+    fs, path = _log(spark, base)
+    if not fs.exists(path):
+        return {}
+    out = {}
+    for r in spark.read.text(path.toString(), wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value").collect():
+        try:
+            out[int(r["f"].split(".")[0])] = json.loads(r["value"])
+        except ValueError:
+            continue
+    return out
 
-def _pointer(spark: SparkSession, base: str):
+
+def _publish(spark: SparkSession, base: str, number: int, version: dict) -> int:
+    fs, path = _log(spark, base)
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_current")
-    return p.getFileSystem(conf), p
+    try:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}.json"), False)
+    except Exception as e:
+        raise ConcurrentWrite(f"version {number} of {base} exists") from e
+    out.write(bytearray(json.dumps(version).encode()))
+    out.close()
+    return number
+
+
+def _next_number(spark: SparkSession, base: str) -> int:
+    fs, path = _log(spark, base)
+    if not fs.exists(path):
+        return 1
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return 1 + max([int(n.split(".")[0]) for n in names if n.split(".")[0].isdigit()], default=0)
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
-    fs, p = _pointer(spark, base)
-    if not fs.exists(p):
-        return None
-    return int(spark.read.text(p.toString()).first()[0])
+    return max(_versions(spark, base), default=None)
+
+
+def read_version(spark: SparkSession, base: str, number: int) -> DataFrame:
+    parts = _versions(spark, base)[number]["parts"]
+    return spark.read.parquet(*[f"{base.rstrip('/')}/{p}" for p in sorted(parts.values())])
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame | None:
     v = current_version(spark, base)
-    return None if v is None else spark.read.parquet(f"{base.rstrip('/')}/v{v}")
+    return None if v is None else read_version(spark, base, v)
 
 
 def write_version(df: DataFrame, base: str, partition_by: list[str] | None = None) -> int:
-    """Write the new state as version N+1, then point ``_current`` at it."""
+    """Write the new state into a folder of its own, then publish it as the next version."""
     spark = df.sparkSession
-    v = (current_version(spark, base) or 0) + 1
+    number, folder = _next_number(spark, base), f"data-{uuid.uuid4().hex}"
     w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(f"{base.rstrip('/')}/v{v}")
-    spark.range(1).select(F.lit(str(v)).alias("value")).coalesce(1).write.mode("overwrite").text(
-        f"{base.rstrip('/')}/_current")
-    return v
+    w.parquet(f"{base.rstrip('/')}/{folder}")
+    return _publish(spark, base, number, {"parts": {"": folder}})
+
+
+def upsert_version(batch: DataFrame, base: str, key: str, order: list[str], insert_cols: list[str],
+                   update_cols: list[str], epoch: int | None = None, buckets: int = 64) -> int | None:
+    """Merge a batch into the current version, which is kept in buckets by key hash (rows without a key: by their
+    order columns): only the buckets that the batch touches are read and written anew. An ``epoch`` that the current
+    version already has is skipped (a repeated micro-batch). Returns the version, or None if skipped."""
+    spark = batch.sparkSession
+    base = base.rstrip("/")
+    versions = _versions(spark, base)
+    now = versions[max(versions)] if versions else {"parts": {}, "epoch": None}
+    if epoch is not None and now.get("epoch") is not None and epoch <= now["epoch"]:
+        return None
+    number = _next_number(spark, base)
+    bucket = F.pmod(F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*order)), F.lit(buckets))
+    batch = batch.select(*dict.fromkeys([key, *insert_cols, *update_cols, *order])).withColumn("_bucket", bucket)
+    touched = [str(r["_bucket"]) for r in batch.select("_bucket").distinct().collect()]        # at most ``buckets``
+    old = [f"{base}/{now['parts'][b]}" for b in touched if b in now["parts"]]
+    target = spark.read.parquet(*old) if old else None
+    state = keyed_merge(target, batch, key, order, insert_cols, update_cols)
+    own = F.pmod(F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(
+        F.xxhash64(*[c if c in state.columns else F.lit(None) for c in order])), F.lit(buckets))
+    folder = f"data-{uuid.uuid4().hex}"
+    state.withColumn("_bucket", own).write.mode("error").partitionBy("_bucket").parquet(f"{base}/{folder}")
+    parts = {**now["parts"], **{b: f"{folder}/_bucket={b}" for b in touched}}
+    return _publish(spark, base, number, {"parts": parts, "epoch": epoch})
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -1,11 +1,14 @@
 """Structured Streaming forms of the batch operators.
 
 St1  hourly metrics: event-time tumbling window with a watermark, append mode.
-St2  keyed upserts: foreachBatch applies the batch merge to a versioned table;
-     redelivered records are dropped within the watermark.
+St2  keyed upserts: foreachBatch merges into a versioned table, rewriting only the
+     buckets it touches and skipping an epoch it has seen; redelivered records
+     are dropped within the watermark.
 St3  rate verdicts: applyInPandasWithState, state = accepted times (<= limit).
 St4  reply matching: applyInPandasWithState, state = open drafts of the last
      window (expired drafts can never match again, so they are pruned).
+     The state of St3 and St4 is removed once the watermark passes its last
+     event by the window.
 St5  scheduled pulls: a file source drained with Trigger.AvailableNow.
 
 Fixture timestamps are zone-less; watermarks need TIMESTAMP, so event time is
@@ -23,8 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ledgerline.functions.core import epoch_micros
-from ledgerline.operators.writes import keyed_merge
-from ledgerline.sources.sinks import read_current, write_version
+from ledgerline.sources.sinks import upsert_version
 
 
 def event_time(df: DataFrame, col: str = "created_at", out: str = "event_time") -> DataFrame:
@@ -53,15 +55,10 @@ def hourly_metrics_stream(conversations: DataFrame, lateness: str = "1 hour") ->
 
 # ----------------------------------------------------------------------------- St2
 def upsert_stream_batch(base_path: str, key: str, order: list[str], insert_cols: list[str],
-                        update_cols: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: merge the micro-batch into the latest version, write the next one."""
+                        update_cols: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: merge the micro-batch into the current version (see ``upsert_version``)."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        target = read_current(spark, base_path)
-        cols = [key, *insert_cols, *update_cols]
-        state = keyed_merge(target, batch.select(*dict.fromkeys([*cols, *order])), key, order, insert_cols,
-                            update_cols)
-        write_version(state, base_path)
+        upsert_version(batch, base_path, key, order, insert_cols, update_cols, epoch=epoch_id, buckets=buckets)
     return run
 
 
@@ -71,19 +68,27 @@ def dedupe_redelivery(stream: DataFrame, id_col: str, time_col: str = "event_tim
 
 
 # ----------------------------------------------------------------------------- St3
-def rate_verdict_stream(requests: DataFrame, limit: int, window_seconds: int,
-                        client_col: str = "client", id_col: str = "event_id") -> DataFrame:
+def _keep_until(state, last_us: int, window_us: int) -> None:
+    """The state goes when the watermark passes its last event by the window."""
+    state.setTimeoutTimestamp(max((last_us + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def rate_verdict_stream(requests: DataFrame, limit: int, window_seconds: int, client_col: str = "client",
+                        id_col: str = "event_id", lateness: str = "1 hour") -> DataFrame:
     """Per client sliding-window limiter over a stream (rows arrive in time order
     per client; within a micro-batch they are sorted)."""
     window_us = window_seconds * 1_000_000
-    src = requests.select(F.col(id_col).alias("event_id"), F.col(client_col).cast("string").alias("client"),
-                          epoch_micros("created_at")
-                          .alias("t_us"))
+    src = event_time(requests).withWatermark("event_time", lateness).select(
+        F.col(id_col).alias("event_id"), F.col(client_col).cast("string").alias("client"),
+        epoch_micros("created_at").alias("t_us"), "event_time")
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         acc = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "event_id"])
-        out = []
+        out, t = [], 0
         for eid, t in zip(pdf["event_id"].tolist(), pdf["t_us"].tolist()):
             acc = [a for a in acc if t - a < window_us]
             if len(acc) < limit:
@@ -92,23 +97,30 @@ def rate_verdict_stream(requests: DataFrame, limit: int, window_seconds: int,
             else:
                 out.append((eid, key[0], "reject"))
         state.update((acc,))
+        _keep_until(state, t, window_us)
         yield pd.DataFrame(out, columns=["event_id", "client", "verdict"])
 
     return src.groupBy("client").applyInPandasWithState(
         fn, "event_id long, client string, verdict string", "acc array<long>", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # ----------------------------------------------------------------------------- St4
-def reply_match_stream(events: DataFrame, window_hours: int = 24) -> DataFrame:
+def reply_match_stream(events: DataFrame, window_hours: int = 24, lateness: str = "1 hour") -> DataFrame:
     """events: id, customer_wa_id, kind ('draft' | 'reply'), created_at.
-    Emits one row per reply: (reply_id, draft_id or NULL)."""
+    Emits one row per reply: (reply_id, draft_id or NULL). Events without a customer or a time match nothing."""
     live_us = window_hours * 3600 * 1_000_000
-    src = events.select("id", "customer_wa_id", "kind",
-                        epoch_micros("created_at")
-                        .alias("t_us"))
+    timed = event_time(events).withWatermark("event_time", lateness)
+    matchable = F.col("customer_wa_id").isNotNull() & F.col("created_at").isNotNull()
+    src = timed.where(matchable).select("id", "customer_wa_id", "kind", epoch_micros("created_at").alias("t_us"),
+                                        "event_time")
+    alone = timed.where(~matchable & (F.col("kind") == "reply")).select(
+        F.col("id").alias("reply_id"), F.lit(None).cast("long").alias("draft_id"))
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         ids, ts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "id"])
         out = []
@@ -124,12 +136,16 @@ def reply_match_stream(events: DataFrame, window_hours: int = 24) -> DataFrame:
                 ts.pop()
             else:
                 out.append((i, None))
-        state.update((ids, ts))
+        if ids:
+            state.update((ids, ts))
+            _keep_until(state, ts[-1], live_us)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["reply_id", "draft_id"]).astype({"draft_id": "Int64"})
 
     return src.groupBy("customer_wa_id").applyInPandasWithState(
         fn, "reply_id long, draft_id long", "ids array<long>, ts array<long>", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout).unionAll(alone)
 
 
 # ----------------------------------------------------------------------------- St5

@@ -4,13 +4,12 @@
 import pytest
 
 import __spark_entry__ as E
+from ledgerline.plans.oracles import ORACLES
+from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.verify import compare, duck_connection
 
 from conftest import SF_SMALL
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -19,6 +18,7 @@ def duck():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_runs(spark):

@@ -3,11 +3,10 @@ joins, Python only where an operator needs it, and pushdown where it applies."""
 
 import pytest
 
-import __spark_entry__ as E
+from ledgerline.plans.registry import QUERIES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
 # operators that run Python by design (per-partition BLAS scoring, sequential per-key streams)
 PYTHON_OK = {"kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",
              "usage_log", "rate_verdicts"}
@@ -29,6 +28,8 @@ def test_no_cross_joins_and_python_only_where_needed(spark, name):
 @pytest.mark.parametrize("name, pushed", [
     ("finance_monthly_trend", "GreaterThanOrEqual(l_shipdate"),
     ("dashboard_stats", "GreaterThanOrEqual(ts"),
+    ("dashboard_stats", "GreaterThanOrEqual(l_shipdate"),
+    ("snapshot_30d", "GreaterThanOrEqual(o_orderdate"),
     ("ai_performance", "GreaterThanOrEqual(ts"),
 ])
 def test_time_filters_reach_the_scan(spark, name, pushed):
@@ -38,3 +39,28 @@ def test_time_filters_reach_the_scan(spark, name, pushed):
 def test_scans_read_only_needed_columns(spark):
     plan = _plan(spark, "finance_totals")
     assert "l_returnflag" not in plan and "l_discount" not in plan
+
+
+@pytest.mark.parametrize("name, scans", [
+    ("business_context", 5), ("insert_metrics", 3), ("rights_optout", 4), ("upsert_services", 6), ("snapshot_30d", 3),
+])
+def test_scans_stay_few(spark, name, scans):
+    assert _plan(spark, name).count("FileScan parquet") <= scans
+
+
+def test_building_a_query_starts_no_job(spark):
+    """Beyond reading a schema a table: no counts or collects while a plan is built (clustering and the matcher's
+    checkpoints aside)."""
+    eager = {"kb_search_ivf", "kb_search_ivf_recall", "match_replies", "apply_ratings", "apply_ratings_rejects",
+             "training_pairs", "training_pair_stats"}
+    tracker = spark.sparkContext.statusTracker()
+    for name in sorted(set(QUERIES) - eager):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        try:
+            QUERIES[name](spark, SF_SMALL)
+            assert len(tracker.getJobIdsForGroup(f"build-{name}")) <= 12, name
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"build-{name}")
+                      for s in tracker.getJobInfo(j).stageIds]
+            assert all(s is None or s.numTasks == 1 for s in stages), name
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

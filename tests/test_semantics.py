@@ -127,6 +127,7 @@ def test_keyed_merge_first_insert_last_update_and_null_keys(spark):
         (3, None, "m3", "d3", t0), (4, None, "m4", "d4", t0)],
         "id long, customer_message_wamid string, customer_message string, ai_proposed_response string, "
         "created_at timestamp_ntz").withColumn("customer_wa_id", F.lit("c")).withColumn(
+        "customer_name", F.lit("n")).withColumn(
         "ai_responded_at", F.col("created_at"))
     out = W.upsert_drafts(None, batch).orderBy("id").collect()
     assert [(r.id, r.customer_message, r.ai_proposed_response) for r in out] == [
@@ -141,8 +142,9 @@ def test_service_upsert_keeps_type_and_status(spark):
                               "price double, duration int, category string")
     b = a.selectExpr("2 AS pos", "wix_id", "'B' AS title", "'T2' AS service_type", "'OFF' AS status", "price",
                      "90 AS duration", "category")
-    r = W.upsert_services(W.upsert_services(None, a), b).first()
+    r = W.upsert_services(W.upsert_services(None, a, "2024-01-01 00:00:00"), b, "2024-01-02 00:00:00").first()
     assert (r.title, r.service_type, r.status, r.duration_minutes) == ("B", "T1", "ACTIVE", 90)
+    assert r.synced_at == dt.datetime(2024, 1, 2)
 
 
 def test_service_upsert_aborts_on_missing_key(spark):
@@ -150,7 +152,7 @@ def test_service_upsert_aborts_on_missing_key(spark):
                               "pos long, wix_id string, title string, service_type string, status string, "
                               "price double, duration int, category string")
     with pytest.raises(Exception, match="batch aborted"):
-        W.upsert_services(None, a).collect()
+        W.upsert_services(None, a, "2024-01-01 00:00:00").collect()
 
 
 def test_insert_metrics_modes(spark):
@@ -220,3 +222,74 @@ def test_recent_movements_widens_past_unknown_items(spark):
     assert got == [250, 200, 150, 100, 50]
     got_all = [r.l_orderkey for r in recent_movements(mv, items, n=10).collect()]
     assert got_all == [250, 200, 150, 100, 50, 0]          # fewer than n exist: all of them
+
+
+def _services_and_bookings(spark, ids):
+    svc = spark.createDataFrame([(i,) for i in ids], "wix_id string")
+    every = spark.createDataFrame([("c1",), ("",), ("c2",)], "wix_contact_id string")
+    return svc, every, every.where("wix_contact_id <> ''")
+
+
+def test_sync_summary_status_follows_the_write(spark):
+    svc, every, sent = _services_and_bookings(spark, ["a", "b"])
+    ok = T.sync_summary(svc, every, T.sync_result(svc, sent), "2024-01-01 00:00:00").first()
+    assert (ok.status, ok.services_synced, ok.bookings_synced, ok.bookings_total_in_wix, ok.error) == ("SUCCESS", 2, 2, 3, None)
+    total = spark.createDataFrame([(250,)], "total long")
+    for ids in (["a", ""], ["a", None]):
+        svc, every, sent = _services_and_bookings(spark, ids)
+        bad = T.sync_summary(svc, every, T.sync_result(svc, sent), "2024-01-01 00:00:00", total).first()
+        assert (bad.status, bad.services_synced, bad.bookings_synced, bad.bookings_total_in_wix) == ("PARTIAL", 2, 2, 250)
+        assert bad.error and bad.synced_at == dt.datetime(2024, 1, 1)
+
+
+def test_ga4_malformed_date_does_not_stop_the_job(spark):
+    vals = '"metricValues":[{"value":"1"},{"value":"2"}]'
+    df = spark.createDataFrame([(f'{{"date":"20240230",{vals}}}',), (f'{{"date":"x",{vals}}}',),
+                                (f'{{"date":"20240228",{vals}}}',)], "payload string")
+    got = [r.log_date for r in T.ga4_metrics(df).collect()]
+    assert sorted((str(d) for d in got)) == ["2024-02-28"] * 2 + ["None"] * 4
+
+
+def test_access_report_for_a_requester_without_rows(spark):
+    intents = spark.createDataFrame([("1", "ACCESS"), ("2", "STOP")], "phone string, intent string")
+    conv = spark.createDataFrame([], "id long, sender_id string, created_at timestamp_ntz, intent_detected string, "
+                                     "original_message string")
+    row = T.rights_access_report(intents, conv).collect()
+    assert [(r.phone, r.message_count, r.summary) for r in row] == [("1", 0, T.NO_DATA_TEXT)]
+
+
+def test_update_rows_touches_only_what_changes(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    target = spark.createDataFrame([(1, 5, t0), (2, None, t0), (3, 4, t0)], "id long, customer_feedback int, updated_at timestamp_ntz")
+    changes = spark.createDataFrame([(1, 1, 2), (2, 1, 5), (3, 9, 1), (4, None, 1), (5, 2, None)],
+                                    "seq long, id long, customer_feedback int")
+    got = {r.id: (r.customer_feedback, r.updated_at) for r in W.update_rows(target, changes, "2024-02-01 00:00:00").collect()}
+    t1 = dt.datetime(2024, 2, 1)
+    assert got == {1: (5, t1), 2: (None, t1), 3: (4, t0)}
+
+
+def test_seeded_rules_only_if_absent(spark):
+    seeds = W.cost_rules_frame(spark, "svc")
+    have = seeds.where("rule_name = 'Daily spend alert'").withColumn("is_enabled", F.lit(False))
+    got = {r.rule_name: r.is_enabled for r in W.seed_rules(have, seeds).collect()}
+    assert len(got) == 4 and got["Daily spend alert"] is False and sum(got.values()) == 3
+    assert W.seed_rules(W.seed_rules(have, seeds), seeds).count() == 4
+
+
+def test_interaction_and_submission_rules(spark):
+    df = spark.createDataFrame([(1, "booking", "neutral", 5, "booked"), (2, "x", "y", 6, "z"), (3, None, None, None, None)],
+                               "id long, interaction_type string, sentiment string, satisfaction_score int, outcome string")
+    assert {r.id: r.reasons for r in W.validate_interactions(df).collect()} == {
+        1: "", 2: "type_domain,sentiment_domain,satisfaction_range,outcome_domain", 3: ""}
+    txt = spark.createDataFrame([(1, "abcde"), (2, "abcd"), (3, "x" * 3001), (4, None)], "id long, raw_text string")
+    assert {r.id: r.reasons for r in W.validate_submissions(txt).collect()} == {1: "", 2: "text_length", 3: "text_length",
+                                                                              4: "text_null"}
+
+
+def test_rows_without_a_key_meet_in_no_aggregation(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = spark.range(200).select(
+        F.col("id"), F.lit(None).cast("string").alias("customer_message_wamid"), F.lit("c").alias("customer_wa_id"),
+        F.lit("n").alias("customer_name"), F.lit("m").alias("customer_message"), F.lit("d").alias("ai_proposed_response"),
+        F.lit(t0).cast("timestamp_ntz").alias("created_at"), F.lit(t0).cast("timestamp_ntz").alias("ai_responded_at"))
+    assert W.upsert_drafts(W.upsert_drafts(None, rows), rows).count() == 400

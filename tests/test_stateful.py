@@ -137,3 +137,27 @@ def test_match_replies_adaptive_chunks(spark):
         out = X.match_replies(drafts, replies, target_chunk_rows=target).collect()
         assert {r.id for r in out if r.id in reply_ids} == {k for k, v in want.items() if v is None}
         assert {r.id for r in out if r.id not in reply_ids and r.human_reply} == {v for v in want.values() if v}
+
+
+def test_match_replies_keeps_rows_without_customer_or_time(spark):
+    t = dt.datetime(2024, 1, 1)
+    drafts = spark.createDataFrame([(1, "a", "A", t), (2, None, "B", t), (3, "a", None, None), (4, None, None, None)],
+                                   "id long, customer_wa_id string, customer_name string, created_at timestamp_ntz")
+    h = dt.timedelta(hours=1)
+    replies = spark.createDataFrame([(10, "a", t + h, "r10", "t"), (11, None, t + h, "r11", "t"), (12, "a", None, "r12", "t")],
+                                    "id long, customer_wa_id string, created_at timestamp_ntz, reply_text string, capture_source string")
+    got = {r.id: (r.human_reply, r.customer_name) for r in X.match_replies(drafts, replies).collect()}
+    assert got == {1: ("r10", "A"), 2: (None, "B"), 3: (None, None), 4: (None, None), 11: ("r11", None), 12: ("r12", None)}
+
+
+def test_busy_hours_are_cut_for_their_customer_only(spark):
+    rnd = random.Random(9)
+    events = [(i, "busy" if i % 4 else f"c{i % 7}", rnd.choice(["draft", "reply"]),
+               T0 + dt.timedelta(seconds=rnd.randint(0, 7200))) for i in range(900)]
+    ev = spark.createDataFrame(events, "id long, customer_wa_id string, kind string, created_at timestamp_ntz")
+    drafts = ev.where("kind = 'draft'").drop("kind")
+    replies = ev.where("kind = 'reply'").drop("kind").selectExpr("*", "CAST(id AS STRING) AS reply_text", "'t' AS capture_source")
+    out = X.match_replies(drafts, replies, target_chunk_rows=25).collect()
+    reply_ids = {e[0] for e in events if e[2] == "reply"}
+    got = {int(r.human_reply): r.id for r in out if r.id not in reply_ids and r.human_reply}
+    assert got == {k: v for k, v in _replay_replies(events).items() if v is not None}

@@ -1,5 +1,6 @@
 """Streaming jobs must agree with their batch operators (Trigger.AvailableNow)."""
 
+import datetime as dt
 import json
 import os
 
@@ -46,33 +47,63 @@ def test_rate_verdict_stream_equals_batch(spark, tmp_path):
     assert {r.event_id: r.verdict for r in got.collect()} == want
 
 
-def test_reply_match_stream_equals_batch(spark, tmp_path):
-    se = ad.shadow_event(StreamCatalog(spark, SF_SMALL)).select(
-        F.col("event_id").alias("id"), "customer_wa_id", "kind", "created_at")
-    got = _drain(S.reply_match_stream(se), str(tmp_path), "st4")
-    c = Catalog(spark, SF_SMALL)
-    shadow = R._shadow(c)
-    matched = {r.id for r in shadow.where("customer_message <> '[no AI draft captured]' "
-                                          "AND human_reply IS NOT NULL").collect()}
-    assert {r.draft_id for r in got.collect() if r.draft_id is not None} == matched
+def _land(df, path, parts, time_col="created_at"):
+    """The rows in order of time, as several files: as many micro-batches (rows without a time come first)."""
+    rows = df.orderBy(F.asc_nulls_first(time_col)).collect()
+    n = -(-len(rows) // parts)
+    for k in range(parts):
+        df.sparkSession.createDataFrame(rows[k * n:(k + 1) * n], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return S.stream_table(df.sparkSession, path, df.schema, max_files=1)
+
+
+def _batch_pairs(spark, events):
+    drafts = events.where("kind = 'draft'").select("id", "customer_wa_id", "created_at")
+    replies = events.where("kind = 'reply'").select("id", "customer_wa_id", "created_at", F.col("id").cast("string").alias("reply_text"),
+                                                    F.lit("t").alias("capture_source"))
+    replied = {r.id for r in replies.select("id").collect()}
+    out = X.match_replies(drafts, replies).collect()
+    pairs = {int(r.human_reply): r.id for r in out if r.id not in replied and r.human_reply}
+    return {i: pairs.get(i) for i in replied}
+
+
+def test_reply_match_stream_equals_batch_pair_by_pair(spark, tmp_path):
+    se = ad.shadow_event(Catalog(spark, SF_SMALL)).select(F.col("event_id").alias("id"), "customer_wa_id", "kind", "created_at")
+    stream = _land(se, str(tmp_path / "land"), 5)
+    got = _drain(S.reply_match_stream(stream), str(tmp_path), "st4")
+    assert {r.reply_id: r.draft_id for r in got.collect()} == _batch_pairs(spark, se)
+
+
+def test_rate_verdict_stream_over_several_batches(spark, tmp_path):
+    ev = Catalog(spark, SF_SMALL)["events"].select("event_id", F.col("user_id").alias("client"), F.col("ts").alias("created_at"))
+    got = _drain(S.rate_verdict_stream(_land(ev, str(tmp_path / "land"), 4), 3, 12 * 3600), str(tmp_path), "st3m")
+    want = {r.event_id: r.verdict for r in X.rate_verdicts(ev, 3, 12 * 3600).collect()}
+    assert {r.event_id: r.verdict for r in got.collect()} == want
+
+
+def test_state_of_quiet_keys_is_removed(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, f"c{i}", t0 + dt.timedelta(minutes=i)) for i in range(50)]                     # seen once
+    rows += [(100 + i, "late", t0 + dt.timedelta(days=2, hours=i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, client string, created_at timestamp_ntz")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    stream = S.rate_verdict_stream(_land(df, str(tmp_path / "land"), 8), 3, 3600, lateness="1 minute")
+    q = S.run_available_now(stream, out, ck)
+    rows_kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows_kept) >= 45 and rows_kept[-1] <= 2
+    assert spark.read.parquet(out).count() == 80
 
 
 def test_upsert_stream_equals_batch(spark, tmp_path):
-    sc = StreamCatalog(spark, SF_SMALL)
-    se = ad.shadow_event(sc).where(F.col("kind") == "draft")
-    drafts = se.select(F.col("event_id").alias("id"), "customer_wa_id", F.col("text").alias("customer_message"),
-                       F.col("wamid").alias("customer_message_wamid"),
-                       F.concat(F.lit("draft: "), F.col("text")).alias("ai_proposed_response"),
-                       F.col("created_at").alias("ai_responded_at"), "created_at")
+    drafts = R._draft_log(Catalog(spark, SF_SMALL))
     base = str(tmp_path / "drafts")
     body = S.upsert_stream_batch(base, "customer_message_wamid", ["created_at", "id"],
-                                 ["id", "customer_wa_id", "customer_message", "created_at"],
-                                 ["ai_proposed_response", "ai_responded_at"])
-    S.run_available_now(drafts, None, str(tmp_path / "ck-st2"), foreach_batch=body)
+                                 ["id", "customer_wa_id", "customer_name", "customer_message", "created_at"],
+                                 ["ai_proposed_response", "ai_responded_at"], buckets=8)
+    S.run_available_now(_land(drafts, str(tmp_path / "land"), 3), None, str(tmp_path / "ck-st2"), foreach_batch=body)
     got = read_current(spark, base)
-    want = R.QUERIES["upsert_drafts"](spark, SF_SMALL)
+    want = W.upsert_drafts(None, drafts)
     cols = sorted(want.columns)
-    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+    assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).count() == 0
 
 
 def test_scheduled_pull_available_now(spark, tmp_path):
