@@ -60,6 +60,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.n
     return some[np.lexsort((rows[some], ids[some], -scores[some]))[:k]]
 
 
+def _teams(centers: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Puts query groups that lie next to each other together as long as their queries fit in a block: a vector that
+    several of them need is sent once. (first places of the teams in the order, order of the groups)"""
+    left, order = list(range(len(centers))), []
+    at = 0
+    while left:
+        order.append(left.pop(at))
+        if left:
+            at = int(((centers[left] - centers[order[-1]]) ** 2).sum(1).argmin())
+    starts, room = [], 0
+    for i, g in enumerate(order):
+        if sizes[g] > room:
+            starts.append(i)
+            room = most
+        room -= int(sizes[g])
+    return np.array(starts), np.array(order)
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id",
           vector_col: str = "embedding", query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """The k best of all other rows for each row that meets ``is_query``: query_id, rank, vec_id, score."""
@@ -113,14 +131,16 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
         F.min("low").alias("low"), F.max("norm").alias("norm"), F.max("radius").alias("radius"), F.sum("n").alias("n"),
         F.array(*[F.max(F.col("top")[j]) for j in range(p_count)]).alias("top"))
         .toArrow().to_pandas().sort_values("cell"))                                             # pivots x pivots
+    starts, order = _teams(pivots[whole["cell"].to_numpy()], whole["n"].to_numpy(), query_block)
+    whole = whole.iloc[order]
     groups = whole["cell"].to_numpy()
     low, norm, radius = (whole[c].to_numpy() for c in ("low", "norm", "radius"))
     top = np.stack(whole["top"].to_numpy())
     centers = pivots[groups]
     slack = 1e-6 * (1 + np.abs(top).max())
-    q_blocks = np.maximum(1, np.ceil(whole["n"].to_numpy() / query_block)).astype(np.int64)
+    q_blocks = np.maximum(1, np.ceil(np.add.reduceat(whole["n"].to_numpy(), starts) / query_block)).astype(np.int64)
     blocks = max(1, math.ceil(n / block))
-    place = {int(c): i for i, c in enumerate(groups)}
+    place = dict(zip(groups.tolist(), (np.searchsorted(starts, np.arange(len(groups)), "right") - 1).tolist()))
 
     def replicate(batches):
         for pdf in batches:
@@ -129,7 +149,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
                 v, cell = _matrix(part["v"], dim), part["cell"].to_numpy()
                 by_pivot = top[:, cell].T + norm[None, :] * part["dist"].to_numpy()[:, None]
                 by_center = v @ centers.T + radius[None, :] * np.sqrt((v * v).sum(1))[:, None]
-                need = np.minimum(by_pivot, by_center) + slack >= low[None, :]
+                need = np.logical_or.reduceat(np.minimum(by_pivot, by_center) + slack >= low[None, :], starts, axis=1)
                 mix = part["row"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
                 out = []
                 for r, c in zip(*(x.tolist() for x in np.nonzero(need))):
