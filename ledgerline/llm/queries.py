@@ -78,7 +78,24 @@ LLM_QUERIES = {
 # A vector that can be compared: no NULL or non-finite component, not zero.
 _FINE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
+# The template of op10 in SQL: one backslash behind the first character of a control string (one more if there are some).
+_CONTROL = (r"([<\[])(\\*)(\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|SYS>>|/SYS>>|\|im_start\|>|\|im_end\|>"
+            r"|\|endoftext\|>|\|startoftext\|>)")
+
 LLM_ORACLES: dict[str, str] = {
+    "op10_chat_format": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(role, '{_CONTROL}', '\\1\\\\\\2\\3', 'g')) AS r,
+             length(regexp_replace(text, '{_CONTROL}', '\\1\\\\\\2\\3', 'g')) AS t FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(r + t + length('<|turn|><|text|><|end|>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op8_multi_index": f"""
 WITH RECURSIVE fine AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
