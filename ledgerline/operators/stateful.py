@@ -1,12 +1,13 @@
 """Stateful operators.
 
 X29 (reply matching) is set-based: window functions over (customer, time
-bucket) chunks stitched by small per-chunk summaries, so no customer is one task. X49 (rate verdicts) and W33 (stock-checked usage) are sequential
-per key — a rejected request does not consume — so they run as a sorted
-stream: hash-partition by key, sort within partitions (external sort, spills),
-then ``mapInPandas`` walks Arrow batches carrying O(1) state per key. No group
-is ever materialised whole in memory; a hot key costs time in one task, not
-memory.
+bucket) chunks stitched by small per-chunk summaries, so no customer is one task.
+X49 (rate verdicts) and W33 (stock-checked usage) are sequential: a rejected
+request does not consume. They run as a sorted stream: hash-partition by key, sort
+within partitions (external sort, spills), then ``mapInPandas`` walks Arrow batches
+carrying O(1) state per key. No group is ever materialised whole in memory. X49
+splits a client's time where nothing is remembered and replays only what can be
+rejected at all; W33's key is the item.
 """
 
 from __future__ import annotations
@@ -140,12 +141,10 @@ def _rate_stream(limit: int, window_us: int):
     def run(batches):
         cur, dq = None, deque()
         for pdf in batches:
-            keys = pdf["client"].tolist()
-            ts = pdf["_t_us"].tolist()
             out = []
-            for k, t in zip(keys, ts):
-                if k != cur:
-                    cur, dq = k, deque()
+            for k, i, t in zip(pdf["client"].tolist(), pdf["_island"].tolist(), pdf["_t_us"].tolist()):
+                if (k, i) != cur:
+                    cur, dq = (k, i), deque()
                 while dq and t - dq[0] >= window_us:
                     dq.popleft()
                 if len(dq) >= limit:
@@ -153,25 +152,43 @@ def _rate_stream(limit: int, window_us: int):
                 else:
                     dq.append(t)
                     out.append("accept")
-            yield pdf.drop(columns=["_t_us"]).assign(verdict=out)
+            yield pdf.drop(columns=["_t_us", "_island"]).assign(verdict=out)
     return run
 
 
 def rate_verdicts(requests: DataFrame, limit: int = 100, window_seconds: int = 60,
-                  client_col: str = "client", ts_col: str = "created_at", id_col: str = "event_id",
-                  num_partitions: int | None = None) -> DataFrame:
+                  client_col: str = "client", ts_col: str = "created_at", id_col: str = "event_id") -> DataFrame:
     """Per client: accept a request iff fewer than ``limit`` accepted requests are
     younger than ``window_seconds``; rejected requests do not count.
     Output: event_id, client, created_at, verdict (columns ride through the stream,
-    so there is no join back to the input)."""
-    n = num_partitions or requests.sparkSession.sparkContext.defaultParallelism
+    so there is no join back to the input).
+
+    Time is cut into buckets of the window's length. After an empty bucket nothing
+    is remembered, so a client's runs of buckets (islands) are independent; an island
+    in which two buckets in a row never hold more than ``limit`` requests accepts all
+    of them. Only the other islands are replayed, one sorted stream each."""
+    window_us = window_seconds * 1_000_000
     src = requests.select(F.col(id_col).alias("event_id"), F.col(client_col).alias("client"),
                           F.col(ts_col).alias("created_at"), _micros(ts_col).alias("_t_us"))
-    stream = src.repartition(n, "client").sortWithinPartitions("client", "_t_us", "event_id")
+    src = src.withColumn("_b", F.floor(F.col("_t_us") / window_us))
+    by_time = Window.partitionBy("client").orderBy("_b")
+    follows = F.coalesce(F.lag("_b").over(by_time) == F.col("_b") - 1, F.lit(False))
+    runs = (src.groupBy("client", "_b").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_follows", follows).withColumn("_before", F.lag("_n").over(by_time))
+            .withColumn("_load", F.col("_n") + F.when(F.col("_follows"), F.col("_before")).otherwise(0))
+            .withColumn("_island", F.sum(F.when(F.col("_follows"), 0).otherwise(1)).over(
+                by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .withColumn("_busy", F.max("_load").over(Window.partitionBy("client", "_island")) > limit)
+            .select(F.col("client").alias("_c"), F.col("_b").alias("_rb"), "_island", "_busy"))
+    ev = (src.join(runs, F.col("client").eqNullSafe(F.col("_c")) & F.col("_b").eqNullSafe(F.col("_rb")))
+          .select("event_id", "client", "created_at", "_t_us", "_island", "_busy"))
+    calm = ev.where(~F.col("_busy")).select("event_id", "client", "created_at", F.lit("accept").alias("verdict"))
+    busy = (ev.where(F.col("_busy")).drop("_busy").repartition("client", "_island")
+            .sortWithinPartitions("client", "_island", "_t_us", "event_id"))
     fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     schema = (f"event_id {fields['event_id']}, client {fields['client']}, created_at {fields['created_at']}, "
               "verdict string")
-    return stream.mapInPandas(_rate_stream(limit, window_seconds * 1_000_000), schema)
+    return calm.unionByName(busy.mapInPandas(_rate_stream(limit, window_us), schema))
 
 
 # ----------------------------------------------------------------------------- W33
@@ -179,48 +196,49 @@ def _usage_stream():
     def run(batches):
         cur, left = None, 0
         for pdf in batches:
-            items = pdf["item_id"].tolist()
-            stock = pdf["_stock_c"].tolist()
-            qty = pdf["_qty_c"].tolist()
             verdict, after = [], []
-            for it, st, q in zip(items, stock, qty):
+            for it, pre, st, q in zip(pdf["item_id"].tolist(), pdf["_pre"].tolist(), pdf["_stock_c"].tolist(),
+                                      pdf["_qty_c"].tolist()):
+                if isinstance(pre, str):                 # decided up front
+                    verdict.append(pre)
+                    after.append(None)
+                    continue
                 if it != cur:
-                    cur, left = it, st
+                    cur, left = it, int(st)
                 if left >= q:
-                    left -= q
+                    left -= int(q)
                     verdict.append("accepted")
                 else:
                     verdict.append("insufficient")
                 after.append(left)
             yield pd.DataFrame({"event_id": pdf["event_id"], "item_id": pdf["item_id"], "verdict": verdict,
-                                "_left_c": after})
+                                "_left_c": pd.array(after, dtype="Int64")})
     return run
 
 
-def usage_log(requests: DataFrame, items: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Consumption requests in time order: invalid (quantity <= 0), not_found,
-    insufficient (remaining stock < quantity) or accepted (stock decreases).
+def usage_log(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """Consumption requests in time order: invalid (quantity <= 0, NULL, or finer than
+    hundredths), not_found, insufficient (remaining stock < quantity) or accepted (stock decreases).
 
     requests: event_id, item_id, quantity, created_at;  items: id, current_stock.
-    Output: event_id, item_id, verdict, stock_after. Requests decided up front
-    (invalid, unknown item) skip the sequential pass and are unioned back; the
-    rest stream per item in time order with amounts as integer cents (exact).
+    Output: event_id, item_id, verdict, stock_after. One join and one sorted stream per
+    item with amounts as integer cents (exact); requests that are decided up front ride
+    along, spread by their own id, and touch no stock.
     """
     it = items.select(F.col("id").alias("_item"), "current_stock")
     j = requests.join(it, requests.item_id == it._item, "left")
     q = F.col("quantity")
-    pre = F.when(q.isNull() | (q <= 0), "invalid").when(F.col("_item").isNull(), "not_found")
+    cents = (q * 100).cast("decimal(20,4)")
+    whole = cents == F.floor(cents)
+    pre = F.when(q.isNull() | (q <= 0) | ~whole, "invalid").when(F.col("_item").isNull(), "not_found")
     j = j.withColumn("_pre", pre)
-    decided = j.where(F.col("_pre").isNotNull()).select(
-        "event_id", "item_id", F.col("_pre").alias("verdict"), F.lit(None).cast("decimal(12,2)").alias("stock_after"))
-    n = num_partitions or requests.sparkSession.sparkContext.defaultParallelism
-    seq = (j.where(F.col("_pre").isNull())
-           .select("event_id", "item_id", (F.col("current_stock") * 100).cast("long").alias("_stock_c"),
-                   (q * 100).cast("long").alias("_qty_c"), _micros("created_at").alias("_t_us"))
-           .repartition(n, "item_id").sortWithinPartitions("item_id", "_t_us", "event_id"))
+    spread_by = F.when(F.col("_pre").isNull(), F.xxhash64("item_id")).otherwise(F.xxhash64("event_id"))
+    seq = (j.select("event_id", "item_id", "_pre", (F.col("current_stock") * 100).cast("long").alias("_stock_c"),
+                    F.when(F.col("_pre").isNull(), cents.cast("long")).alias("_qty_c"),
+                    _micros("created_at").alias("_t_us"), spread_by.alias("_key"))
+           .repartition("_key").sortWithinPartitions("item_id", "_t_us", "event_id"))
     types = {f.name: f.dataType.simpleString() for f in seq.schema.fields}
     res = seq.mapInPandas(_usage_stream(), f"event_id {types['event_id']}, item_id {types['item_id']}, "
                                            "verdict string, _left_c long")
-    streamed = res.select("event_id", "item_id", "verdict",
-                          (F.col("_left_c").cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("stock_after"))
-    return decided.unionByName(streamed)
+    return res.select("event_id", "item_id", "verdict",
+                      (F.col("_left_c").cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("stock_after"))

@@ -161,3 +161,25 @@ def test_busy_hours_are_cut_for_their_customer_only(spark):
     reply_ids = {e[0] for e in events if e[2] == "reply"}
     got = {int(r.human_reply): r.id for r in out if r.id not in reply_ids and r.human_reply}
     assert got == {k: v for k, v in _replay_replies(events).items() if v is not None}
+
+
+def test_rate_verdicts_split_a_hot_client(spark):
+    """One client with most of the rows: its busy stretches are separate groups, calm ones are not replayed."""
+    rnd = random.Random(2)
+    reqs, t = [], T0
+    for i in range(1500):
+        t += dt.timedelta(seconds=rnd.choice([1, 2, 3, 5, 200]) if (i // 100) % 2 else 40)
+        reqs.append((i, "hot" if i % 5 else f"c{i % 3}", t))
+    df = spark.createDataFrame(reqs, "event_id long, client string, created_at timestamp_ntz")
+    got = {r.event_id: r.verdict for r in X.rate_verdicts(df, limit=4, window_seconds=60).collect()}
+    assert got == _replay_rate(reqs, 4, 60) and {"accept", "reject"} == set(got.values())
+    plan = X.rate_verdicts(df, 4, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning(client" in plan and "_island" in plan
+
+
+def test_usage_log_refuses_quantities_finer_than_hundredths(spark):
+    req = spark.createDataFrame([(1, 1, 0.005, T0), (2, 1, 1.25, T0 + dt.timedelta(1)), (3, None, 1.0, T0), (4, 1, None, T0),
+                                 (5, 9, 1.0, T0)], "event_id long, item_id long, quantity double, created_at timestamp_ntz")
+    items = spark.createDataFrame([(1, 2.0)], "id long, current_stock double")
+    got = {r.event_id: (r.verdict, None if r.stock_after is None else float(r.stock_after)) for r in X.usage_log(req, items).collect()}
+    assert got == {1: ("invalid", None), 2: ("accepted", 0.75), 3: ("not_found", None), 4: ("invalid", None), 5: ("not_found", None)}
