@@ -268,8 +268,9 @@ def near_groups(prints: DataFrame, radius: int = 3, **how) -> DataFrame:
     linked = roots.join(classes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("group_least"))
     of_linked = salted_join(roots, least, "root").select("fp", "group_least")
-    of_print = (classes.join(of_linked, "fp", "left")
-                .select("fp", F.coalesce("group_least", "least").alias("component")))
+    # written, so that the last join exchanges either side by fp alone and a hot fingerprint can be split
+    of_print = cut_lineage(classes.join(of_linked, "fp", "left")
+                           .select("fp", F.coalesce("group_least", "least").alias("component")))
     return prints.join(of_print, "fp", "left").select("id", "fp", "component")
 
 
