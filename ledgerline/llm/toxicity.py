@@ -3,8 +3,9 @@ once with one of ordinary text; toxic phrases save bytes with the first one only
 
 Both dictionaries are trained on labelled windows and stand before a common part, trained on ordinary text, so that
 ordinary words cost the same in both. They are trained in rounds: first on the windows that the common part
-compresses worst, then on those that the dictionaries of the other half of the sample tell apart best (for ordinary text: the
-windows that look toxic by mistake); the round and size that rank other labelled documents best are kept. A document's differences are summed up as mean, maximum, mean of the five
+compresses worst, then on those that the dictionaries of the other half of the sample tell apart best (for ordinary
+text: the windows that look toxic by mistake). The two pairs, of all rounds and sizes, that rank other labelled
+documents best are kept. A document's differences are summed up for each pair as mean, maximum, mean of the five
 largest and shares above thresholds; a logistic calibration on other labelled documents turns these into a score.
 
 All training data are a bounded sample (``SAMPLE``). Labels, language, source and id are never inputs of a score.
@@ -29,6 +30,7 @@ WINDOW, STEP = 64, 48             # bytes
 COMMON, OWN = 1 << 18, 1 << 12    # bytes of the common dictionary part and of each class's own
 SIZES = (1 << 10, 1 << 11, 1 << 12)     # of the final own parts: the one that ranks other documents best is taken
 TRIAL = 400                       # documents of each class for that
+PAIRS = 2                         # pairs of dictionaries that are kept: each happens to hold other ordinary words
 ROUNDS, WORST, HARDEST = 5, 0.3, 0.1
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 SAMPLE = {0: 8_000, 1: 4_000}     # bound of the labelled documents, by label
@@ -38,8 +40,7 @@ LEVEL = 7
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes = b""
-    ordinary: bytes = b""
+    pairs: tuple = ()             # (toxic, ordinary) dictionaries
     mean: tuple = ()
     scale: tuple = ()
     weights: tuple = ()
@@ -92,18 +93,20 @@ def _contrast(folds, parts, common, saved) -> list[list[list[bytes]]]:
     return out
 
 
-def distances(text: str | None, toxic, ordinary) -> np.ndarray:
-    """Bytes that the toxic dictionary saves against the ordinary one, for each window."""
-    return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], dtype=np.float64)
+def distances(text: str | None, compressors) -> np.ndarray:
+    """Bytes that a toxic dictionary saves against its ordinary one: a row a pair, a column a window."""
+    ws = windows(text)
+    return np.array([[len(ordinary(w)) - len(toxic(w)) for w in ws] for toxic, ordinary in compressors], dtype=np.float64)
 
 
-def summary(d: np.ndarray) -> np.ndarray:
-    return np.array([d.mean(), d.max(), np.sort(d)[-5:].mean(), *((d >= t).mean() for t in THRESHOLDS)])
+def summary(of_pairs: np.ndarray) -> np.ndarray:
+    return np.array([x for d in of_pairs for x in (
+        d.mean(), d.max(), np.sort(d)[-5:].mean(), *((d >= t).mean() for t in THRESHOLDS))])
 
 
-def _summaries(rows, pair) -> tuple[np.ndarray, np.ndarray]:
-    toxic, ordinary = (_compressor(p) for p in pair)
-    return (np.array([summary(distances(t, toxic, ordinary)) for t, _ in rows]),
+def _summaries(rows, pairs) -> tuple[np.ndarray, np.ndarray]:
+    compressors = [tuple(_compressor(p) for p in pair) for pair in pairs]
+    return (np.array([summary(distances(t, compressors)) for t, _ in rows]),
             np.array([y for _, y in rows], dtype=np.float64))
 
 
@@ -144,52 +147,52 @@ def train_model(texts: list[str], labels: list[int]) -> Model:
     if len({y for _, y in rest}) < 2:
         rest = [(t, 1) for t in toxic] + [(t, 0) for t in plain]
     trial = [r for y in (1, 0) for r in [r for r in rest if r[1] == y][:TRIAL]]
-    saved, best = [[0, 0], [0, 0]], None
+    saved, tried = [[0, 0], [0, 0]], []
     for _ in range(ROUNDS):
         chosen = _contrast(folds, parts, common, saved)
         parts = [[_dictionary(OWN, ws) for ws in c] for c in chosen]
         for size in SIZES:
             pair = tuple(_dictionary(size, c[0] + c[1]) + common for c in chosen)
-            x, y = _summaries(trial, pair)
-            order = _ranked(x @ _logistic(x, y, unscaled=True), y)
-            if best is None or order > best[0]:
-                best = order, pair
-    x, y = _summaries(rest, best[1])
+            x, y = _summaries(trial, [pair])
+            tried.append((_ranked(x @ _logistic(x, y, unscaled=True), y), pair))
+    pairs = tuple(pair for _, pair in sorted(tried, key=lambda t: -t[0])[:PAIRS])
+    x, y = _summaries(rest, pairs)
     mean, scale, w = _logistic(x, y)
-    return Model(*best[1], tuple(mean), tuple(scale), tuple(w))
+    return Model(pairs, tuple(mean), tuple(scale), tuple(w))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, remainder: int = 1,
                    most: dict[int, int] = SAMPLE) -> Model:
-    """Trained by one task on the bounded sample; the model is a few hundred kilobytes."""
+    """Trained by one task on the bounded sample; the model is about a megabyte."""
     sample = labelled_sample(docs, labels, label_col, modulus, remainder, most)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=pd.util.hash_array(pdf["doc_id"].to_numpy())).sort_values(["o", "doc_id"])
         m = train_model(pdf["text"].tolist(), pdf["label"].tolist())
-        return pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "mean": [list(m.mean)],
+        return pd.DataFrame({"dictionaries": [[d for pair in m.pairs for d in pair]], "mean": [list(m.mean)],
                              "scale": [list(m.scale)], "weights": [list(m.weights)], "prior": [m.prior]})
 
     rows = sample.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(
-        one, "toxic binary, ordinary binary, mean array<double>, scale array<double>, weights array<double>, prior double"
+        one, "dictionaries array<binary>, mean array<double>, scale array<double>, weights array<double>, prior double"
     ).collect()
     if not rows:
         return Model()
     r = rows[0]
-    return Model(bytes(r["toxic"]), bytes(r["ordinary"]), tuple(r["mean"]), tuple(r["scale"]), tuple(r["weights"]), r["prior"])
+    kept = [bytes(d) for d in r["dictionaries"]]
+    return Model(tuple(zip(kept[::2], kept[1::2])), tuple(r["mean"]), tuple(r["scale"]), tuple(r["weights"]), r["prior"])
 
 
 class _Scorer:
     def __init__(self, model: Model):
         self.model = model
         if model.weights:
-            self.toxic, self.ordinary = _compressor(model.toxic), _compressor(model.ordinary)
+            self.compressors = [tuple(_compressor(p) for p in pair) for pair in model.pairs]
 
     def __call__(self, text: str | None) -> float:
         m = self.model
         if not m.weights:
             return m.prior
-        x = (summary(distances(text, self.toxic, self.ordinary)) - m.mean) / m.scale
+        x = (summary(distances(text, self.compressors)) - m.mean) / m.scale
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[:-1]) + m.weights[-1], -35, 35))))
 
 

@@ -114,7 +114,7 @@ def test_compression_distance_finds_a_phrase():
     m = T.train_model([text(b) for b in labels], [int(b) for b in labels])
     s = T._Scorer(m)
     assert auc([s(text(i % 2 == 0)) for i in range(100)], [int(i % 2 == 0) for i in range(100)]) > 0.95
-    assert b"zzyzxqu" in m.toxic and b"zzyzxqu" not in m.ordinary
+    assert all(b"zzyzxqu" in toxic and b"zzyzxqu" not in ordinary for toxic, ordinary in m.pairs)
 
 
 def test_sample_rules(spark):
