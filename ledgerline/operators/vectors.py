@@ -167,6 +167,26 @@ def build_ivf_index(kb: DataFrame, lists: int | None = None, seed: int = 7, vec_
     return indexed, np.array([c for c in model.clusterCenters()], dtype=np.float64)
 
 
+def ivf_index_of_centers(kb: DataFrame, centers: np.ndarray, vec_col: str = "embedding", path: str | None = None):
+    """The index for given centers (one a list) instead of fitted ones: each row goes to the cell of the nearest by
+    cosine, of equal ones the first. Returns (indexed DataFrame, centers)."""
+    unit = _unit(list(centers))
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=np.nanargmax(_unit(pdf[vec_col]) @ unit.T, axis=1).astype(np.int32))
+
+    some = F.exists(vec_col, lambda x: x != 0)
+    base = kb.where(F.col(vec_col).isNotNull() & some)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    indexed = base.mapInPandas(assign, f"{fields}, cell int")
+    if path:
+        indexed.write.mode("overwrite").partitionBy("cell").parquet(path)
+        indexed = kb.sparkSession.read.parquet(path)
+    return indexed, np.asarray(centers, dtype=np.float64)
+
+
 def _normalized(c) -> F.Column:
     n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.transform(c, lambda x: F.try_divide(x.cast("double"), n))

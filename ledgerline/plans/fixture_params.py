@@ -25,5 +25,4 @@ COST_RULE_SCALE = 1.0
 # Vector search: a second threshold that does cut top-10 lists; memory k; IVF shape.
 STRICT_MIN_SIMILARITY = 0.3
 MEMORY_K = 10
-IVF_LISTS = 8
 IVF_PROBES = 2

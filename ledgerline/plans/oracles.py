@@ -891,12 +891,34 @@ FROM ranked WHERE rank <= {k} AND similarity >= {min_sim}""", "ke", extra=_KB_Q)
 
 
 def _vector_oracles():
-    from ledgerline.plans.fixture_params import MEMORY_K, STRICT_MIN_SIMILARITY
+    from ledgerline.plans.fixture_params import IVF_PROBES, MEMORY_K, STRICT_MIN_SIMILARITY
     ORACLES["kb_search"] = _kb_search_sql(3, 0.12)
     ORACLES["kb_search_strict"] = _kb_search_sql(10, STRICT_MIN_SIMILARITY)
     ORACLES["memory_search"] = with_adapters(f"""
 SELECT query_id, rank, id, question AS content, round(similarity, 4) AS score
 FROM ranked WHERE rank <= {MEMORY_K}""", "ke", extra=_KB_Q)
 
+    # cells by the nearest category centroid, the nearest cells of each query probed
+    ivf = _KB_Q + f""",
+c AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS cell, query_vec AS center FROM q),
+home AS (SELECT id, embedding, cell FROM (
+  SELECT k.id, k.embedding, c.cell, row_number() OVER (
+           PARTITION BY k.id ORDER BY list_cosine_similarity(CAST(k.embedding AS DOUBLE[]), c.center) DESC, c.cell) AS r
+  FROM ke k, c WHERE k.embedding IS NOT NULL) WHERE r = 1),
+probe AS (SELECT query_id, query_vec, cell FROM (
+  SELECT q.query_id, q.query_vec, c.cell, row_number() OVER (
+           PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.query_vec, c.center) DESC, c.cell) AS r
+  FROM q, c) WHERE r <= {IVF_PROBES}),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT p.query_id, h.id, list_cosine_similarity(CAST(h.embedding AS DOUBLE[]), p.query_vec) AS similarity
+  FROM probe p JOIN home h ON h.cell = p.cell))"""
+    ORACLES["kb_search_ivf"] = with_adapters("""
+SELECT query_id, rank, id, round(similarity, 4) AS similarity FROM found WHERE rank <= 10""", "ke", extra=ivf)
+    ORACLES["kb_search_ivf_recall"] = with_adapters("""
+SELECT e.query_id, COUNT(f.id) / COUNT(*) AS recall
+FROM (SELECT query_id, id FROM ranked WHERE rank <= 10) e
+LEFT JOIN (SELECT query_id, id FROM found WHERE rank <= 10) f ON f.query_id = e.query_id AND f.id = e.id
+GROUP BY e.query_id""", "ke", extra=ivf)
+
 
 _vector_oracles()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -388,9 +389,12 @@ def _v25(c):
 
 
 def _ivf(c):
+    """The index over the categories' centroids: centers that SQL can compute too. (At most one for each category;
+    ``build_ivf_index`` fits them by KMeans instead.)"""
     kb = _kb(c)
+    rows = V.centroid_queries(kb).orderBy("query_id").collect()
     path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/ivf-{uuid.uuid4().hex}"
-    indexed, centers = V.build_ivf_index(kb, lists=P.IVF_LISTS, path=path)
+    indexed, centers = V.ivf_index_of_centers(kb, np.array([r["query_vec"] for r in rows]), path=path)
     return kb, indexed, centers
 
 
