@@ -45,8 +45,7 @@ def shape(plan: str) -> dict:
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
-    import __spark_entry__ as E
-    qs = E.queries()
+    from ledgerline.plans.registry import QUERIES as qs
     lines = ["# PLANS", "", f"Final AQE physical plans at `{sf_dir}` (generated by `tools/plan_report.py`).",
              "Shuffles count exchanges in the final plan; scalar subqueries count their own scans.", "",
              "| query | shuffles | reused | BHJ | SMJ | windows | scans | python | filters pushed to the scan |",
