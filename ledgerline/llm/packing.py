@@ -4,8 +4,7 @@ Documents become token pieces of at most ``capacity``; pieces are spread evenly
 block is packed by several islands: populations of packings that start from best-fit with different orders and
 evolve by group crossover (whole well-filled bins of one parent are injected into the other, bins that hold
 duplicates are dissolved, the displaced pieces go back in by best-fit). Between rounds each island's elite moves to
-the next island. An island rests once it reaches the lower bound (total length over capacity), which can't be
-beaten. Bins that stay under-filled are opened again and their pieces packed in new blocks from all over the
+the next island. An island rests once it reaches a lower bound that can't be beaten. Bins that stay under-filled are opened again and their pieces packed in new blocks from all over the
 corpus, so that leftovers of many blocks meet.
 
 Defined results: a NULL text is empty and has one piece (the end id alone); repeated rows are packed one by one;
@@ -111,10 +110,25 @@ def mutate(lengths, bins, capacity: int, rng: random.Random, share: float = 0.1)
     return best_fit(lengths, items, [list(b) for k, b in enumerate(bins) if k not in gone], capacity)
 
 
+def least_bins(lengths, capacity: int) -> int:
+    """A number of bins that no packing can beat. For each size a: pieces over capacity - a share a bin with nothing of
+    size a or more; pieces over half need a bin each; of the pieces from a to half, what doesn't fit beside them needs
+    further room. The largest of these counts, and of total length over capacity."""
+    n = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1)[:capacity + 1]
+    count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(0, half + 1)
+    alone = count[capacity] - count[capacity - a]
+    large = count[capacity - a] - count[half]
+    room = large * capacity - (total[capacity - a] - total[half])
+    small = total[half] - np.where(a > 0, total[a - 1], 0)
+    return int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max(initial=-(-total[capacity] // capacity)))
+
+
 def evolve(lengths, immigrants, capacity: int, seed: int, population: int = 6, generations: int = 8):
     """The best packing that one island finds: a list of bins (lists of item numbers)."""
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
+    least = least_bins(lengths, capacity)
     everyone = [[list(b) for b in p] for p in immigrants]
     order = _descending(lengths, range(len(lengths)))
     while len(everyone) < population and min((len(p) for p in everyone), default=least + 1) > least:

@@ -71,6 +71,39 @@ def test_island_beats_or_equals_best_fit_and_reaches_the_bound():
         assert 40 <= len(best) <= len(first)
 
 
+def optimum(lengths, capacity):
+    """Fewest bins by trying everything."""
+    best = [len(lengths)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(order):
+            best[0] = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= order[i] and rooms[k] not in rooms[:k]:
+                go(i + 1, [*rooms[:k], rooms[k] - order[i], *rooms[k + 1:]])
+        go(i + 1, [*rooms, capacity - order[i]])
+    order = sorted(lengths, reverse=True)
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(4, 20).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=1, max_size=8))))
+def test_no_packing_beats_the_bound(case):
+    capacity, lengths = case
+    best = optimum(lengths, capacity)
+    assert -(-sum(lengths) // capacity) <= P.least_bins(lengths, capacity) <= best
+    assert len(P.evolve(lengths, [], capacity, 1)) >= best
+
+
+def test_bound_counts_pieces_over_half():
+    assert P.least_bins([60] * 30, 100) == 30 and P.least_bins([60] * 10 + [40] * 10, 100) == 10
+    assert P.least_bins([60] * 10 + [41] * 10, 100) == 15 and P.least_bins([], 100) == 0
+
+
 def test_crossover_keeps_every_piece_once():
     rng = random.Random(1)
     lengths = [rng.randint(1, 60) for _ in range(200)]
