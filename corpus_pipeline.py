@@ -20,7 +20,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.llm import packing, quality, secret_scan, simhash_vptree, toxicity
 from ledgerline.session import ensure_checkpoint_dir

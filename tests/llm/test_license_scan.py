@@ -1,5 +1,4 @@
 """License scans against a plain Python version of the rules."""
-import hashlib  # noqa: F401
 import re
 
 from ledgerline.llm import license_scan as L
