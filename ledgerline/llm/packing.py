@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.memory import claim
 from ledgerline.llm.tokens import groups_by_size, word_tokenizer
 from ledgerline.session import cut_lineage
 
@@ -39,6 +40,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
 
     @F.pandas_udf(PIECE)
     def pieces(texts: pd.Series) -> pd.Series:
+        claim("tokens", word_tokenizer.cache_clear)
         t = word_tokenizer(tokenizer_path)
         whole = (x if isinstance(x, str) else "" for x in texts)
         return pd.Series([cut(ids) for some in groups_by_size(whole) for ids in t.ids(some)], dtype=object)

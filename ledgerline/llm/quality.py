@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.labelled import in_fold, labelled_sample
+from ledgerline.llm.memory import claim
 from ledgerline.llm.tokens import _forget
 
 DIM = 1 << 18
@@ -54,6 +55,10 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def forget_words() -> None:
+    _codes.clear()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(places, values) of a text; the bias is not among them."""
     words = text.split() if text else []
@@ -120,6 +125,7 @@ def scorer(weights: np.ndarray):
     """Column function: score of a text."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        claim("quality", forget_words)
         out = []
         for t in texts:
             at, x = features(t if isinstance(t, str) else None)

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.memory import claim
 from ledgerline.llm.tokens import _forget
 from ledgerline.session import cut_lineage
 
@@ -400,6 +401,7 @@ def secret_digest(docs: DataFrame, field: Field | None, id_col: str = "doc_id",
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
     def scan(texts: pd.Series) -> pd.DataFrame:
+        claim("secrets", _field.cache_clear)
         f = _field(key)
         rows = []
         for t in texts:
@@ -417,6 +419,7 @@ def redacted(field: Field | None):
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        claim("secrets", _field.cache_clear)
         f = _field(key)
         return pd.Series([redact(t, all_spans(t, f)[1]) if isinstance(t, str) else None for t in texts], dtype=object)
     return clean

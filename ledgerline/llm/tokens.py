@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000          # words, and stretches, that a worker remembers
+CACHE_ENTRIES = 250_000          # words, and stretches, that a worker remembers
 WORDS_AT_ONCE = 64
 # letters, digits and other numbers of Latin-1 as the tokenizer's own pattern sorts them, after lower-casing
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"

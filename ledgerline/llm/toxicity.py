@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.labelled import in_fold, labelled_sample
+from ledgerline.llm.memory import claim
 
-WINDOW, STEP = 64, 48             # bytes
+WINDOW, STEP = 64, 56             # bytes; neighbours overlap
 COMMON, OWN = 1 << 18, 1 << 12    # bytes of the common dictionary part and of each class's own
 SIZES = (1 << 10, 1 << 11, 1 << 12)     # of the final own parts: the one that ranks other documents best is taken
 TRIAL = 400                       # documents of each class for that
@@ -96,7 +97,11 @@ def _contrast(folds, parts, common, saved) -> list[list[list[bytes]]]:
 def distances(text: str | None, compressors) -> np.ndarray:
     """Bytes that a toxic dictionary saves against its ordinary one: a row a pair, a column a window."""
     ws = windows(text)
-    return np.array([[len(ordinary(w)) - len(toxic(w)) for w in ws] for toxic, ordinary in compressors], dtype=np.float64)
+
+    def sizes(compress) -> np.ndarray:
+        return np.fromiter(map(len, map(compress, ws)), dtype=np.float64, count=len(ws))
+
+    return np.array([sizes(ordinary) - sizes(toxic) for toxic, ordinary in compressors])
 
 
 def summary(of_pairs: np.ndarray) -> np.ndarray:
@@ -206,6 +211,7 @@ def scorer(model: Model):
     """Column function: score of a text."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        claim("toxicity", _scorer.cache_clear)
         s = _scorer(model)
         return pd.Series([s(t if isinstance(t, str) else None) for t in texts], dtype="float64")
     return score
