@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.labelled import in_fold, labelled_sample
 from ledgerline.llm.memory import claim
 
-WINDOW, STEP = 64, 56             # bytes; neighbours overlap
+WINDOW, STEP = 64, 48             # bytes; what neighbours share keeps a phrase of 16 bytes whole
 COMMON, OWN = 1 << 18, 1 << 12    # bytes of the common dictionary part and of each class's own
 SIZES = (1 << 10, 1 << 11, 1 << 12)     # of the final own parts: the one that ranks other documents best is taken
 TRIAL = 400                       # documents of each class for that

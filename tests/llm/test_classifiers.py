@@ -101,6 +101,12 @@ def test_windows_cover_the_whole_text():
         assert b"".join(w[:T.STEP] for w in ws[:-1]) + ws[-1] == raw
 
 
+def test_a_phrase_of_16_bytes_is_whole_in_some_window():
+    raw = "".join(f"{i:04x}" for i in range(500))
+    ws = T.windows(raw)
+    assert all(any(raw[a:a + 16].encode() in w for w in ws) for a in range(len(raw) - 15))
+
+
 def test_compression_distance_finds_a_phrase():
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
