@@ -11,7 +11,8 @@ Decoding is exact: where "outside" leads by more than any change of the transiti
 and the best path between such places is found on its own.
 
 Defined results: NULL counts as the empty text; repeated rows give repeated results; extra columns are not read;
-places are code points, ends exclusive. A span of the field that overlaps a base span is left out.
+places are code points, ends exclusive. A span of the field that lies within base spans is left out; one that reaches
+further stays whole, beside the base spans.
 """
 
 from __future__ import annotations
@@ -362,7 +363,13 @@ def all_spans(text: str, field: Field | None) -> tuple[list, list]:
     if field is None:
         return base, base
     order = {k: i for i, k in enumerate((*KINDS, "crf"))}
-    more = [(a, b, "crf") for a, b in field.spans(text) if not any(a < e and s < b for s, e, _ in base)]
+    covered: list[list[int]] = []     # base spans, those that overlap or touch as one
+    for s, e, _ in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    more = [(a, b, "crf") for a, b in field.spans(text) if not any(s <= a and b <= e for s, e in covered)]
     return base, sorted(base + more, key=lambda s: (s[0], order[s[2]]))
 
 
