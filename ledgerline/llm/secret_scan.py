@@ -77,12 +77,12 @@ def token_features(token: str) -> tuple[str, ...]:
         case = "lower" if token.islower() else "upper" if token.isupper() else "title" if token.istitle() else "mixed"
         return (case, size, f"{case}{size}", *((f"key:{key[0].lower()}", "key") if key else ()))
     if not any(c.isalnum() for c in token):
-        return ("mark", *sorted({f"has{c}" for c in token[:16]}), *(("assigns",) if token[0] in "=:" or token[-1] in "=:" else ()))
+        return ("mark", *sorted({f"has{c}" for c in token}), *(("assigns",) if token[0] in "=:" or token[-1] in "=:" else ()))
     out = [size]
     kinds = (("a" if any("a" <= c <= "z" for c in token) else "") + ("A" if any("A" <= c <= "Z" for c in token) else "")
              + ("0" if any(c.isdigit() for c in token) else "") + ("-" if not token.isalnum() else ""))
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    e = _entropy(token[:256])
+    e = _entropy(token)
     out += [f"kinds:{kinds}", f"kinds:{kinds}{size}", f"turns{min(turns, 6)}", f"bits{min(int(2 * e), 10)}",
             f"bits{min(int(2 * e), 10)}{size}"]
     if re.fullmatch(r"[0-9a-f]+", token):
@@ -118,12 +118,13 @@ class Field:
         self.lead = max(self.lead, *(self.start[y] + m[y, b] - self.start[OUT] - m[OUT, b] for y in (1, 2) for b in range(3)),
                         *(m[a, y] - m[a, OUT] for a in range(3) for y in (1, 2)),
                         *(self.start[y] - self.start[OUT] for y in (1, 2))) + 1e-9
+        self._known = {name.split(" ", 1)[1] for name in weights}
         self._rows: dict[tuple, int] = {}
         self._table = np.zeros((64, 4, 3))
         self._of: dict[str, int] = {}
 
     def _row(self, token: str) -> int:
-        feats = token_features(token)
+        feats = tuple(f for f in token_features(token) if f in self._known)      # others weigh nothing
         row = self._rows.get(feats)
         if row is None:
             row = self._rows[feats] = len(self._rows)

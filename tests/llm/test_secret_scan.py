@@ -184,6 +184,15 @@ def test_redaction(spark, trained):
     assert got[2] == (None, 9) and got[3] == ("plain words", 11)
 
 
+def test_token_features_are_of_the_whole_token():
+    rng = np.random.default_rng(6)
+    late = "a" * 300 + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 3_000))
+    same = "a" * 3_299 + "0"
+    assert "bits10" in S.token_features(late) and "bits0" in S.token_features(same)
+    marks = S.token_features("#" * 16 + "=\"#")
+    assert {"has#", "has=", 'has"'} <= set(marks)
+
+
 class Tagged:
     """A field that finds given pieces."""
 
