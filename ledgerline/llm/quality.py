@@ -47,8 +47,9 @@ class _Codes(dict):
 
     def __missing__(self, word: str) -> int:
         core = word.lower().strip("!?.,;:*%$&#|'\"()[]{}<>-_=+/\\~`@^")
-        code = zlib.crc32(core.encode()) << 32 | zlib.crc32(_shape(word[:256]).encode())
-        self[word] = code
+        code = zlib.crc32(core.encode()) << 32 | zlib.crc32(_shape(word).encode())
+        if len(word) <= 256:          # longer ones are hardly met again
+            self[word] = code
         return code
 
 

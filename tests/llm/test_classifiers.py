@@ -94,6 +94,14 @@ def test_features_are_whole_text_and_unit_length():
     assert [len(x) for x in Q.features(None)] == [0, 0] == [len(x) for x in Q.features("  ")]
 
 
+def test_shape_is_of_the_whole_word():
+    Q.forget_words()
+    for tail in ("9", "X", "=9;X"):
+        a, b = (Q._codes["a" * 300 + t] & 0xFFFFFFFF for t in ("", tail))
+        assert a != b and b == zlib.crc32(("a" + Q._shape(tail)).encode())
+    assert not Q._codes and Q.features("a" * 300)[0].tolist() != Q.features("a" * 300 + "9")[0].tolist()
+
+
 def test_windows_cover_the_whole_text():
     for text in ("", "x", "é" * 200, "abc " * 1000):
         ws, raw = T.windows(text), text.encode()
