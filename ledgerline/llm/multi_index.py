@@ -34,6 +34,7 @@ VECTORS_PER_CELL = 1_024         # over all labels, on average
 MAX_CODEWORDS = 256              # of a half; the grid has their square
 BLOCK_SIZE = 2_048
 TARGET_RECALL = 0.98
+FIRST_CELLS = 4_096               # cells of a query that are looked at first when the visits are fitted; then four times as many
 
 
 def usable(vector: Column) -> Column:
@@ -88,13 +89,22 @@ class MultiIndex:
         size = np.sqrt((noise * noise).sum(1, keepdims=True))
         c = self.threshold
         other = c * unit + math.sqrt(max(0.0, 1 - c * c)) * noise / np.where(size > 0, size, 1)
-        most = min(self.k[0] * self.k[1], 4_096)
-        rank = np.minimum(self._rank(unit, self.cells(other), most), self._rank(other, self.cells(unit), most))
-        return int(max(1, min(most, np.quantile(rank, target, method="higher") + 1)))
+        grid, most = self.k[0] * self.k[1], FIRST_CELLS
+        while True:                       # the whole grid holds every pair
+            most = min(grid, most)
+            rank = np.minimum(self._rank(unit, self.cells(other), most), self._rank(other, self.cells(unit), most))
+            visits = int(np.quantile(rank, target, method="higher")) + 1
+            if visits <= most:
+                return visits
+            most *= 4
 
     def _rank(self, unit, cells, most):
-        hit = self.visit(unit, most, bound=False)[0] == cells[:, None]
-        return np.where(hit.any(1), hit.argmax(1), most)
+        step = len(unit) if most <= FIRST_CELLS else max(1, 512 * FIRST_CELLS // most)
+        out = []
+        for at in range(0, len(unit), step):
+            hit = self.visit(unit[at:at + step], most, bound=False)[0] == cells[at:at + step, None]
+            out.append(np.where(hit.any(1), hit.argmax(1), most))
+        return np.concatenate(out)
 
     def cells(self, unit) -> np.ndarray:
         a, b = (_distances(p, w).argmin(1) for p, w in zip(self._halves(unit), self.words))
@@ -137,10 +147,12 @@ def class_links(classes: DataFrame, threshold: float, dim: int, sample: np.ndarr
     share = np.bincount(index.cells(_unit(sample)), minlength=grid) / max(1, len(sample))
     blocks = np.maximum(1, np.ceil(share * n / block_size)).astype(np.int64)
 
+    step = max(1, 1_024 * FIRST_CELLS // max(FIRST_CELLS, index.visits))      # rows at once
+
     def route(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 1_024):
-                part = pdf.iloc[at:at + 1_024]
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
                 unit = _unit(_matrix(part["vector"]))
                 cells, go = index.visit(unit)
                 own = cells[:, 0]

@@ -138,3 +138,16 @@ def test_replicates_only_what_is_needed(spark):
     rows = [(i, [10.0 + i % 7 / 100, 0.0]) for i in range(0, 200)] + [(i, [-10.0, i % 5 / 100]) for i in range(201, 400)]
     df = frame(spark, rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in V.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()) == brute_top(rows, 5)
+
+
+def test_visits_of_a_grid_of_more_than_4096_cells_reach_the_target():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 32))
+    index = M.MultiIndex(x, 128, 0.1)
+    assert index.k == [128, 128] and 4_096 < index.visits <= 128 * 128
+    u = M._unit(x[:200])
+    noise = rng.standard_normal(u.shape)
+    noise = M._unit(noise - (noise * u).sum(1, keepdims=True) * u)
+    v = 0.1 * u + np.sqrt(1 - 0.01) * noise
+    there = [(index.visit(a, bound=False)[0] == index.cells(b)[:, None]).any(1) for a, b in ((u, v), (v, u))]
+    assert (there[0] | there[1]).mean() >= 0.95
