@@ -8,7 +8,7 @@ from ledgerline.plans.oracles import ORACLES
 from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.verify import compare, duck_connection
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")

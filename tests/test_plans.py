@@ -5,7 +5,7 @@ import pytest
 
 from ledgerline.plans.registry import QUERIES
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 # operators that run Python by design (per-partition BLAS scoring, sequential per-key streams)
 PYTHON_OK = {"kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",

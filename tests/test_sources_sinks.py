@@ -13,7 +13,7 @@ from ledgerline.sources.feeds import explode_page, page_total, read_feed
 from ledgerline.sources.sinks import ConcurrentWrite, _publish, _versions, append, read_version, upsert_version, api_format, clear_table, current_version, read_current, to_json_rows, write_version
 from ledgerline.sources.tables import Catalog
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 
 def test_paged_feed_to_services(spark, tmp_path):

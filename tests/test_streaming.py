@@ -16,7 +16,7 @@ from ledgerline.sources.sinks import read_current
 from ledgerline.sources.tables import Catalog, StreamCatalog
 from ledgerline.streaming import jobs as S
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 
 def _drain(df, tmp, name, mode="append"):
