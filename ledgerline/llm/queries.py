@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (chat_format, license_scan, multi_index, packing, quality, secret_scan, sentencepiece_bpe,
-                            simhash_vptree, toxicity, voronoi_topk)
+from ledgerline.llm import (chat_format, filter_audit, license_scan, multi_index, packing, personal_data,
+                            quality, secret_scan, sentencepiece_bpe, simhash_vptree, toxicity, voronoi_topk, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digest(chat_format.records_of_rows(rows.unionByName(probe)))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -73,6 +85,9 @@ LLM_QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_top_k": op9_top_k,
     "op10_chat_format": op10_chat_format,
+    "op11_pii": op11_pii,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 # A vector that can be compared: no NULL or non-finite component, not zero.
@@ -108,6 +123,42 @@ least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.c AS component_id, e.vec_id = least.c AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op12_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s::INTEGER AS step, filter_order[s] AS own, filter_order[1:s - 1] AS before
+          FROM orders, range(1, 6) AS r(s)),
+r AS (
+  SELECT part, filter_order, step, own,
+         n, good, toxic, contains(fails, own) AS hit,
+         len(list_filter(string_split(before, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS gone, fails = own AS only_own
+  FROM c, steps),
+g AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (only_own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM g""",
     "op9_top_k": f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE {_FINE}),
