@@ -1,51 +1,66 @@
 """Token ids of whole texts by a word-level tokenizer file of the ``tokenizers`` library.
 
-The library encodes every distinct word once; a worker remembers the ids of words and of the stretches between
-white space. This holds for lower-casing tokenizers that drop white space and mark word ends, on texts of Latin-1
+A worker remembers the ids of the stretches between white space: those met more than once for long, those met once only
+until the next few hundred thousand, so that the many rare ones don't push out the frequent ones. New ones are
+cut into words, which go through the library's merges. This holds for lower-casing tokenizers that drop white space and mark word ends, on texts of Latin-1
 characters. Other texts, and texts with control strings, go through the library as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 250_000          # words, and stretches, that a worker remembers
-WORDS_AT_ONCE = 64
+KNOWN_ENTRIES = 200_000          # stretches met more than once that a worker remembers
+YOUNG_ENTRIES = 200_000          # stretches met once, of late
+WORD_ENTRIES = 100_000           # words, of late
+LONG = 64                        # longer stretches are not remembered
 # letters, digits and other numbers of Latin-1 as the tokenizer's own pattern sorts them, after lower-casing
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        n = self.whole.get_vocab_size()
-        self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.control = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self._stretches: dict[str, bytes] = {}
+        self.model = self.whole.model                # the merges alone, for single words
+        # a Latin-1 letter's bytes in UTF-8, as letters of the vocabulary
+        letters = _byte_letters()
+        self._letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self._known: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Ids (little-endian 32-bit) of stretches between white space."""
-        cut = {s: _WORD.findall(s) for s in stretches}
-        new = sorted({w for ws in cut.values() for w in ws}.difference(self._words))
-        groups = [new[k:k + WORDS_AT_ONCE] for k in range(0, len(new), WORDS_AT_ONCE)]
-        for some, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(some):
-                raise ValueError("the tokenizer doesn't keep words apart")
-            raw = ids.tobytes()
-            self._words.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)], strict=True))
-        word = self._words
-        self._stretches.update((s, b"".join([word[w] for w in ws])) for s, ws in cut.items())
+    def _learn(self, stretch: str) -> bytes:
+        """Ids of a Latin-1 stretch between white space: those of its words."""
+        words, out = self._words, []
+        for word in _WORD.findall(stretch):
+            ids = words.get(word)
+            if ids is None:
+                plain = word if word.isascii() and word.isprintable() else word.translate(self._letters)
+                ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+                if len(word) <= LONG:
+                    words[word] = ids
+            out.append(ids)
+        if len(words) > WORD_ENTRIES:
+            words.clear()
+        return b"".join(out)
 
     def _is_plain(self, text: str) -> bool:
         """Latin-1 without the separators that only Python takes for white space, and without control strings."""
@@ -59,23 +74,29 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, as bytes of little-endian 32-bit numbers."""
         parts = [t.lower().split() if self._is_plain(t) else None for t in texts]
-        missing = {w for ws in parts if ws for w in set(ws).difference(self._stretches)}
-        if missing:
-            self._learn(missing)
-        of = self._stretches.__getitem__
+        rare: set[str] = set()
+        for ws in parts:
+            if ws:
+                rare.update(set(ws).difference(self._known))
+        again = {w: self._young.pop(w) for w in rare if w in self._young}
+        fresh = {w: self._learn(w) for w in rare.difference(again)}
+        self._known.update(again)
+        self._known.update(fresh)
+        of = self._known.__getitem__
         out = [b"".join(map(of, ws)) if ws is not None else self._encode([t])[0].tobytes()
                for t, ws in zip(texts, parts)]
-        for w in missing:
-            if len(w) > 64:
-                del self._stretches[w]
-        for memory in (self._stretches, self._words):
-            _forget(memory)
+        for w, ids in fresh.items():
+            del self._known[w]
+            if len(w) <= LONG:
+                self._young[w] = ids
+        if len(self._young) > YOUNG_ENTRIES:
+            self._young = {}
+        _forget(self._known, KNOWN_ENTRIES)
         return out
 
 
-def _forget(memory: dict, entries: int | None = None) -> None:
+def _forget(memory: dict, entries: int) -> None:
     """Drops the later half of a memory that has grown too large: what came first is mostly what is frequent."""
-    entries = CACHE_ENTRIES if entries is None else entries
     if len(memory) > entries:
         for key in list(memory)[entries // 2:]:
             del memory[key]

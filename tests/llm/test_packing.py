@@ -37,12 +37,21 @@ def test_ids_of_any_texts(texts):
 
 
 def test_ids_when_caches_overflow(monkeypatch):
-    monkeypatch.setattr("ledgerline.llm.tokens.CACHE_ENTRIES", 5)
+    for memory in ("KNOWN", "YOUNG", "WORD"):
+        monkeypatch.setattr(f"ledgerline.llm.tokens.{memory}_ENTRIES", 5)
     own = WordTokenizer(PATH)
     texts = [f"w{i} some x{i % 3} more y" for i in range(20)]
     assert own.ids(texts) == [lib(t) for t in texts] and own.ids(texts[:3]) == [lib(t) for t in texts[:3]]
 
 
+def test_ids_of_every_latin_1_character():
+    import random
+    rnd = random.Random(1)
+    texts = ["".join(map(chr, range(256))), "don't I'LL ÀÉß ÿµª x²y½ 'S 're''d \x00a\x7fb\xadc\xa0d\x85e", "ſ K İ straße"]
+    texts += ["".join(chr(rnd.randrange(256)) for _ in range(200)) for _ in range(300)]
+    assert WordTokenizer(PATH).ids(texts) == [lib(t) for t in texts]
+
+
 def placed(rows, capacity):
     """Checks the places; returns the number of sequences."""
     by = {}
