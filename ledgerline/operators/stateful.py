@@ -7,20 +7,23 @@ request does not consume. They run as a sorted stream: hash-partition by key, so
 within partitions (external sort, spills), then ``mapInPandas`` walks Arrow batches
 carrying O(1) state per key. No group is ever materialised whole in memory. X49
 splits a client's time where nothing is remembered and replays only what can be
-rejected at all; W33's key is the item.
+rejected at all; W33 cuts a hot item's requests into chunks and finds the stock at
+the start of each from summaries.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerline.functions.core import epoch_micros
-from ledgerline.session import cut_lineage
+from ledgerline.session import cut_lineage, ensure_checkpoint_dir
 
 # Message text of a reply stored without a matching draft.
 STANDALONE_MESSAGE = "[no AI draft captured]"
@@ -137,22 +140,42 @@ def match_replies(drafts: DataFrame, replies: DataFrame, window_hours: int = 24,
 
 
 # ----------------------------------------------------------------------------- X49
+def accepted_positions(times: np.ndarray, open_: deque, limit: int, window_us: int) -> list[int]:
+    """Positions accepted among sorted request times, walking from one accepted request to the next.
+
+    ``open_`` holds the newest accepted times (``limit`` at most) and is brought up to date. When it is full, the next
+    request that can be accepted is the first one a window after its oldest; all before are refused unseen."""
+    out, at, n = [], 0, len(times)
+    while at < n:
+        if len(open_) == limit:
+            if limit == 0:
+                break
+            at = max(at, int(np.searchsorted(times, open_[0] + window_us)))
+            if at >= n:
+                break
+            open_.popleft()
+        open_.append(int(times[at]))
+        out.append(at)
+        at += 1
+    return out
+
+
 def _rate_stream(limit: int, window_us: int):
     def run(batches):
-        cur, dq = None, deque()
+        cur, open_ = None, deque()
         for pdf in batches:
-            out = []
-            for k, i, t in zip(pdf["client"].tolist(), pdf["_island"].tolist(), pdf["_t_us"].tolist()):
-                if (k, i) != cur:
-                    cur, dq = (k, i), deque()
-                while dq and t - dq[0] >= window_us:
-                    dq.popleft()
-                if len(dq) >= limit:
-                    out.append("reject")
-                else:
-                    dq.append(t)
-                    out.append("accept")
-            yield pdf.drop(columns=["_t_us", "_island"]).assign(verdict=out)
+            t = pdf["_t_us"].to_numpy()
+            verdict = np.full(len(pdf), "reject", dtype=object)
+            same = (pdf["client"].eq(pdf["client"].shift()) & pdf["_island"].eq(pdf["_island"].shift())).to_numpy()
+            starts = [0, *[int(i) for i in np.flatnonzero(~same) if i], len(pdf)]
+            for lo, hi in zip(starts, starts[1:]):
+                if lo == hi:
+                    continue
+                key = (pdf["client"].iat[lo], pdf["_island"].iat[lo])
+                if key != cur:
+                    cur, open_ = key, deque()
+                verdict[[lo + i for i in accepted_positions(t[lo:hi], open_, limit, window_us)]] = "accept"
+            yield pdf.drop(columns=["_t_us", "_island"]).assign(verdict=verdict)
     return run
 
 
@@ -163,19 +186,20 @@ def rate_verdicts(requests: DataFrame, limit: int = 100, window_seconds: int = 6
     Output: event_id, client, created_at, verdict (columns ride through the stream,
     so there is no join back to the input).
 
-    Time is cut into buckets of the window's length. After an empty bucket nothing
-    is remembered, so a client's runs of buckets (islands) are independent; an island
-    in which two buckets in a row never hold more than ``limit`` requests accepts all
-    of them. Only the other islands are replayed, one sorted stream each."""
+    Time is cut into buckets of the window's length. A bucket that holds no more than ``limit`` requests together
+    with the one before accepts all of its requests, whatever was accepted earlier, and older ones are forgotten
+    when it ends: there a client's time is cut into islands that know nothing of each other. Islands of one such
+    bucket accept all; the others are replayed, one sorted stream each, which goes from one accepted request to the
+    next and never looks at the refused ones between."""
     window_us = window_seconds * 1_000_000
     src = requests.select(F.col(id_col).alias("event_id"), F.col(client_col).alias("client"),
                           F.col(ts_col).alias("created_at"), _micros(ts_col).alias("_t_us"))
     src = src.withColumn("_b", F.floor(F.col("_t_us") / window_us))
     by_time = Window.partitionBy("client").orderBy("_b")
-    follows = F.coalesce(F.lag("_b").over(by_time) == F.col("_b") - 1, F.lit(False))
+    before = F.when(F.lag("_b").over(by_time) == F.col("_b") - 1, F.lag("_n").over(by_time)).otherwise(0)
     runs = (src.groupBy("client", "_b").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_follows", follows).withColumn("_before", F.lag("_n").over(by_time))
-            .withColumn("_load", F.col("_n") + F.when(F.col("_follows"), F.col("_before")).otherwise(0))
+            .withColumn("_load", F.col("_n") + F.coalesce(before, F.lit(0)))
+            .withColumn("_follows", F.col("_load") > limit)
             .withColumn("_island", F.sum(F.when(F.col("_follows"), 0).otherwise(1)).over(
                 by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
             .withColumn("_busy", F.max("_load").over(Window.partitionBy("client", "_island")) > limit)
@@ -197,14 +221,14 @@ def _usage_stream():
         cur, left = None, 0
         for pdf in batches:
             verdict, after = [], []
-            for it, pre, st, q in zip(pdf["item_id"].tolist(), pdf["_pre"].tolist(), pdf["_stock_c"].tolist(),
-                                      pdf["_qty_c"].tolist()):
+            for it, chunk, pre, st, q in zip(pdf["item_id"].tolist(), pdf["_chunk"].tolist(), pdf["_pre"].tolist(),
+                                             pdf["_stock_c"].tolist(), pdf["_qty_c"].tolist()):
                 if isinstance(pre, str):                 # decided up front
                     verdict.append(pre)
                     after.append(None)
                     continue
-                if it != cur:
-                    cur, left = it, int(st)
+                if (it, chunk) != cur:
+                    cur, left = (it, chunk), int(st)
                 if left >= q:
                     left -= int(q)
                     verdict.append("accepted")
@@ -216,7 +240,94 @@ def _usage_stream():
     return run
 
 
-def usage_log(requests: DataFrame, items: DataFrame) -> DataFrame:
+def stock_left(quantities, left: int) -> int:
+    """What is left of a stock after requests in order, each accepted if there is enough."""
+    for q in quantities:
+        if q <= left:
+            left -= int(q)
+    return left
+
+
+def usage_summary(quantities: np.ndarray, scales: int) -> tuple[list[int], list[int]]:
+    """(small, least) of a stretch of requests, one number for each scale k.
+
+    Between 2^k and 2^(k+1) of stock, requests under 2^k are accepted as long as the stock stays in the scale, those
+    of 2^(k+1) and more are refused, and one between is accepted if it and the small ones before it fit. ``small[k]``:
+    sum of the small ones; ``least[k]``: least of (a middle one + the small ones before it), or -1."""
+    small, least = [], []
+    for k in range(scales):
+        q = quantities[quantities < (2 << k)]
+        sums = q if len(q) == 0 or len(q) < (1 << 62) >> (k + 1) else q.astype(object)
+        low = np.where(sums < (1 << k), sums, 0)
+        before = np.cumsum(low) - low
+        middle = (q >= (1 << k))
+        small.append(int(low.sum()) if len(q) else 0)
+        least.append(int((before + sums)[middle].min()) if middle.any() else -1)
+    return small, least
+
+
+def passes_whole(left: int, small: list[int], least: list[int]) -> int | None:
+    """Stock after a stretch that leaves it in its scale, from the summary alone; None if it leaves the scale."""
+    if left <= 0:
+        return left
+    k = left.bit_length() - 1
+    if k < len(small) and (least[k] < 0 or least[k] > left) and left - small[k] >= 1 << k:
+        return left - small[k]
+    return None
+
+
+def usage_starts(rows: DataFrame, scales: int) -> DataFrame:
+    """(item_id, _chunk, _start_c): the stock at the start of every chunk of a hot item.
+
+    rows: item_id, _chunk, _t_us, event_id, _qty_c, _stock_c, a chunk being a stretch of an item's requests in order.
+    Chunks are summed up in parallel. The scan over an item's summaries only stops at a chunk in which the stock falls
+    to a lower power of two, and asks for that chunk's rows; a stock has at most 63 of them, so there are at most
+    63 rounds, each of one chunk an item, however many requests there are."""
+    spark = rows.sparkSession
+    kind = rows.schema["item_id"].dataType.simpleString()
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t_us", "event_id"])
+        small, least = usage_summary(pdf["_qty_c"].to_numpy(), scales)
+        return pd.DataFrame({"item_id": pdf["item_id"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1], "small": [small],
+                             "least": [least], "stock": int(pdf["_stock_c"].iat[0])})
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t_us", "event_id"])
+        return pd.DataFrame({"item_id": pdf["item_id"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1],
+                             "left": stock_left(pdf["_qty_c"].tolist(), int(pdf["_start_c"].iat[0]))})
+
+    schema = f"item_id {kind}, _chunk int, small array<long>, least array<long>, stock long"
+    todo: dict = {}
+    for r in sorted(rows.groupBy("item_id", "_chunk").applyInPandas(summed, schema).collect(), key=lambda r: r._chunk):
+        todo.setdefault(r.item_id, []).append(r)
+    left = {item: rs[0].stock for item, rs in todo.items()}
+    starts = []
+    while todo:
+        stops = []
+        for item in list(todo):
+            rs = todo[item]
+            while rs:
+                starts.append((item, rs[0]._chunk, left[item]))
+                after = passes_whole(left[item], rs[0].small, rs[0].least)
+                if after is None and len(rs) > 1:
+                    stops.append((item, rs[0]._chunk, left[item]))
+                    break
+                left[item] = after
+                rs = todo[item] = rs[1:]
+            if not rs:
+                del todo[item]
+        if stops:
+            frame = spark.createDataFrame(stops, f"item_id {kind}, _chunk int, _start_c long")
+            there = rows.where(F.col("_chunk").isin(sorted({c for _, c, _ in stops}))).join(frame, ["item_id", "_chunk"])
+            for r in there.groupBy("item_id", "_chunk").applyInPandas(
+                    walked, f"item_id {kind}, _chunk int, left long").collect():
+                left[r.item_id] = r.left
+                todo[r.item_id] = todo[r.item_id][1:]
+    return spark.createDataFrame(starts, f"item_id {kind}, _chunk int, _start_c long")
+
+
+def usage_log(requests: DataFrame, items: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     """Consumption requests in time order: invalid (quantity <= 0, NULL, or finer than
     hundredths), not_found, insufficient (remaining stock < quantity) or accepted (stock decreases).
 
@@ -224,6 +335,9 @@ def usage_log(requests: DataFrame, items: DataFrame) -> DataFrame:
     Output: event_id, item_id, verdict, stock_after. One join and one sorted stream per
     item with amounts as integer cents (exact); requests that are decided up front ride
     along, spread by their own id, and touch no stock.
+
+    An item with more than ``chunk_rows`` requests is cut into range partitions of its requests in order, written by
+    chunk; ``usage_starts`` finds the stock at the start of each, and the chunks are replayed independently.
     """
     it = items.select(F.col("id").alias("_item"), "current_stock")
     j = requests.join(it, requests.item_id == it._item, "left")
@@ -233,10 +347,27 @@ def usage_log(requests: DataFrame, items: DataFrame) -> DataFrame:
     pre = F.when(q.isNull() | (q <= 0) | ~whole, "invalid").when(F.col("_item").isNull(), "not_found")
     j = j.withColumn("_pre", pre)
     spread_by = F.when(F.col("_pre").isNull(), F.xxhash64("item_id")).otherwise(F.xxhash64("event_id"))
-    seq = (j.select("event_id", "item_id", "_pre", (F.col("current_stock") * 100).cast("long").alias("_stock_c"),
-                    F.when(F.col("_pre").isNull(), cents.cast("long")).alias("_qty_c"),
-                    _micros("created_at").alias("_t_us"), spread_by.alias("_key"))
-           .repartition("_key").sortWithinPartitions("item_id", "_t_us", "event_id"))
+    seq = j.select("event_id", "item_id", "_pre", (F.col("current_stock") * 100).cast("long").alias("_stock_c"),
+                   F.when(F.col("_pre").isNull(), cents.cast("long")).alias("_qty_c"),
+                   _micros("created_at").alias("_t_us"), spread_by.alias("_key"), F.lit(0).alias("_chunk"))
+    hot = (seq.where("_pre IS NULL").groupBy("item_id").agg(F.count("*").alias("_n"), F.max("_stock_c").alias("_top"))
+           .where(F.col("_n") > chunk_rows))
+    size = hot.agg(F.sum(F.ceil(F.col("_n") / chunk_rows)).alias("chunks"), F.max("_top").alias("top")).first()
+    if size.chunks:
+        is_hot = hot.select(F.col("item_id").alias("_hot"))
+        decide = seq.join(is_hot, F.col("item_id") == F.col("_hot"), "left")
+        mine = F.col("_hot").isNotNull() & F.col("_pre").isNull()
+        folder = f"{ensure_checkpoint_dir(seq.sparkSession).rstrip('/')}/usage-{uuid.uuid4().hex}"
+        (decide.where(mine).drop("_hot", "_chunk", "_key", "_pre")
+         .repartitionByRange(int(size.chunks), "item_id", "_t_us", "event_id")
+         .withColumn("_chunk", F.spark_partition_id()).write.partitionBy("_chunk").parquet(folder))
+        rows = seq.sparkSession.read.parquet(folder)
+        starts = usage_starts(rows, max(1, int(size.top or 0).bit_length()))
+        chunked = (rows.join(starts, ["item_id", "_chunk"]).select(
+            "event_id", "item_id", F.lit(None).cast("string").alias("_pre"), F.col("_start_c").alias("_stock_c"), "_qty_c",
+            "_t_us", F.xxhash64("item_id", "_chunk").alias("_key"), "_chunk"))
+        seq = decide.where(~mine).drop("_hot").unionByName(chunked)
+    seq = seq.repartition("_key").sortWithinPartitions("item_id", "_chunk", "_t_us", "event_id")
     types = {f.name: f.dataType.simpleString() for f in seq.schema.fields}
     res = seq.mapInPandas(_usage_stream(), f"event_id {types['event_id']}, item_id {types['item_id']}, "
                                            "verdict string, _left_c long")

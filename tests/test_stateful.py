@@ -183,3 +183,90 @@ def test_usage_log_refuses_quantities_finer_than_hundredths(spark):
     items = spark.createDataFrame([(1, 2.0)], "id long, current_stock double")
     got = {r.event_id: (r.verdict, None if r.stock_after is None else float(r.stock_after)) for r in X.usage_log(req, items).collect()}
     assert got == {1: ("invalid", None), 2: ("accepted", 0.75), 3: ("not_found", None), 4: ("invalid", None), 5: ("not_found", None)}
+
+
+def _usage_frames(spark, reqs, stock):
+    items = spark.createDataFrame([(k, str(v)) for k, v in stock.items()], "id long, current_stock string") \
+        .selectExpr("id", "CAST(current_stock AS DECIMAL(12,2)) AS current_stock")
+    r = spark.createDataFrame([(i, it, str(q), t) for i, it, q, t in reqs],
+                              "event_id long, item_id long, quantity string, created_at timestamp_ntz") \
+        .selectExpr("event_id", "item_id", "CAST(quantity AS DECIMAL(12,2)) AS quantity", "created_at")
+    return r, items
+
+
+def _replay_usage(reqs, stock):
+    left, want = {k: round(v * 100) for k, v in stock.items()}, {}
+    for eid, item, q, _ in sorted(reqs, key=lambda x: (x[3], x[0])):
+        c = round(q * 100)
+        if c <= 0:
+            want[eid] = ("invalid", None)
+        elif item not in left:
+            want[eid] = ("not_found", None)
+        else:
+            ok = left[item] >= c
+            left[item] -= c if ok else 0
+            want[eid] = ("accepted" if ok else "insufficient", left[item])
+    return want
+
+
+@pytest.mark.parametrize("seed,sizes", [(1, (0.01, 3.0)), (2, (1.0, 400.0)), (3, (5.0, 5.0))])
+def test_usage_log_splits_a_hot_item(spark, seed, sizes):
+    """One item with most of the requests, many of them at the same time, in small chunks."""
+    rnd = random.Random(seed)
+    stock = {0: 900.0, 1: 55.5, 2: 0.0, 3: 10.0}
+    reqs = [(i, 0 if rnd.random() < 0.8 else rnd.choice([1, 2, 3, 99]),
+             rnd.choice([round(rnd.uniform(*sizes), 2), round(10 ** rnd.uniform(-2, 3), 2), 0.0]),
+             T0 + dt.timedelta(seconds=rnd.randint(0, 40))) for i in range(1200)]
+    r, items = _usage_frames(spark, reqs, stock)
+    got = {x.event_id: (x.verdict, None if x.stock_after is None else round(float(x.stock_after) * 100))
+           for x in X.usage_log(r, items, chunk_rows=60).collect()}
+    assert got == _replay_usage(reqs, stock)
+
+
+def test_hot_item_is_spread_and_few_chunks_are_walked(spark, monkeypatch):
+    rnd = random.Random(4)
+    reqs = [(i, 0 if i % 5 else 1 + i % 7, round(rnd.uniform(0.01, 9), 2), T0 + dt.timedelta(seconds=i)) for i in range(4000)]
+    stock = {0: 6000.0, **{i: 40.0 for i in range(1, 8)}}
+    seen = {}
+    starts = X.usage_starts
+
+    def watched(rows, scales):
+        out = starts(rows, scales)
+        seen["chunks"] = rows.where("item_id = 0").select("_chunk").distinct().count()
+        seen["most"] = rows.groupBy("_chunk").count().agg({"count": "max"}).first()[0]
+        seen["starts"] = out.count()
+        return out
+    monkeypatch.setattr(X, "usage_starts", watched)
+    r, items = _usage_frames(spark, reqs, stock)
+    got = {x.event_id: (x.verdict, None if x.stock_after is None else round(float(x.stock_after) * 100))
+           for x in X.usage_log(r, items, chunk_rows=100).collect()}
+    assert got == _replay_usage(reqs, stock)
+    assert seen["chunks"] >= 25 and seen["most"] < 400 and seen["starts"] >= 32
+
+
+def test_summaries_agree_with_a_walk():
+    import numpy as np
+    rnd = random.Random(6)
+    whole = 0
+    for _ in range(3000):
+        q = [rnd.choice([1, 2, 3, 7, 8, 20, 100, 5000]) for _ in range(rnd.randint(0, 12))]
+        left = rnd.choice([0, 1, 5, 9, 16, 64, 130, 1000, 4096])
+        small, least = X.usage_summary(np.array(q, dtype=np.int64), 14)
+        after = X.passes_whole(left, small, least)
+        assert after is None or after == X.stock_left(q, left)
+        whole += after is not None
+    assert whole > 1000
+
+
+def test_rate_verdicts_cut_a_client_that_never_pauses(spark):
+    """Every bucket of the client holds requests; calm pairs of buckets still cut it, and refused ones are jumped over."""
+    rnd = random.Random(7)
+    reqs, i = [], 0
+    for minute in range(200):
+        for _ in range(1 if minute % 10 < 6 else rnd.randint(5, 30)):
+            reqs.append((i, "hot", T0 + dt.timedelta(minutes=minute, milliseconds=rnd.randint(0, 59_999))))
+            i += 1
+    df = spark.createDataFrame(reqs, "event_id long, client string, created_at timestamp_ntz")
+    got = {r.event_id: r.verdict for r in X.rate_verdicts(df, limit=4, window_seconds=60).collect()}
+    assert got == _replay_rate(reqs, 4, 60)
+    assert X.rate_verdicts(df, 0, 60).where("verdict = 'accept'").count() == 0
