@@ -76,3 +76,10 @@ def test_no_python_in_the_plan(spark):
     from ledgerline.llm.queries import op5_license_scan
     plan = op5_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_a_hundred_thousand_places_in_one_text(spark):
+    n = 100_000
+    r = L.scan_digest(frame(spark, [(1, "cc by " * n + "all rights reserved")], "doc_id long, text string")).first()
+    assert (r.n_base, r.first_word, r.last_word, r.n_words) == (n + 1, 0, 2 * n, 2 * n + 3)
+    assert r.base_labels == "cc-by,reserved"
