@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import samples
 from ledgerline.llm.components import connected_components, salted_join
 from ledgerline.llm.simhash_vptree import _Forest
 from ledgerline.session import cut_lineage
@@ -224,11 +225,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     found = None
     for r in classes.groupBy(F.size("vector").alias("dim")).count().collect():      # one row per vector length
         own = classes.where(F.size("vector") == r["dim"])
-        share = min(1.0, SAMPLE / r["count"])
-        picked = own.where(F.pmod(F.xxhash64(F.lit(9), "vector"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-        sample = _matrix(picked.select("vector").toArrow().to_pandas()["vector"]) if picked.head(1) else None
-        if sample is None:                       # a few vectors that the hash passes over: take them all
-            sample = _matrix(own.limit(64).select("vector").toArrow().to_pandas()["vector"])
+        some = own.where(samples.picked(F.xxhash64(F.lit(9), "vector"), r["count"], SAMPLE))
+        sample = _matrix(some.select("vector").toArrow().to_pandas()["vector"])
         links = class_links(own, threshold, r["dim"], sample, r["count"], **how)
         found = links if found is None else found.unionAll(links)
     if found is None:

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import samples
 from ledgerline.llm.memory import claim
 from ledgerline.llm.tokens import _forget
 from ledgerline.session import cut_lineage
@@ -217,7 +218,7 @@ def training_windows(text: str):
                 state = INSIDE
             k += 1
     hits = [i for i, y in enumerate(tags) if y]
-    middles = hits[:64] + [steady_place(text, len(tokens))]
+    middles = hits + [steady_place(text, len(tokens))]
     for f in dict.fromkeys(max(0, i - WINDOW) for i in middles):
         stop = min(len(tokens), f + 2 * WINDOW + 1)
         yield tokens[max(0, f - 2):f], tokens[f:stop], tokens[stop:stop + 1], tags[f:stop]
@@ -317,8 +318,7 @@ def secret_field(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     """The field fitted on a bounded hash sample of different texts; None if nothing in it is a secret."""
     n = docs.count()
     mark = F.xxhash64(F.lit(31), F.col(text_col))
-    share = min(1.0, sample / max(1, n))
-    picked = (docs.where(F.col(text_col).isNotNull() & (F.pmod(mark, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
+    picked = (docs.where(F.col(text_col).isNotNull() & samples.picked(mark, n, sample))
               .groupBy(mark.alias("mark")).agg(F.min(text_col).alias("text")))
 
     def cut(batches):

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import samples
 from ledgerline.llm.components import connected_components, salted_join
 from ledgerline.session import cut_lineage
 
@@ -209,8 +210,7 @@ def fingerprint_links(points: DataFrame, radius: int = 3, leaf_size: int = LEAF_
     repeats, and should be checkpointed."""
     n = points.count()
     leaves = min(MAX_LEAVES, max(1, 2 ** math.ceil(math.log2(max(1, n / leaf_size)))))
-    share = min(1.0, leaves * SAMPLE_PER_LEAF / max(1, n))
-    sample = (points.where(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    sample = (points.where(samples.picked(F.xxhash64(F.lit(5), "fp"), n, leaves * SAMPLE_PER_LEAF))
               .toArrow()["fp"].to_numpy().view(np.uint64))
     trees = [VantageTree(sample, side) for side in (0, 1)] if leaves > 1 else [VantageTree(sample[:0], s) for s in (0, 1)]
 

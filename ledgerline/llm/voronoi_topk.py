@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm import samples
 from ledgerline.llm.multi_index import _codebook, _distances
 from ledgerline.session import cut_lineage
 
@@ -89,9 +90,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col:
     n, dim = size["n"], size["d"] or 0
     if not n or not size["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    share = min(1.0, SAMPLE / n)
-    picked = base.where(F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = _matrix(picked.select("v").toArrow()["v"].to_pylist() or [[0] * dim], dim)
+    some = base.where(samples.picked(F.xxhash64(F.lit(2), "row"), n, SAMPLE))
+    sample = _matrix(some.select("v").toArrow()["v"].to_pylist() or [[0] * dim], dim)
     rng = np.random.default_rng(1)
     pivots = _codebook(sample, int(min(MAX_PIVOTS, max(1, round(math.sqrt(n) / 4)), len(sample))), rng, rounds=5)
     p_count = len(pivots)
