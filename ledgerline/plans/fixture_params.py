@@ -26,3 +26,7 @@ COST_RULE_SCALE = 1.0
 STRICT_MIN_SIMILARITY = 0.3
 MEMORY_K = 10
 IVF_PROBES = 2
+# The index whose lists follow the rows: rows of a list, lists a split makes at most, lists a query ends in.
+LIST_ROWS = 64
+LIST_FANOUT = 64
+LIST_BEAM = 40

@@ -920,5 +920,48 @@ FROM (SELECT query_id, id FROM ranked WHERE rank <= 10) e
 LEFT JOIN (SELECT query_id, id FROM found WHERE rank <= 10) f ON f.query_id = e.query_id AND f.id = e.id
 GROUP BY e.query_id""", "ke", extra=ivf)
 
+    # lists split by their rows with the smallest md5 of the id, in rounds; a query goes down with the nearest nodes
+    from ledgerline.plans.fixture_params import LIST_BEAM, LIST_FANOUT, LIST_ROWS
+    levels = 3
+    dot = "list_cosine_similarity"
+    steps = ["""
+u AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM ke
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l0 AS (SELECT id, v, 'r' AS cell FROM u)"""]
+    for i in range(levels):
+        steps.append(f"""
+n{i} AS (SELECT cell AS parent, cell || '/' || (p - 1) AS node, p, v AS center FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(id AS VARCHAR)), id) AS p,
+         count(*) OVER (PARTITION BY cell) AS n FROM l{i})
+  WHERE n > {LIST_ROWS} AND p <= {LIST_FANOUT} AND p <= ceil(n / {LIST_ROWS}::DOUBLE)),
+l{i + 1} AS (SELECT id, v, cell FROM l{i} WHERE cell NOT IN (SELECT parent FROM n{i})
+  UNION ALL SELECT id, v, node FROM (
+    SELECT l.id, l.v, n.node, row_number() OVER (PARTITION BY l.id ORDER BY {dot}(l.v, n.center) DESC, n.p) AS best
+    FROM l{i} l JOIN n{i} n ON n.parent = l.cell) WHERE best = 1)""")
+    steps.append("\nnodes AS (" + " UNION ALL ".join(f"SELECT parent, node, center FROM n{i}" for i in range(levels)) + ")")
+    steps.append("""
+q AS (SELECT CAST(id AS VARCHAR) AS query_id, v AS qv FROM u WHERE id % 50 = 0),
+f0 AS (SELECT query_id, qv, 'r' AS cell, 0.0::DOUBLE AS near FROM q)""")
+    for i in range(levels):
+        steps.append(f"""
+f{i + 1} AS (SELECT query_id, qv, cell, near FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, cell) AS place FROM (
+    SELECT query_id, qv, cell, near FROM f{i} WHERE cell NOT IN (SELECT parent FROM nodes)
+    UNION ALL SELECT f.query_id, f.qv, n.node, {dot}(f.qv, n.center) FROM f{i} f JOIN nodes n ON n.parent = f.cell))
+  WHERE place <= {LIST_BEAM})""")
+    steps.append(f"""
+found AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT f.query_id, l.id, {dot}(f.qv, l.v) AS similarity FROM f{levels} f JOIN l{levels} l ON l.cell = f.cell)),
+exact AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT q.query_id, u.id, {dot}(q.qv, u.v) AS similarity FROM q, u))""")
+    tree = ",".join(steps)
+    ORACLES["kb_search_lists"] = with_adapters("""
+SELECT query_id, rank, id, round(similarity, 4) AS similarity FROM found WHERE rank <= 10""", "ke", extra=tree)
+    ORACLES["kb_search_lists_recall"] = with_adapters("""
+SELECT e.query_id, COUNT(f.id) / COUNT(*) AS recall
+FROM (SELECT query_id, id FROM exact WHERE rank <= 10) e
+LEFT JOIN (SELECT query_id, id FROM found WHERE rank <= 10) f ON f.query_id = e.query_id AND f.id = e.id
+GROUP BY e.query_id""", "ke", extra=tree)
+
 
 _vector_oracles()

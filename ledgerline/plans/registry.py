@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.core import spread
 from ledgerline.operators import analytics as A
+from ledgerline.operators import growing_index as G
 from ledgerline.operators import stateful as X
 from ledgerline.operators import transforms as T
 from ledgerline.operators import vectors as V
@@ -411,5 +412,29 @@ def _v26r(c):
     return V.recall_at_k(V.kb_search_ivf(indexed, centers, q, k=10, n_probe=P.IVF_PROBES), V.nearest(kb, q, 10))
 
 
+def _list_queries(kb):
+    """Every row whose id is divisible by 50 asks for its neighbours."""
+    return kb.where("id % 50 = 0 AND embedding IS NOT NULL").select(
+        F.col("id").cast("string").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def _lists(c):
+    kb = _kb(c)
+    path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    G.build_index(kb, path, list_rows=P.LIST_ROWS, fanout=P.LIST_FANOUT)
+    return kb, G.search(c.spark, path, _list_queries(kb), k=10, beam=P.LIST_BEAM)
+
+
+@register("kb_search_lists")
+def _v26l(c):
+    return _lists(c)[1]
+
+
+@register("kb_search_lists_recall")
+def _v26lr(c):
+    kb, found = _lists(c)
+    return V.recall_at_k(found, V.nearest(kb, _list_queries(kb), 10))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["finance_monthly_trend"](spark, sf_dir)

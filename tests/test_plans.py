@@ -8,7 +8,7 @@ from ledgerline.plans.registry import QUERIES
 from fixture_paths import SF_SMALL
 
 # operators that run Python by design (per-partition BLAS scoring, sequential per-key streams)
-PYTHON_OK = {"kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",
+PYTHON_OK = {"kb_search_lists", "kb_search_lists_recall", "kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",
              "usage_log", "rate_verdicts"}
 
 
@@ -51,7 +51,7 @@ def test_scans_stay_few(spark, name, scans):
 def test_building_a_query_starts_no_job(spark):
     """Beyond reading a schema a table: no counts or collects while a plan is built (clustering and the matcher's
     checkpoints aside)."""
-    eager = {"kb_search_ivf", "kb_search_ivf_recall", "match_replies", "apply_ratings", "apply_ratings_rejects",
+    eager = {"kb_search_lists", "kb_search_lists_recall", "kb_search_ivf", "kb_search_ivf_recall", "match_replies", "apply_ratings", "apply_ratings_rejects",
              "training_pairs", "training_pair_stats"}
     tracker = spark.sparkContext.statusTracker()
     for name in sorted(set(QUERIES) - eager):
