@@ -14,9 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-KNOWN_ENTRIES = 200_000          # stretches met more than once that a worker remembers
-YOUNG_ENTRIES = 200_000          # stretches met once, of late
-WORD_ENTRIES = 100_000           # words, of late
+KNOWN_ENTRIES = 150_000          # stretches met more than once that a worker remembers
+YOUNG_ENTRIES = 100_000          # stretches met once, of late
 LONG = 64                        # longer stretches are not remembered
 # letters, digits and other numbers of Latin-1 as the tokenizer's own pattern sorts them, after lower-casing
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -42,25 +41,17 @@ class WordTokenizer:
         self._letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self._known: dict[str, bytes] = {}
         self._young: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, stretch: str) -> bytes:
         """Ids of a Latin-1 stretch between white space: those of its words."""
-        words, out = self._words, []
+        ids = array("I")
         for word in _WORD.findall(stretch):
-            ids = words.get(word)
-            if ids is None:
-                plain = word if word.isascii() and word.isprintable() else word.translate(self._letters)
-                ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-                if len(word) <= LONG:
-                    words[word] = ids
-            out.append(ids)
-        if len(words) > WORD_ENTRIES:
-            words.clear()
-        return b"".join(out)
+            plain = word if word.isascii() and word.isprintable() else word.translate(self._letters)
+            ids.extend([t.id for t in self.model.tokenize(plain)])
+        return ids.tobytes()
 
     def _is_plain(self, text: str) -> bool:
         """Latin-1 without the separators that only Python takes for white space, and without control strings."""

@@ -37,7 +37,7 @@ def test_ids_of_any_texts(texts):
 
 
 def test_ids_when_caches_overflow(monkeypatch):
-    for memory in ("KNOWN", "YOUNG", "WORD"):
+    for memory in ("KNOWN", "YOUNG"):
         monkeypatch.setattr(f"ledgerline.llm.tokens.{memory}_ENTRIES", 5)
     own = WordTokenizer(PATH)
     texts = [f"w{i} some x{i % 3} more y" for i in range(20)]
