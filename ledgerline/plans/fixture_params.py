@@ -30,3 +30,8 @@ IVF_PROBES = 2
 LIST_ROWS = 64
 LIST_FANOUT = 64
 LIST_BEAM = 40
+# Facet combinations are counted for the materials with the most techniques (a top-n report).
+FACET_MATERIALS = 20
+# Trends by week from day sketches: six standard deviations of a sketch with 2 ** 12 registers.
+SKETCH_ERROR = 0.1
+FIRST_DAY = "1970-01-01 00:00:00"

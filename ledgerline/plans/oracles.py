@@ -7,7 +7,7 @@ code with the Spark operators.
 
 from __future__ import annotations
 
-from ledgerline.plans.fixture_params import (EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, PAGE_CHANNEL, PAGE_LIMIT,
+from ledgerline.plans.fixture_params import (EVENTS_AS_OF, FACET_MATERIALS, LINEITEM_AS_OF, ORDERS_AS_OF, PAGE_CHANNEL, PAGE_LIMIT,
                                              PAGE_OFFSET, RECENT_ROWS_LIMIT, SEARCH_LIMIT, STUDENT_QUERY,
                                              TRANSACTION_LIMIT)
 
@@ -262,6 +262,13 @@ SELECT CAST(created_at AS DATE) AS conversation_date, COUNT(*) AS total, {ESC} A
        COUNT(DISTINCT sender_id) AS unique_customers, COUNT(DISTINCT session_id) AS unique_sessions
 FROM cc GROUP BY CAST(created_at AS DATE)""", "cc")
 
+ORACLES["weekly_trends"] = with_adapters(f"""
+SELECT CAST(date_trunc('week', created_at) AS DATE) AS span, COUNT(*) AS total, {ESC} AS escalated,
+       ROUND(CAST({ESC} AS DOUBLE) * 100 / NULLIF(COUNT(*), 0), 2) AS escalation_pct,
+       ROUND(AVG(response_time_ms), 2) AS avg_response_ms, COUNT(DISTINCT sender_id) AS customers_exact,
+       COUNT(DISTINCT session_id) AS sessions_exact, TRUE AS within_error
+FROM cc WHERE created_at IS NOT NULL GROUP BY CAST(date_trunc('week', created_at) AS DATE)""", "cc")
+
 ORACLES["top_intents"] = with_adapters(f"""
 SELECT intent_detected, COUNT(*) AS count,
        ROUND(CAST(COUNT(*) AS DOUBLE) * 100
@@ -303,6 +310,12 @@ SELECT id, session_id, channel, sender_id, original_message, rewritten_query, ai
 FROM cc WHERE channel = '{PAGE_CHANNEL}'
 ORDER BY created_at DESC NULLS FIRST, id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}""", "cc")
 
+ORACLES["conversation_page_deep"] = with_adapters(f"""
+SELECT id, session_id, channel, sender_id, original_message, rewritten_query, ai_response, model_used,
+       intent_detected, escalated, response_time_ms, created_at
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id) AS place, COUNT(*) OVER () AS every FROM cc)
+WHERE place > every // 2 AND place <= every // 2 + {PAGE_LIMIT}""", "cc")
+
 ORACLES["dashboard_stats"] = with_adapters(f"""
 SELECT (SELECT COUNT(*) FROM students) AS total_students,
        (SELECT COUNT(*) FROM cc WHERE created_at >= {_ts(EVENTS_AS_OF)} - INTERVAL 24 HOUR) AS ai_convos_24h,
@@ -607,6 +620,15 @@ SELECT facet, value, COUNT(*) AS n FROM (
 GROUP BY facet, value""", "extraction_response",
     extra=f"tech AS ({TECH_SQL.strip()}), norm AS ({NORM_SQL.strip()})")
 
+ORACLES["facet_combinations"] = with_adapters(f"""
+SELECT category, risk_level, material, COUNT(*) AS n FROM (
+  SELECT unnest([category, NULL, category]) AS category, unnest([NULL, risk_level, risk_level]) AS risk_level, material
+  FROM (SELECT DISTINCT doc_id, category, risk_level, unnest(materials_list) AS material FROM norm)
+  WHERE material IN (SELECT m FROM (SELECT DISTINCT doc_id, unnest(materials_list) AS m FROM norm)
+                     WHERE m IS NOT NULL GROUP BY m ORDER BY COUNT(*) DESC, m LIMIT {FACET_MATERIALS}))
+GROUP BY category, risk_level, material""", "extraction_response",
+    extra=f"tech AS ({TECH_SQL.strip()}), norm AS ({NORM_SQL.strip()})")
+
 # ---------------------------------------------------------------- keyed writes and stateful
 DRAFTS_SQL = """
 SELECT event_id AS id, customer_wa_id, customer_name, text AS customer_message, wamid AS customer_message_wamid,

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.core import spread
 from ledgerline.operators import analytics as A
+from ledgerline.operators import facet_index as FI
 from ledgerline.operators import growing_index as G
+from ledgerline.operators import paging
 from ledgerline.operators import stateful as X
 from ledgerline.operators import transforms as T
+from ledgerline.operators import trend_sketches as TS
 from ledgerline.operators import vectors as V
 from ledgerline.operators import writes as W
 from ledgerline.plans import fixture_params as P
@@ -57,6 +60,15 @@ def _a4(c): return A.channel_performance(ad.concierge_conversations(c))
 def _a5(c): return A.daily_trends(ad.concierge_conversations(c))
 
 
+@register("weekly_trends")
+def _a5w(c):
+    conversations = ad.concierge_conversations(c)
+    path = f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/days-{uuid.uuid4().hex}"
+    timed = conversations.where(F.col("created_at").isNotNull())
+    TS.refresh_days(timed, path, P.FIRST_DAY)
+    return TS.within_error(timed, TS.stored_days(c.spark, path), "WEEK", P.SKETCH_ERROR)
+
+
 @register("top_intents")
 def _a6(c): return A.top_intents(ad.concierge_conversations(c), 20)
 
@@ -73,6 +85,12 @@ def _a8(c): return A.conversation_stats(ad.concierge_conversations(c))
 def _a9(c): return A.conversation_page(ad.concierge_conversations(c), P.PAGE_CHANNEL, P.PAGE_LIMIT, P.PAGE_OFFSET)
 
 
+@register("conversation_page_deep")
+def _a9d(c):
+    conversations = ad.concierge_conversations(c)
+    return paging.conversation_page_at(conversations, limit=P.PAGE_LIMIT, offset=conversations.count() // 2)
+
+
 @register("dashboard_stats")
 def _a10(c):
     return A.dashboard_stats(ad.students(c), ad.concierge_conversations(c), ad.finance_transactions(c),
@@ -214,6 +232,12 @@ def _t48(c): return T.embedding_text(_techniques(c)).select("doc_id", "embed_tex
 def _t49(c): return T.technique_facets(T.normalize_technique(_techniques(c)))
 
 
+@register("facet_combinations")
+def _t49c(c):
+    return FI.facet_combinations(T.normalize_technique(_techniques(c)), T.TECHNIQUE_CATEGORIES, (*T.RISK_LEVELS, "unknown"),
+                                 P.FACET_MATERIALS)
+
+
 # ---------------------------------------------------------------- keyed writes and stateful
 
 

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the batch operators.
 
-St1  hourly metrics: event-time tumbling window with a watermark, append mode.
+St1  hourly metrics: event-time tumbling window with a watermark, append mode; with all
+     columns of the batch report (modes too) by two chained aggregations.
 St2  keyed upserts: foreachBatch merges into a versioned table, rewriting only the
      buckets it touches and skipping an epoch it has seen; redelivered records
      are dropped within the watermark.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ledgerline.functions.core import epoch_micros
+from ledgerline.functions.core import epoch_micros, round_int
 from ledgerline.sources.sinks import upsert_version
 
 
@@ -53,6 +54,37 @@ def hourly_metrics_stream(conversations: DataFrame, lateness: str = "1 hour") ->
         .select(F.col("w.start").alias("metric_hour"), "*").drop("w"))
 
 
+def hourly_rollup_stream(conversations: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """All columns of ``hourly_metrics`` as a stream: two chained aggregations in append mode. The first counts each
+    (hour, set, value), where a row is in the hour's own set, its intent's and its channel's, as partial aggregates, so a
+    hot hour is combined before the shuffle; the second, by hour, adds the totals and picks the modes. An hour is
+    emitted once the watermark passes its end; rows without a time belong to no hour."""
+    c = event_time(conversations).withWatermark("event_time", lateness)
+    one = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+    sets = c.select("event_time", "escalated", "response_time_ms", "customer_feedback", F.explode(F.array(
+        one("hour", F.lit(None)), one("intent", F.col("intent_detected")), one("channel", F.col("channel")))).alias("s"))
+    counts = sets.groupBy(F.window("event_time", "1 hour").alias("w"), "s.kind", "s.value").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("escalated") == F.lit(True), 1)).alias("e"),
+        F.sum("response_time_ms").alias("rs"), F.count("response_time_ms").alias("rn"),
+        F.sum("customer_feedback").alias("fs"), F.count("customer_feedback").alias("fn"))
+
+    def tot(name):
+        return F.sum(F.when(F.col("kind") == "hour", F.col(name)))
+
+    def mode(kind):
+        rank = F.struct((-F.col("n")).alias("nc"), F.col("value").alias("v"))
+        return F.min_by("value", F.when((F.col("kind") == kind) & F.col("value").isNotNull(), rank))
+
+    n, e = tot("n"), tot("e")
+    return counts.groupBy(F.window(F.window_time("w"), "1 hour").alias("h")).agg(
+        n.alias("total_conversations"), e.alias("escalated_count"),
+        round_int(tot("rs").cast("double") / tot("rn")).alias("avg_response_time_ms"),
+        F.round((n - e).cast("double") * 100 / n, 2).alias("resolution_rate"),
+        F.round(tot("fs").cast("double") / tot("fn"), 2).alias("csat_avg"),
+        mode("intent").alias("top_intent"), mode("channel").alias("top_channel")).select(
+            F.col("h.start").alias("metric_hour"), "*").drop("h")
+
+
 # ----------------------------------------------------------------------------- St2
 def upsert_stream_batch(base_path: str, key: str, order: list[str], insert_cols: list[str],
                         update_cols: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:

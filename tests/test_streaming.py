@@ -37,6 +37,24 @@ def test_hourly_metrics_stream_equals_batch(spark, tmp_path):
     assert all(g[h] == b[h] for h in g)
 
 
+def test_hourly_rollup_stream_has_all_columns_of_the_batch_over_restarts(spark, tmp_path):
+    rows = ad.concierge_conversations(Catalog(spark, SF_SMALL)).where("created_at IS NOT NULL").cache()
+    path, ck, out = (str(tmp_path / n) for n in ("land", "ck", "out"))
+    days = [r[0] for r in rows.select(F.to_date("created_at")).distinct().orderBy(F.to_date("created_at")).collect()]
+    cuts = [days[0], days[len(days) // 3], days[2 * len(days) // 3], dt.date(2100, 1, 1)]
+    for lo, hi in zip(cuts, cuts[1:]):                    # each part lands, is drained, and the job stops
+        rows.where((F.col("created_at") >= F.lit(lo)) & (F.col("created_at") < F.lit(hi))).coalesce(1).write.mode("append").parquet(path)
+        S.run_available_now(S.hourly_rollup_stream(S.stream_table(spark, path, rows.schema)), out, ck)
+    late = rows.orderBy(F.desc("created_at")).limit(1).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 2 DAYS"))
+    late.write.mode("append").parquet(path)               # an event that closes the last hours
+    S.run_available_now(S.hourly_rollup_stream(S.stream_table(spark, path, rows.schema)), out, ck)
+    want = {r.metric_hour: tuple(r)[1:] for r in A.hourly_metrics(rows).collect()}
+    cols = A.hourly_metrics(rows).columns
+    got = spark.read.parquet(out).select(cols).collect()
+    assert len(got) == len(want) and {r.metric_hour.replace(tzinfo=None): tuple(r)[1:] for r in got} == want
+    assert any(r.top_intent for r in got) and any(r.top_channel for r in got)
+
+
 def test_rate_verdict_stream_equals_batch(spark, tmp_path):
     ev = StreamCatalog(spark, SF_SMALL)["events"].select(
         "event_id", F.col("user_id").alias("client"), F.col("ts").alias("created_at"))
