@@ -1,14 +1,16 @@
 """Chat formatting by schema fingerprint (DataFrame functions only).
 
-Records of unknown layout arrive as VARIANT. The nested field paths of a record (its VARIANT schema without the
-leaf types) are hashed; the hash selects a declarative ``Layout`` that says where the turns are. Turns then go
-through one template that marks them and escapes control strings in the texts so that the output can be read
-back exactly.
+Records of unknown layout arrive as VARIANT. The nested field paths of a record, as far as some mapping reads them, are
+hashed; the hash selects a declarative ``Layout`` that says where the turns are. Further fields (ids, sources, times) of
+the record or of its messages don't change the hash. Turns then go through one template that marks them and escapes
+control strings in the texts so that the output can be read back exactly.
 
 Defined results: an unknown layout, a NULL record and an empty list give no turns (``layout`` NULL for the first
-two); a NULL role or text is the empty string; repeated turns stay; extra columns of the input are kept as long as
-their names differ from the ones added (``layout, turns, formatted, loss_spans``), which replace columns of the
-same name.
+two; ``unknown_print``, the hash of all its field paths, tells kinds of unknown records apart and counts them); a NULL role
+or text is the empty string; a text in parts is its parts' texts, joined by a blank line, without parts that have none
+(images); a text that is an object is its JSON; a list with items that aren't objects or have no field that is read is unknown; repeated turns stay;
+extra columns of the input are kept as long as their names differ from the ones added (``layout, unknown_print, turns,
+formatted, loss_spans``), which replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.prefix_scan import let, running_sums
+
 TURN_TYPE = "array<struct<role:string,text:string>>"
 
 # -- layouts --------------------------------------------------------------------------------------
@@ -26,24 +30,29 @@ TURN_TYPE = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class ListTurns:
-    """Turns are the objects of one list; ``roles`` renames speakers to canonical roles."""
+    """Turns are the objects of one list; ``roles`` renames speakers to canonical roles. The text of the field ``system``
+    beside the list, if there is any, is a turn before them."""
     path: str
     role: str
     text: str
     roles: dict = field(default_factory=dict)
+    system: str | None = None
 
     def turns(self, record: Column) -> Column:
-        kind = f"array<struct<`{self.role}`:string,`{self.text}`:string>>"
-        items = F.try_variant_get(record, f"$.{self.path}", kind)
         renamed = F.create_map(*[F.lit(x) for pair in self.roles.items() for x in pair]) if self.roles else None
 
         def one(t: Column) -> Column:
-            role = t[self.role]
+            role = F.try_variant_get(t, f"$.{self.role}", "string")
             if renamed is not None:
                 role = F.coalesce(F.try_element_at(renamed, F.lower(role)), role)
-            return _turn(role, t[self.text])
+            return _turn(role, _text(t, self.text))
 
-        return F.transform(items, one)
+        turns = F.transform(_items(record, self.path), one)
+        if self.system is None:
+            return turns
+        first = F.nullif(_text(record, self.system), F.lit(""))
+        return F.concat(F.when(first.isNotNull(), F.array(_turn(F.lit("system"), first)))
+                        .otherwise(F.array().cast(TURN_TYPE)), turns)
 
 
 @dataclass(frozen=True)
@@ -56,7 +65,7 @@ class FieldTurns:
     def turns(self, record: Column) -> Column:
         turns = []
         for role, names in self.parts:
-            texts = [F.nullif(F.try_variant_get(record, f"$.{n}", "string"), F.lit("")) for n in names]
+            texts = [F.nullif(_text(record, n), F.lit("")) for n in names]
             turn = _turn(F.lit(role), F.concat_ws("\n\n", *texts))
             turns.append(F.when(F.coalesce(*texts).isNotNull(), turn) if role in self.optional else turn)
         return F.filter(F.array(*turns), lambda t: t.isNotNull())
@@ -65,7 +74,7 @@ class FieldTurns:
 @dataclass(frozen=True)
 class Layout:
     name: str
-    shapes: tuple           # examples of the nested fields: {} objects, [] lists, "" leaves
+    shapes: tuple           # examples of the fields that are read: {} objects, [] lists of them or empty, "" texts
     mapping: ListTurns | FieldTurns
 
 
@@ -73,20 +82,42 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _items(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}", "array<variant>")
+
+
+def _has(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+
+
+def _text(record: Column, path: str) -> Column:
+    """A field's text, or that of its parts: strings, or objects with a text."""
+    parts = F.transform(_items(record, path), lambda p: F.when(_is_object(p), F.try_variant_get(p, "$.text", "string"))
+                        .otherwise(F.try_variant_get(p, "$", "string")))
+    joined = F.array_join(F.filter(parts, lambda t: t.isNotNull() & (t != "")), "\n\n")
+    return F.coalesce(joined, F.try_variant_get(record, f"$.{path}", "string"))
+
+
 # Speaker names of common conversation data sets and their canonical role.
 SPEAKERS = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant",
             "chatbot": "assistant", "model": "assistant", "agent": "assistant"}
 
 LAYOUTS = (
-    Layout("turns", ({"turns": [{"turn": "", "role": "", "text": ""}]}, {"turns": [{"role": "", "text": ""}]},
-                     {"turns": [""]}),
+    Layout("turns", ({"turns": [{"role": "", "text": ""}]}, {"turns": []}),
            ListTurns("turns", "role", "text")),
-    Layout("messages", ({"messages": [{"role": "", "content": ""}]}, {"messages": [""]},
-                        {"messages": [{"role": "", "content": "", "name": ""}]}),
+    Layout("messages", ({"messages": [{"role": "", "content": ""}]}, {"messages": []},
+                        {"messages": [{"role": "", "content": ""}], "prompt": ""}),     # the prompt is the first message
            ListTurns("messages", "role", "content", SPEAKERS)),
-    Layout("from_value", ({"conversations": [{"from": "", "value": ""}]},
-                          {"id": "", "conversations": [{"from": "", "value": ""}]}),
+    Layout("system_messages", ({"messages": [{"role": "", "content": ""}], "system": ""}, {"messages": [], "system": ""}),
+           ListTurns("messages", "role", "content", SPEAKERS, system="system")),
+    Layout("from_value", ({"conversations": [{"from": "", "value": ""}]}, {"conversations": []}),
            ListTurns("conversations", "from", "value", SPEAKERS)),
+    Layout("system_from_value", ({"conversations": [{"from": "", "value": ""}], "system": ""},),
+           ListTurns("conversations", "from", "value", SPEAKERS, system="system")),
     Layout("dialogue", ({"dialogue": [{"speaker": "", "utterance": ""}]},),
            ListTurns("dialogue", "speaker", "utterance", SPEAKERS)),
     Layout("instruction_input", ({"instruction": "", "input": "", "output": ""},
@@ -108,27 +139,57 @@ LAYOUTS = (
 )
 
 
+def shape_paths(shape, prefix: str = "") -> list[str]:
+    """Field paths of an example: ``a``, ``a.b`` in an object, ``a[].b`` in the objects of a list."""
+    paths = []
+    for name, inner in shape.items():
+        at = f"{prefix}{name}"
+        paths.append(at)
+        if isinstance(inner, dict):
+            paths += shape_paths(inner, f"{at}.")
+        elif isinstance(inner, list):
+            for item in inner:
+                paths += shape_paths(item, f"{at}[].")
+    return sorted(paths)
+
+
 def signature(shape) -> str:
-    """Nested field paths of an example, in the notation that ``field_paths`` gives for a record."""
-    if isinstance(shape, dict):
-        return "OBJECT<" + ", ".join(f"{k}: {signature(shape[k])}" for k in sorted(shape)) + ">"
-    if isinstance(shape, list):
-        return f"ARRAY<{signature(shape[0])}>"
-    return ""
+    return ", ".join(shape_paths(shape))
 
 
-def field_paths(record: Column) -> Column:
-    """Nested field paths of a VARIANT record: its schema, fields sorted by name, without the leaf types."""
-    return F.regexp_replace(F.schema_of_variant(record),
-                            r"(?<=: |ARRAY<|^)(?:DECIMAL\([0-9, ]+\)|TIMESTAMP_NTZ|[A-Z]+)(?=[,>]|$)", "")
+def read_paths(record: Column, layouts=LAYOUTS) -> Column:
+    """The signature of a VARIANT record: those of its field paths that some layout reads, sorted."""
+    known = sorted({p for lay in layouts for s in lay.shapes for p in shape_paths(s)})
+    lists = {lay.mapping.path for lay in layouts if isinstance(lay.mapping, ListTurns)}
 
+    def present(path: str) -> Column:
+        base, _, inner = path.partition("[].")
+        if inner:
+            return F.exists(_items(record, base), lambda t: _has(t, inner))
+        if path in lists:               # a list of objects that all have something to read, or no known layout
+            inside = [p.partition("[].")[2] for p in known if p.startswith(f"{path}[].")]
+            fits = F.forall(_items(record, path), lambda t: F.coalesce(
+                _is_object(t) & F.coalesce(*[F.nullif(_has(t, p), F.lit(False)) for p in inside]), F.lit(False)))
+            return F.when(F.coalesce(fits, F.lit(False)), F.lit(path)).when(_has(record, path), F.lit(f"{path}?"))
+        return _has(record, path)
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+    marks = [present(p) if p in lists else F.when(present(p), F.lit(p)) for p in known]
+    return F.array_join(F.array_compact(F.array(*marks)), ", ")
+
+
+def fingerprint(record: Column, layouts=LAYOUTS) -> Column:
+    return F.xxhash64(read_paths(record, layouts))
+
+
+def all_paths_print(record: Column) -> Column:
+    """Hash of all nested field paths of a VARIANT record: its schema without the leaf types."""
+    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record),
+                                       r"(?<=: |ARRAY<|^)(?:DECIMAL\([0-9, ]+\)|TIMESTAMP_NTZ|[A-Z]+)(?=[,>]|$)", ""))
 
 
 def canonical_turns(df: DataFrame, record_col: str, layouts=LAYOUTS) -> DataFrame:
-    """Adds ``layout`` (name or NULL) and ``turns`` (array of role, text) read from a VARIANT column."""
+    """Adds ``layout`` (name or NULL), ``unknown_print`` (of a record whose layout is NULL; NULL for a NULL record) and
+    ``turns`` (array of role, text) read from a VARIANT column."""
     print_, record = F.col("__print"), F.col(record_col)
     name = turns = None
     for lay in layouts:
@@ -136,9 +197,12 @@ def canonical_turns(df: DataFrame, record_col: str, layouts=LAYOUTS) -> DataFram
         name = F.when(hit, F.lit(lay.name)) if name is None else name.when(hit, F.lit(lay.name))
         value = F.coalesce(lay.mapping.turns(record), F.array().cast(TURN_TYPE))
         turns = F.when(hit, value) if turns is None else turns.when(hit, value)
-    out = df.withColumn("__print", fingerprint(record))
-    return (out.withColumn("__turns", turns.otherwise(F.array().cast(TURN_TYPE)))
-            .withColumn("layout", name).withColumn("turns", F.col("__turns")).drop("__print", "__turns"))
+    out = df.withColumn("__print", fingerprint(record, layouts))
+    out = out.withColumn("__turns", turns.otherwise(F.array().cast(TURN_TYPE))).withColumn("__layout", name)
+    unknown = F.when(F.col("__layout").isNull() & record.isNotNull(), all_paths_print(record))
+    return (out.withColumn("__unknown", unknown).withColumn("layout", F.col("__layout"))
+            .withColumn("unknown_print", F.col("__unknown")).withColumn("turns", F.col("__turns"))
+            .drop("__print", "__turns", "__layout", "__unknown"))
 
 
 # -- template -------------------------------------------------------------------------------------
@@ -178,20 +242,14 @@ def format_chat(df: DataFrame, turns_col: str = "turns", template: Template = Te
         (x["role"] == t.loss_role).alias("loss"),
         F.concat(F.lit(t.open), t.escape(x["role"]), F.lit(t.body)).alias("head"),
         t.escape(x["text"]).alias("text")))
-    spans = "array<struct<start:int,length:int>>"
-
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["head"])
-        size = F.length(x["text"])
-        return F.struct(
-            (start + size + len(t.close)).alias("pos"),
-            F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), size.alias("length")))))
-            .otherwise(acc["spans"]).cast(spans).alias("spans"))
-
     out = df.withColumn("__safe", safe)
-    walked = F.aggregate("__safe", F.struct(F.lit(0).alias("pos"), F.array().cast(spans).alias("spans")), step)
+    sizes = F.transform("__safe", lambda x: F.length(x["head"]) + F.length(x["text"]) + len(t.close))
+    placed = F.zip_with("__safe", running_sums(sizes), lambda x, before: F.struct(
+        x["loss"].alias("loss"), F.struct((before + F.length(x["head"])).alias("start"), F.length(x["text"]).alias("length"))
+        .alias("span")))
+    spans = F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: p["span"])
     text = F.array_join(F.transform("__safe", lambda x: F.concat(x["head"], x["text"], F.lit(t.close))), "")
-    return out.withColumn("formatted", text).withColumn("loss_spans", walked["spans"]).drop("__safe")
+    return out.withColumn("formatted", text).withColumn("loss_spans", spans).drop("__safe")
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
@@ -209,9 +267,25 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
 
 
 def masked_text(formatted: Column, loss_spans: Column, template: Template = Template()) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(loss_spans, lambda s: template.unescape(
-        F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order, nothing between. A span lies in one turn and a turn holds at
+    most one, as ``format_chat`` gives them: spans are laid beside the turns by their starts, so that each is cut from
+    its turn alone and not from the whole text."""
+    t = template
+
+    def placed(pieces: Column) -> Column:
+        starts = running_sums(F.transform(pieces, lambda p: F.length(p) + len(t.close)))
+        turns = F.zip_with(pieces, starts, lambda p, at: F.struct(
+            at.alias("at"), F.lit(0).alias("kind"), p.alias("text"), F.length(p).alias("length")))
+        spans = F.transform(loss_spans, lambda s: F.struct(
+            s["start"].alias("at"), F.lit(1).alias("kind"), F.lit("").alias("text"), s["length"].alias("length")))
+        return F.sort_array(F.concat(turns, spans))
+
+    def cut(turn: Column, span: Column) -> Column:
+        return F.when(span["kind"] == 1, t.unescape(F.substring(turn["text"], span["at"] - turn["at"] + 1, span["length"])))
+
+    pieces = F.split(formatted, re.escape(t.close), -1)
+    return let(let(pieces, placed), lambda rows: F.array_join(
+        F.zip_with(rows, F.slice(rows, 2, F.size(rows)), cut), ""))
 
 
 def records_of_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",

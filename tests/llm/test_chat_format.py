@@ -65,6 +65,45 @@ def test_layouts_by_fingerprint(spark):
     assert [(r.layout, [tuple(t) for t in r.turns]) for r in got] == want
 
 
+def test_metadata_parts_and_unknown_records(spark):
+    T = lambda *x: [tuple(t) for t in x]
+    two = T(("user", "u"), ("assistant", "a"))
+    msgs = [{"role": "user", "content": "u", "timestamp": 3}, {"role": "assistant", "content": "a", "meta": {"x": [1]}}]
+    cases = [
+        ({"messages": msgs, "id": "7", "source": "web", "tags": ["t"]}, "messages", two),
+        ({"messages": msgs, "system": "s"}, "system_messages", T(("system", "s")) + two),
+        ({"messages": msgs, "system": None}, "system_messages", two),
+        ({"prompt": "u", "prompt_id": "9", "messages": msgs}, "messages", two),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "image", "url": "i"}, "y"]},
+                       {"role": "assistant", "content": "a"}]}, "messages", T(("user", "x\n\ny"), ("assistant", "a"))),
+        ({"messages": [{"role": "user", "content": []}]}, "messages", T(("user", ""))),
+        ({"messages": [{"role": "user", "content": {"k": 1}}]}, "messages", T(("user", '{"k":1}'))),
+        ({"messages": [{"role": "user", "content": "u"}, {"role": "assistant"}]}, "messages", T(("user", "u"), ("assistant", ""))),
+        ({"conversations": [{"from": "human", "value": "u", "weight": 1}], "idx": 4}, "from_value", T(("user", "u"))),
+        ({"turns": [{"turn": 1, "role": "user", "text": "u", "at": "2024"}], "lang": "en"}, "turns", T(("user", "u"))),
+        ({"instruction": "i", "output": "o", "id": 3, "score": 0.5}, "instruction", T(("user", "i"), ("assistant", "o"))),
+        ({"data": {"prompt": "p", "reply": "r", "n": 1}}, "nested_data", T(("user", "p"), ("assistant", "r"))),
+        ({"messages": ["a", "b"]}, None, []), ({"messages": [msgs[0], "b"]}, None, []), ({"messages": "x"}, None, []),
+        ({"messages": [{"body": "b"}]}, None, []), ({"foo": 1}, None, []), ({"foo": "z"}, None, []), ({"bar": 1}, None, []), (None, None, []),
+    ]
+    df = frame(spark, [(i, None if r is None else json.dumps(r), 5) for i, (r, _, _) in enumerate(cases)],
+               "conv_id int, j string, unknown_print int")
+    got = rows_of(C.canonical_turns(df.withColumn("record", F.parse_json("j")), "record")
+                  .select("conv_id", "layout", "turns", "unknown_print"))
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in got] == [(name, turns) for _, name, turns in cases]
+    prints = [r.unknown_print for r in got]
+    assert all((p is None) == (r.layout is not None or cases[r.conv_id][0] is None) for p, r in zip(prints, got))
+    assert prints[16] == prints[17] != prints[18]           # the same fields, whatever their types
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    df = spark.range(40_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                    F.concat(F.lit("t<|end|>"), F.col("id").cast("string")).alias("text"))
+    got = C.format_digest(C.records_of_rows(df)).first()
+    assert tuple(got)[1:5] == digest([(("user", "assistant")[i % 2], f"t<|end|>{i}") for i in range(40_000)])
+
+
 def test_empty_table_and_plan(spark):
     from ledgerline.llm.queries import op10_chat_format
     empty = frame(spark, [], "conv_id long, turn long, role string, text string, formatted int")
