@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.core import (as_date, blank_to_null, count_if, exact_mean, expense, income, money,
                                        month_start, newest_first, pct, round_int, sum01, ts_minus, ymd)
+from ledgerline.session import cut_lineage
 
 # The four chat channels counted by the stats report.
 CHANNELS = ("whatsapp", "messenger", "instagram", "web")
@@ -292,12 +293,34 @@ def inventory_category_summary(finance: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- A19
+MOST_CANDIDATES = 1_000_000
+MOVEMENT_COLUMNS = ("l_orderkey", "l_linenumber", "l_suppkey", "item_id", "movement_type", "quantity", "notes", "created_at",
+                    "created_by")
+
+
 def recent_movements(movements: DataFrame, items: DataFrame, n: int = 25) -> DataFrame:
     """Newest n movements of known items (inner join: a movement whose item is missing must not take a slot).
-    Adaptive execution picks the join from the measured size of the items; each partition keeps its own top n."""
+
+    The fact is not joined: its newest rows (4 n, then 16 times as many each time) are cut out by a top-k, written, and
+    joined to the items, until n of them are known or there are no more. Only when ``MOST_CANDIDATES`` hold too few
+    known items, so that nearly all movements are of unknown ones, the whole fact is joined."""
     order = [newest_first("created_at"), "l_orderkey", "l_linenumber", "l_suppkey", "item_id"]
     it = items.select(F.col("id").alias("i_id"), F.col("name").alias("item_name"), "unit")
-    return (movements.join(it, movements.item_id == it.i_id, "inner").orderBy(*order).limit(n)
+
+    def known(rows: DataFrame) -> DataFrame:
+        return rows.join(it, rows.item_id == it.i_id, "inner")
+
+    movements = movements.select(*MOVEMENT_COLUMNS)
+    joined, width = None, 4 * n
+    while joined is None:
+        if width > MOST_CANDIDATES:
+            joined = known(movements)
+            break
+        newest = cut_lineage(movements.orderBy(*order).limit(width))
+        if known(newest).limit(n).count() == n or newest.count() < width:
+            joined = known(newest)
+        width *= 16
+    return (joined.orderBy(*order).limit(n)
             .select("l_orderkey", "l_linenumber", "l_suppkey", "item_name", F.col("movement_type").alias("type"),
                     money("quantity").alias("quantity"), "unit",
                     F.coalesce(blank_to_null("notes"), F.lit("")).alias("notes"),

@@ -141,22 +141,41 @@ def sync_result(services: DataFrame, bookings: DataFrame) -> DataFrame:
                       F.when(~ok, F.lit("service without id")).alias("error"))
 
 
+def _booking_counts(bookings_all: DataFrame) -> Column:
+    return bookings_all.agg(F.struct(F.count(F.lit(1)).alias("fetched"),
+                                     F.count(F.when(F.col("wix_contact_id") != "", 1)).alias("sent"))).scalar()
+
+
+def _summary(result: DataFrame, services: Column, bookings: Column, synced_at, paging_total: DataFrame | None) -> DataFrame:
+    total = F.nullif(paging_total.agg(F.max("total")).scalar(), F.lit(0)) if paging_total is not None else F.lit(None)
+    done = (F.col("status") == "ok") | F.col("services_synced").isNotNull()
+    return result.select(
+        F.when(done, "SUCCESS").otherwise("PARTIAL").alias("status"), ts_ntz(synced_at).alias("synced_at"),
+        F.coalesce("services_synced", services).alias("services_synced"),
+        F.coalesce("bookings_synced", bookings["sent"]).alias("bookings_synced"),
+        bookings["fetched"].alias("bookings_fetched"),
+        F.coalesce(total.cast("long"), bookings["fetched"]).alias("bookings_total_in_wix"), "error")
+
+
 def sync_summary(services: DataFrame, bookings_all: DataFrame, result: DataFrame, synced_at,
                  paging_total: DataFrame | None = None) -> DataFrame:
     """One summary row of a sync run from the parsed services, *all* parsed bookings
     (``parse_bookings(..., drop_unidentified=False)``) and the answer of the write (``sync_result``): the numbers
     written, or else the numbers sent. ``paging_total`` (one row ``total``) is the source's own count of bookings;
     without it, or if it is 0 or NULL, the fetched ones count."""
-    svc = services.agg(F.count(F.lit(1))).scalar()
-    b = bookings_all.agg(F.struct(F.count(F.lit(1)).alias("fetched"),
-                                  F.count(F.when(F.col("wix_contact_id") != "", 1)).alias("sent"))).scalar()
-    total = F.nullif(paging_total.agg(F.max("total")).scalar(), F.lit(0)) if paging_total is not None else F.lit(None)
-    done = (F.col("status") == "ok") | F.col("services_synced").isNotNull()
-    return result.select(
-        F.when(done, "SUCCESS").otherwise("PARTIAL").alias("status"), ts_ntz(synced_at).alias("synced_at"),
-        F.coalesce("services_synced", svc).alias("services_synced"),
-        F.coalesce("bookings_synced", b["sent"]).alias("bookings_synced"), b["fetched"].alias("bookings_fetched"),
-        F.coalesce(total.cast("long"), b["fetched"]).alias("bookings_total_in_wix"), "error")
+    return _summary(result, services.agg(F.count(F.lit(1))).scalar(), _booking_counts(bookings_all), synced_at, paging_total)
+
+
+def sync_run(services: DataFrame, bookings_all: DataFrame, synced_at, paging_total: DataFrame | None = None) -> DataFrame:
+    """``sync_summary`` of a run whose write sends every service and each booking with a contact (``sync_result`` of
+    these): both come from one aggregate a table, so that each feed is parsed once."""
+    svc = services.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(blank_to_null("wix_id")).alias("keyed"))).scalar()
+    b = _booking_counts(bookings_all)
+    ok = svc["n"] == svc["keyed"]
+    result = services.sparkSession.range(1).select(
+        F.when(ok, "ok").otherwise("error").alias("status"), F.when(ok, svc["n"]).alias("services_synced"),
+        F.when(ok, b["sent"]).alias("bookings_synced"), F.when(~ok, F.lit("service without id")).alias("error"))
+    return _summary(result, svc["n"], b, synced_at, paging_total)
 
 
 # ----------------------------------------------------------------------------- T40

@@ -186,9 +186,8 @@ register("parse_bookings")(_bookings)
 
 @register("sync_summary")
 def _t39(c):
-    every = T.parse_bookings(ad.booking_payload(c), P.ORDERS_AS_OF, drop_unidentified=False)
-    sent = every.where(F.col("wix_contact_id") != "")
-    return T.sync_summary(_services(c), every, T.sync_result(_services(c), sent), P.ORDERS_AS_OF)
+    every = T.parse_bookings(_booking_feed(c), P.ORDERS_AS_OF, drop_unidentified=False)
+    return T.sync_run(_services(c), every, P.ORDERS_AS_OF)
 
 
 @register("ga4_metrics")

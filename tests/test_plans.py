@@ -51,7 +51,7 @@ def test_scans_stay_few(spark, name, scans):
 def test_building_a_query_starts_no_job(spark):
     """Beyond reading a schema a table: no counts or collects while a plan is built (clustering and the matcher's
     checkpoints aside)."""
-    eager = {"conversation_page_deep", "weekly_trends", "kb_search_lists", "kb_search_lists_recall", "kb_search_ivf", "kb_search_ivf_recall", "match_replies", "apply_ratings", "apply_ratings_rejects",
+    eager = {"recent_movements", "conversation_page_deep", "weekly_trends", "kb_search_lists", "kb_search_lists_recall", "kb_search_ivf", "kb_search_ivf_recall", "match_replies", "apply_ratings", "apply_ratings_rejects",
              "training_pairs", "training_pair_stats"}
     tracker = spark.sparkContext.statusTracker()
     for name in sorted(set(QUERIES) - eager):

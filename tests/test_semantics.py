@@ -224,6 +224,19 @@ def test_recent_movements_widens_past_unknown_items(spark):
     assert got_all == [250, 200, 150, 100, 50, 0]          # fewer than n exist: all of them
 
 
+def test_recent_movements_joins_all_when_nearly_all_items_are_unknown(spark, monkeypatch):
+    from ledgerline.operators import analytics as A
+    monkeypatch.setattr(A, "MOST_CANDIDATES", 10)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1, 1, 1 if i < 3 else 999, "purchase", 1.0, None, t0 + dt.timedelta(minutes=i), None, "x") for i in range(200)]
+    mv = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, item_id long, movement_type string, "
+                                     "quantity double, notes string, created_at timestamp_ntz, created_by string, unit string")
+    items = spark.createDataFrame([(1, "glue", "pcs"), (1, "paste", "kg")], "id long, name string, unit string")
+    got = [(r.l_orderkey, r.unit) for r in A.recent_movements(mv, items, n=2).collect()]
+    assert [k for k, _ in got] == [2, 2] and {u for _, u in got} == {"pcs", "kg"}
+    assert A.recent_movements(mv.limit(0), items, n=2).count() == 0
+
+
 def _services_and_bookings(spark, ids):
     svc = spark.createDataFrame([(i,) for i in ids], "wix_id string")
     every = spark.createDataFrame([("c1",), ("",), ("c2",)], "wix_contact_id string")
@@ -234,12 +247,14 @@ def test_sync_summary_status_follows_the_write(spark):
     svc, every, sent = _services_and_bookings(spark, ["a", "b"])
     ok = T.sync_summary(svc, every, T.sync_result(svc, sent), "2024-01-01 00:00:00").first()
     assert (ok.status, ok.services_synced, ok.bookings_synced, ok.bookings_total_in_wix, ok.error) == ("SUCCESS", 2, 2, 3, None)
+    assert T.sync_run(svc, every, "2024-01-01 00:00:00").first() == ok
     total = spark.createDataFrame([(250,)], "total long")
     for ids in (["a", ""], ["a", None]):
         svc, every, sent = _services_and_bookings(spark, ids)
         bad = T.sync_summary(svc, every, T.sync_result(svc, sent), "2024-01-01 00:00:00", total).first()
         assert (bad.status, bad.services_synced, bad.bookings_synced, bad.bookings_total_in_wix) == ("PARTIAL", 2, 2, 250)
         assert bad.error and bad.synced_at == dt.datetime(2024, 1, 1)
+        assert T.sync_run(svc, every, "2024-01-01 00:00:00", total).first() == bad
 
 
 def test_ga4_malformed_date_does_not_stop_the_job(spark):
