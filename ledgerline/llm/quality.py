@@ -136,20 +136,21 @@ def scorer(weights: np.ndarray):
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, remainder: int = 0,
-                  most: dict[int, int] = SAMPLE) -> np.ndarray:
-    return train(labelled_sample(docs, labels, label_col, modulus, remainder, most))
+                  most: dict[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    return train(labelled_sample(docs, labels, label_col, modulus, remainder, most, id_col, text_col))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text",
                    id_col: str = "doc_id", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    score = scorer(quality_model(docs, labels, modulus=modulus, remainder=remainder))
+    score = scorer(quality_model(docs, labels, modulus=modulus, remainder=remainder, id_col=id_col, text_col=text_col))
     return (docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, modulus, remainder).alias("held_out"),
                         score(F.col(text_col)).alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text",
+                 id_col: str = "doc_id") -> DataFrame:
     """Documents that the classifier accepts, with all their columns."""
-    score: Column = scorer(quality_model(docs, labels))(F.col(text_col))
+    score: Column = scorer(quality_model(docs, labels, id_col=id_col, text_col=text_col))(F.col(text_col))
     return docs.where(score >= threshold)

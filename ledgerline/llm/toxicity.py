@@ -167,9 +167,9 @@ def train_model(texts: list[str], labels: list[int]) -> Model:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, remainder: int = 1,
-                   most: dict[int, int] = SAMPLE) -> Model:
+                   most: dict[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Trained by one task on the bounded sample; the model is about a megabyte."""
-    sample = labelled_sample(docs, labels, label_col, modulus, remainder, most)
+    sample = labelled_sample(docs, labels, label_col, modulus, remainder, most, id_col, text_col)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=pd.util.hash_array(pdf["doc_id"].to_numpy())).sort_values(["o", "doc_id"])
@@ -220,13 +220,14 @@ def scorer(model: Model):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text",
                     id_col: str = "doc_id", modulus: int = 3, remainder: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    score = scorer(toxicity_model(docs, labels, modulus=modulus, remainder=remainder))
+    score = scorer(toxicity_model(docs, labels, modulus=modulus, remainder=remainder, id_col=id_col, text_col=text_col))
     return (docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, modulus, remainder).alias("held_out"),
                         score(F.col(text_col)).alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text",
+               id_col: str = "doc_id") -> DataFrame:
     """Documents that the classifier doesn't reject, with all their columns."""
-    score = scorer(toxicity_model(docs, labels))(F.col(text_col))
+    score = scorer(toxicity_model(docs, labels, id_col=id_col, text_col=text_col))(F.col(text_col))
     return docs.where(score < threshold)

@@ -3,7 +3,9 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 
 from ledgerline.llm import quality as Q
 from ledgerline.llm import toxicity as T
@@ -153,3 +155,84 @@ def test_odd_rows_no_labels_and_empty_tables(spark, scores):
         assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
         assert [r.held_out for r in rows if r.doc_id is None] == [False]
     assert scores(docs.limit(0), both).count() == 0
+
+
+def _plain_quality(docs, labels, threshold=0.3):
+    """The quality classifier with dicts and single numbers: sample, shards, features, steps, average, scores."""
+    mask = 2**64 - 1
+
+    def grams(text):
+        words = (text or "").split()
+        code = lambda w: zlib.crc32(w.encode())
+        word = [code(w.lower().strip("!?.,;:*%$&#|'\"()[]{}<>-_=+/\\~`@^")) for w in words]
+        shape = [code(Q._shape(w)) for w in words]
+        a, b, c = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+        all_ = [w * c for w in word] + [2 if v == w else v * a + w * b + 1 for v, w in zip(word, word[1:])]
+        two = [v * a + w * b + 3 for v, w in zip(shape, shape[1:])]
+        all_ += [s * c + 5 for s in shape] + two + [t * a + s * c + 4 for t, s in zip(two, shape[2:])]
+        counts = {}
+        for g in all_:
+            g &= mask
+            g = (g ^ g >> 29) * 0xBF58476D1CE4E5B9 & mask
+            counts[g >> 46] = counts.get(g >> 46, 0) + 1
+        size = math.sqrt(sum((1 + math.log(k)) ** 2 for k in counts.values()))
+        return [(max(at, 1), (1 + math.log(k)) / size) for at, k in sorted(counts.items())]
+
+    def score(w, x):
+        return 1 / (1 + math.exp(-max(-35, min(35, w.get(0, 0.0) + sum(w.get(at, 0.0) * v for at, v in x)))))
+
+    def spark_hash(seed, i):
+        first = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+        return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=first)
+
+    shards = {}
+    for i, y in labels.items():
+        if zlib.crc32(str(i).encode()) % 5 and i in docs and docs[i] is not None:
+            shards.setdefault(spark_hash(23, i) % 4, []).append((i, y))
+    total = {}
+    for rows in shards.values():
+        order = pd.util.hash_array(np.array([i for i, _ in rows]))
+        rows = [r for _, r in sorted(zip(order, rows), key=lambda t: (t[0], t[1][0]))]
+        z, n, w = {}, {}, {}
+        xs = {i: grams(docs[i]) for i, _ in rows}
+        for _ in range(4):
+            for i, y in rows:
+                x, p = xs[i], score(w, xs[i])
+                for at, v in [*x, (0, 1.0)]:
+                    g = (p - y) * v
+                    old = n.get(at, 0.0)
+                    z[at] = z.get(at, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) * w.get(at, 0.0)
+                    n[at] = old + g * g
+                    w[at] = (-(z[at] - math.copysign(1e-4, z[at])) / (1 + math.sqrt(n[at]) + 1e-4) if abs(z[at]) > 1e-4 else 0.0)
+        for at, v in w.items():
+            total[at] = total.get(at, 0.0) + v / 4
+    return {i: (s := score(total, grams(t)), int(s >= threshold)) for i, t in docs.items()}
+
+
+def test_quality_query_against_a_plain_version(spark):
+    from ledgerline.llm.queries import op1_quality
+    small = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None}
+    want = _plain_quality(docs, labels)
+    got = op1_quality(spark, small).collect()
+    assert len(got) == len(want) == len(docs)
+    for r in got:
+        s, p = want[r.doc_id]
+        assert abs(r.score - s) < 1e-4 and (r.predicted == p or abs(s - 0.3) < 1e-4)
+
+
+@pytest.mark.parametrize("scores", [Q.quality_scores, T.toxicity_scores])
+def test_text_ids_and_other_column_names(spark, scores):
+    names = "k string, body string, doc_id int, text int"
+    rows = [(f"d-{i}", ("vile awful rot " if i % 2 else "fine good words ") * (3 + i % 5) + str(i), 1, 2) for i in range(60)]
+    docs = frame(spark, rows + [(None, "x", 1, 2), ("d-none", None, 1, 2)], names)
+    labels = frame(spark, [(f"d-{i}", i % 2, i % 2) for i in range(60)], "k string, quality int, toxic int")
+    got = {r.doc_id: r for r in scores(docs, labels, id_col="k", text_col="body").collect()}
+    assert len(got) == 62 and not got[None].held_out
+    label1, label0 = ([got[f"d-{i}"].score for i in range(60) if i % 2 == odd] for odd in (1, 0))
+    assert sum(label1) > sum(label0)
+    numbers = frame(spark, [("7", "a b c", 1), ("8", "d e f", 1)], "doc_id string, text string, label int")
+    assert len(scores(numbers, frame(spark, [(7, 1, 1), (8, 0, 0)], "doc_id long, quality int, toxic int")).collect()) == 2
+    kept = Q.keep_quality if scores is Q.quality_scores else T.drop_toxic
+    assert kept(docs, labels, id_col="k", text_col="body").columns == docs.columns
