@@ -7,8 +7,8 @@ from ledgerline.plans.registry import QUERIES
 
 from fixture_paths import SF_SMALL
 
-# operators that run Python by design (per-partition BLAS scoring, sequential per-key streams)
-PYTHON_OK = {"kb_search_lists", "kb_search_lists_recall", "kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",
+# queries whose plan runs Python by design (per-partition BLAS scoring, sequential per-key streams)
+PYTHON_OK = {"kb_search_lists_recall", "kb_search", "kb_search_strict", "memory_search", "kb_search_ivf", "kb_search_ivf_recall",
              "usage_log", "rate_verdicts"}
 
 
