@@ -58,6 +58,11 @@ def round_int(c) -> Column:
     return F.round(col(c)).cast("int")
 
 
+def round_long(c) -> Column:
+    """As ``round_int`` for sums, which outgrow four bytes."""
+    return F.round(col(c)).cast("long")
+
+
 def nullif(c, value) -> Column:
     return F.nullif(col(c), F.lit(value))
 

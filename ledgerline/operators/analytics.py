@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.core import (as_date, blank_to_null, count_if, exact_mean, expense, income, money,
-                                       month_start, newest_first, pct, round_int, sum01, ts_minus, ymd)
+                                       month_start, newest_first, pct, round_int, round_long, sum01, ts_minus, ymd)
 from ledgerline.session import cut_lineage
 
 # The four chat channels counted by the stats report.
@@ -398,7 +398,7 @@ def snapshot_30d(registrations: DataFrame, students: DataFrame, as_of, days: int
     start = ts_minus(as_date(as_of), f"'{days}' DAY")      # current_date - interval: midnight boundary
     recent = registrations.where((F.col("registration_date") >= start) & (F.col("status") == "CONFIRMED"))
     new = students.where(F.col("created_at") >= start).agg(F.count(F.lit(1))).scalar()
-    rev = recent.agg(round_int(F.coalesce(F.sum("amount_paid"), F.lit(0).cast("decimal(12,2)"))).alias("revenue_30d"))
+    rev = recent.agg(round_long(F.coalesce(F.sum("amount_paid"), F.lit(0).cast("decimal(12,2)"))).alias("revenue_30d"))
     return rev.select("revenue_30d", new.alias("new_students_30d")).select(
         "*", F.concat(F.lit("Database Snapshot: 30-day Revenue EGP "), F.format_number("revenue_30d", 0),
                       F.lit(", 30-day New Students "), F.col("new_students_30d").cast("string")).alias("snapshot_text"))

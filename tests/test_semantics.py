@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.core import pct, round_int
+from ledgerline.operators import analytics as A
 from ledgerline.operators import transforms as T
 from ledgerline.operators import writes as W
 
@@ -20,6 +21,15 @@ def test_round_int_rounds_half_away_from_zero(spark):
     assert [x.y for x in r.collect()] == [3, 4, -3, 2]
 
 
+def test_snapshot_sums_revenue_beyond_four_bytes(spark):
+    regs = spark.sql("""SELECT timestamp_ntz'2024-01-20 00:00:00' AS registration_date, 'CONFIRMED' AS status,
+                        CAST(1500000000.50 AS DECIMAL(12,2)) AS amount_paid FROM range(3)""")
+    students = spark.sql("SELECT timestamp_ntz'2024-01-20 00:00:00' AS created_at")
+    r = A.snapshot_30d(regs, students, "2024-01-31 00:00:00").first()
+    assert (r.revenue_30d, r.new_students_30d) == (4_500_000_002, 1)
+    assert r.snapshot_text == "Database Snapshot: 30-day Revenue EGP 4,500,000,002, 30-day New Students 1"
+
+
 def test_pct_is_null_on_zero_denominator(spark):
     r = spark.createDataFrame([(1, 0), (1, 3)], "a long, b long").select(pct("a", "b").alias("p")).collect()
     assert r[0].p is None and r[1].p == 33.33
