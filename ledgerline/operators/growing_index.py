@@ -43,13 +43,18 @@ def _dot(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _far(near: F.Column) -> F.Column:
+    """A key whose ascending order is the descending one of cosines: NaN first, NULL last."""
+    return F.coalesce(F.when(F.isnan(near), F.lit(float("-inf"))).otherwise(-near), F.lit(float("inf")))
+
+
 def _sent_on(rows: DataFrame, kids: DataFrame) -> DataFrame:
     """Rows (id, v, cell) of cells that have kids (parent, j, center), in the nearest one's cell; others are left out."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("cuts"))
+    sizes = (rows.groupBy("cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("cuts"))
+             .join(F.broadcast(kids.select(F.col("parent").alias("cell")).distinct()), "cell", "left_semi"))
     packed = (kids.groupBy(F.col("parent").alias("cell")).agg(F.array_sort(F.collect_list(F.struct("j", "center"))).alias("kids"))
-              .join(sizes, "cell").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
-    own = (rows.join(packed.select("cell", "cuts").distinct(), "cell")
-           .withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")))
+              .join(F.broadcast(sizes), "cell").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
+    own = rows.join(F.broadcast(sizes), "cell").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
 
     def nearest(part: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(centers):
@@ -64,14 +69,22 @@ def _sent_on(rows: DataFrame, kids: DataFrame) -> DataFrame:
             .applyInPandas(nearest, "id long, v array<double>, cell string"))
 
 
+def _centers(rows: DataFrame, big: DataFrame, list_rows: int, fanout: int) -> DataFrame:
+    """(parent, j, center): the rows with the smallest md5 of each list in ``big`` (cell, n)."""
+    first = Window.partitionBy("cell").orderBy(F.md5(F.col("id").cast("string")), "id")
+    return (rows.join(F.broadcast(big), "cell").withColumn("place", F.row_number().over(first))
+            .where((F.col("place") <= fanout) & (F.col("place") <= F.ceil(F.col("n") / list_rows)))
+            .select(F.col("cell").alias("parent"), (F.col("place") - 1).alias("j"), F.col("v").alias("center")))
+
+
 def _split(rows: DataFrame, list_rows: int, fanout: int) -> tuple[DataFrame, DataFrame]:
-    """One round over rows (id, v, cell): (rows with those of too long lists in new ones, the new nodes)."""
+    """One round over rows (id, v, cell): (rows with those of too long lists in new ones, the new nodes).
+
+    The first round's rows are all in one list, so rows never go to one task by their list: names and sizes of long lists
+    (one for each ``list_rows`` rows at most) are broadcast, and each task keeps ``fanout`` rows of a list for the nodes."""
     big = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > list_rows)
-    first = Window.partitionBy("cell").orderBy(F.md5(F.col("id").cast("string")), "id")
-    kids = cut_lineage(rows.join(big, "cell").withColumn("j", F.row_number().over(first) - 1).where(F.col("j") < fanout)
-                       .where(F.col("j") < F.ceil(F.col("n") / list_rows))
-                       .select(F.col("cell").alias("parent"), "j", F.col("v").alias("center")))
-    stay = rows.join(kids.select(F.col("parent").alias("cell")).distinct(), "cell", "left_anti")
+    kids = cut_lineage(_centers(rows, big, list_rows, fanout))
+    stay = rows.join(F.broadcast(kids.select(F.col("parent").alias("cell")).distinct()), "cell", "left_anti")
     out = cut_lineage(stay.select("id", "v", "cell").unionByName(_sent_on(rows, kids)))
     return out, kids
 
@@ -128,19 +141,29 @@ def append(kb: DataFrame, path: str, list_rows: int = 1_000, fanout: int = 256,
     _write(rows, fresh, path, gen)
 
 
+def _kids_met(at: DataFrame, kids: DataFrame, beam: int) -> DataFrame:
+    """One row for each row of ``at``, not for each kid it meets: (query_id, u, best), best without vectors and with the
+    ``beam`` nearest kids (far, cell, of) of the row's cell; a list that has no kids stays as it is."""
+    near = F.transform("kids", lambda x: F.struct(_dot("u", x["center"]).alias("near"), x["node"].alias("cell")))
+    near = F.transform(near, lambda x: F.struct(_far(x["near"]).alias("far"), x["cell"].alias("cell"), F.col("of")))
+    best = F.when(F.col("kids").isNull(), F.array(F.struct("far", "cell", "of"))).otherwise(F.slice(F.sort_array(near), 1, beam))
+    return (at.withColumn("of", F.xxhash64("u"))                  # rows of one query_id may differ in their vectors
+            .join(kids, "cell", "left").select("query_id", "u", best.alias("best")))
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 3, beam: int = 16) -> DataFrame:
     """(query_id, rank, id, similarity): the k nearest rows by cosine in the ``beam`` lists that a query ends in."""
     nodes = _nodes(spark, path).where("node IS NOT NULL").select("parent", "node", "center")
     depth = nodes.agg(F.max(F.size(F.split("parent", "/")))).first()[0] or 0
-    parents = nodes.select(F.col("parent").alias("cell")).distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "cell")
+    kids = nodes.groupBy(F.col("parent").alias("cell")).agg(F.collect_list(F.struct("node", "center")).alias("kids"))
     at = queries.where(F.exists("query_vec", lambda x: x != 0)).select(
-        "query_id", _unit(F.col("query_vec").cast("array<double>")).alias("u"), F.lit(ROOT).alias("cell"), F.lit(0.0).alias("near"))
-    for _ in range(depth):
-        down = at.join(nodes, at.cell == nodes.parent).select(
-            "query_id", "u", F.col("node").alias("cell"), _dot("u", "center").alias("near"))
-        at = (at.join(parents, "cell", "left_anti").select("query_id", "u", "cell", "near").unionByName(down)
-              .withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam).drop("place"))
+        "query_id", _unit(F.col("query_vec").cast("array<double>")).alias("u"), F.lit(ROOT).alias("cell"), F.lit(0.0).alias("far"))
+    for level in range(depth):
+        some = F.broadcast(kids.where(F.col("cell") == ROOT)) if level == 0 else kids
+        met = _kids_met(at, some, beam).groupBy("query_id").agg(
+            F.collect_set("u").alias("us"), F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, beam).alias("best"))
+        at = met.select("query_id", "us", F.explode("best").alias("b")).select(
+            "query_id", F.filter("us", lambda u: F.xxhash64(u) == F.col("b.of"))[0].alias("u"), "b.cell", "b.far")
     at = cut_lineage(at)
     top = F.coalesce(F.nullif(F.split_part("cell", F.lit("/"), F.lit(2)), F.lit("")), F.lit("-"))
     parts = [r[0] for r in at.select(top).distinct().collect()]                       # top nodes: fanout at most

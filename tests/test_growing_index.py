@@ -1,5 +1,7 @@
 """The index whose lists follow the rows: sizes, appends, crashes, recall."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,35 @@ def test_copies_zero_null_and_few_rows(spark, tmp_path):
     assert G.search(spark, few, q, k=9).count() == 6
 
 
+def test_a_search_step_gives_one_row_for_each_query_and_node(spark):
+    v = np.random.default_rng(5).normal(0, 1, (60, 8))
+    kids = spark.createDataFrame([("r", [(f"r/{j}", [float(x) for x in r]) for j, r in enumerate(v)])],
+                                 "cell string, kids array<struct<node: string, center: array<double>>>")
+    at = spark.createDataFrame([("a", [float(x) for x in v[7]], "r", 0.0), ("a", [float(x) for x in v[7]], "r/9", -0.5)],
+                               "query_id string, u array<double>, cell string, far double")
+    met = G._kids_met(at, kids, beam=5)
+    inner, leaf = sorted(met.collect(), key=lambda r: -len(r.best))
+    assert [b.cell for b in inner.best] == [f"r/{j}" for j in np.argsort(-(v @ v[7]))[:5]]
+    assert [(b.far, b.cell) for b in leaf.best] == [(-0.5, "r/9")]
+
+
+def test_far_sorts_like_falling_cosines(spark):
+    x = spark.sql("SELECT * FROM VALUES (0.5D), (NULL), (double('NaN')), (-1D), (1D) t(near)")
+    order = lambda *by: [str(r.near) for r in x.orderBy(*by).collect()]
+    assert order(G._far(F.col("near"))) == order(F.desc("near"))
+
+
+def test_rows_of_one_list_do_not_meet_in_one_task(spark):
+    rows = _frame(spark, 300, 6).select("id", F.col("embedding").alias("v"), F.expr("if(id < 0, 's', 'r')").alias("cell"))
+    big = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    kids = G._centers(rows, big, 40, 16)
+    plan = kids._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "SortMergeJoin" not in plan     # each task keeps its first 16
+    ids = sorted((r.id for r in rows.collect()), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:8]
+    v = {r.id: r.v for r in rows.collect()}
+    assert [r.center for r in kids.orderBy("j").collect()] == [v[i] for i in ids]
+
+
 @pytest.mark.parametrize("sf", ["0.1"])
 def test_recall_of_the_registered_search(spark, sf):
     from ledgerline.plans.registry import QUERIES
