@@ -14,8 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 
-KNOWN_ENTRIES = 150_000          # stretches met more than once that a worker remembers
-YOUNG_ENTRIES = 100_000          # stretches met once, of late
+KNOWN_ENTRIES = 300_000          # stretches met more than once that a worker remembers
+YOUNG_ENTRIES = 200_000          # stretches met once, of late
+SIGN_ENTRIES = 10_000            # words without letters that a worker remembers
 LONG = 64                        # longer stretches are not remembered
 # letters, digits and other numbers of Latin-1 as the tokenizer's own pattern sorts them, after lower-casing
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -39,6 +40,7 @@ class WordTokenizer:
         # a Latin-1 letter's bytes in UTF-8, as letters of the vocabulary
         letters = _byte_letters()
         self._letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self._signs: dict[str, bytes] = {}
         self._known: dict[str, bytes] = {}
         self._young: dict[str, bytes] = {}
 
@@ -46,12 +48,22 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, stretch: str) -> bytes:
-        """Ids of a Latin-1 stretch between white space: those of its words."""
-        ids = array("I")
-        for word in _WORD.findall(stretch):
-            plain = word if word.isascii() and word.isprintable() else word.translate(self._letters)
-            ids.extend([t.id for t in self.model.tokenize(plain)])
-        return ids.tobytes()
+        """Ids of a lower-case Latin-1 stretch between white space: those of its words."""
+        if stretch.isalpha():                        # one word
+            return self._merged(stretch)
+        signs = self._signs
+        return b"".join([self._merged(w) if w[0].isalpha() else signs.get(w) or self._sign(w) for w in _WORD.findall(stretch)])
+
+    def _merged(self, word: str) -> bytes:
+        plain = word if word.isascii() and word.isprintable() else word.translate(self._letters)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def _sign(self, word: str) -> bytes:
+        """As ``_merged``, for words that are no letters: few stand beside many words."""
+        ids = self._merged(word)
+        if len(word) <= LONG and len(self._signs) < SIGN_ENTRIES:
+            self._signs[word] = ids
+        return ids
 
     def _is_plain(self, text: str) -> bool:
         """Latin-1 without the separators that only Python takes for white space, and without control strings."""
@@ -65,10 +77,7 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text without special tokens, as bytes of little-endian 32-bit numbers."""
         parts = [t.lower().split() if self._is_plain(t) else None for t in texts]
-        rare: set[str] = set()
-        for ws in parts:
-            if ws:
-                rare.update(set(ws).difference(self._known))
+        rare = set().union(*filter(None, parts)).difference(self._known)
         again = {w: self._young.pop(w) for w in rare if w in self._young}
         fresh = {w: self._learn(w) for w in rare.difference(again)}
         self._known.update(again)

@@ -44,6 +44,29 @@ def test_ids_when_caches_overflow(monkeypatch):
     assert own.ids(texts) == [lib(t) for t in texts] and own.ids(texts[:3]) == [lib(t) for t in texts[:3]]
 
 
+def test_signs_beside_words_go_through_the_merges_once():
+    own, seen = WordTokenizer(PATH), []
+    real = own.model
+
+    class Counted:
+        def tokenize(self, word):
+            seen.append(word)
+            return real.tokenize(word)
+
+    own.model = Counted()
+    texts = [f"wörd{chr(97 + i)},,, it's{chr(97 + i)} 7{chr(97 + i)}!? ..." for i in range(20)]
+    assert own.ids(texts) == [lib(t) for t in texts]
+    assert all(seen.count(w) == 1 for w in (",,,", "'s", "7", "!?", "..."))
+    assert len(own._signs) == 5
+
+
+def test_signs_remembered_stay_bounded(monkeypatch):
+    monkeypatch.setattr("ledgerline.llm.tokens.SIGN_ENTRIES", 3)
+    own = WordTokenizer(PATH)
+    texts = ["".join(random.Random(i).choices("!?.,;:-+", k=9)) + "a" for i in range(50)]
+    assert own.ids(texts) == [lib(t) for t in texts] and len(own._signs) == 3
+
+
 def test_ids_of_every_latin_1_character():
     import random
     rnd = random.Random(1)
